@@ -9,7 +9,9 @@ from articleflow.functions.urls import normalize_url
 from articleflow.schemas import CLEAN_NO_BODY, CLEAN_OK, RAW_OK, UNKNOWN
 
 _FIELDS = ("title", "url", "body", "summary", "description", "category", "published_at", "published")
-PAYLOAD_SCHEMA = "struct<" + ", ".join(f"{name} variant" for name in _FIELDS) + ", _broken string>"
+# The payload is read as the value of a wrapping object: a scalar or an array then has no fields, and what
+# follows the payload's own end is an error instead of being passed over.
+PAYLOAD_SCHEMA = "struct<p struct<" + ", ".join(f"{name} variant" for name in _FIELDS) + ">, _broken string>"
 PAYLOAD_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false"}
 
 # What a rejected row is marked with.
@@ -56,16 +58,17 @@ def build_clean_rows(raw: DataFrame) -> DataFrame:
 
     JSON is parsed in the JVM; all normalizers run in one Python stage, which a body enters and leaves once.
     """
-    payload = F.from_json(F.col("raw_payload"), PAYLOAD_SCHEMA, PAYLOAD_OPTIONS)
-    parsed = raw.select("id", "canonical_url", "source_name", "collected_at", payload.alias("_p"), F.col("raw_payload"))
-    field = {name: _Field(F.col(f"_p.{name}")) for name in _FIELDS}
+    wrapped = F.concat(F.lit('{"p":'), "raw_payload", F.lit("}"))
+    payload = F.from_json(wrapped, PAYLOAD_SCHEMA, PAYLOAD_OPTIONS)
+    parsed = raw.select("id", "canonical_url", "source_name", "collected_at", payload.alias("_w"))
+    field = {name: _Field(F.col(f"_w.p.{name}")) for name in _FIELDS}
     body, bad_body = _choose(field["body"], field["summary"], field["description"])
     category, bad_category = _choose(field["category"])
     title, bad_title = _choose(field["title"])
-    bad_json = F.col("_p").isNull() | F.col("_p._broken").isNotNull() | (F.trim("raw_payload") == "")
+    bad_json = F.col("_w.p").isNull() | F.col("_w._broken").isNotNull()
     chosen = parsed.select(
         F.col("id").alias("raw_id"), "source_name", "collected_at",
-        F.coalesce(bad_json, F.lit(True)).alias("_bad_json"),
+        bad_json.alias("_bad_json"),
         (bad_title | bad_body | bad_category | field["url"].misfit).alias("_misfit"),
         title.alias("_title"), body.alias("_body"), category.alias("_category"),
         F.when(field["url"].present, field["url"].text).otherwise(F.col("canonical_url")).alias("_url"),

@@ -42,6 +42,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     Large inputs have many splits already and pass through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores:
-        return df.repartition(cores, key)
-    return df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -9,7 +9,7 @@ from articleflow.operators.query import query_articles
 from articleflow.schemas import EXPORT_COLUMNS, SUMMARY_STATES
 
 FORMATS = ("csv", "jsonl")
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def _exported(rows: DataFrame, name: str) -> Column:
