@@ -24,6 +24,8 @@ _SIMPLE = re.compile(
     re.VERBOSE,
 )
 
+_COMPOUND = re.compile(r"(?:\[[^\]]*\]|[^\s\[])+")
+
 
 def _test(part: re.Match[str]):
     """One simple selector as a predicate over (tag, attributes)."""
@@ -56,7 +58,10 @@ def parse_selector(selector: str) -> tuple:
     chains = []
     for alternative in re.split(r",(?![^\[]*\])", selector):
         chain = []
-        for compound in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", alternative):
+        compounds = _COMPOUND.findall(alternative)
+        if _COMPOUND.sub("", alternative).strip():
+            raise ValueError(f"unsupported selector: {selector!r}")
+        for compound in compounds:
             tests, at = [], 0
             while at < len(compound):
                 part = _SIMPLE.match(compound, at)
