@@ -39,7 +39,10 @@ def _candidates(text: str):
     """Parsers to try on one date text, from the strictest to the loosest."""
     yield lambda: datetime.fromisoformat(text.replace("Z", "+00:00"))
     yield lambda: parsedate_to_datetime(text)
+    # A format can only fit a text that begins the way it does: with a digit, or else with a name.
     for layout in DATE_FORMATS:
+        if text[0].isdigit() != (layout[1] in "Yd"):
+            continue
         yield lambda: datetime.strptime(text, layout)
     for pattern, layout in EMBEDDED_DATES:
         found = pattern.search(text)
@@ -61,6 +64,7 @@ def _numbers(text: str) -> list:
         return []
 
 
+@lru_cache(maxsize=1 << 16)
 def parse_date(value: str | None) -> datetime | None:
     """One date text to UTC; a JSON array of six numbers or more counts as year .. second."""
     if not value:
@@ -83,8 +87,7 @@ def parse_date(value: str | None) -> datetime | None:
 
 @arrow_udf(T.TimestampType())
 def normalize_date(values: pa.Array) -> pa.Array:
-    parse = lru_cache(maxsize=1024)(parse_date)
-    return pa.array([parse(value) for value in values.to_pylist()], pa.timestamp("us", tz="UTC"))
+    return pa.array([parse_date(value) for value in values.to_pylist()], pa.timestamp("us", tz="UTC"))
 
 
 def to_iso(moment: ColumnOrName) -> Column:

@@ -4,7 +4,7 @@ import hashlib
 import html
 import re
 import unicodedata
-from functools import lru_cache
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -27,7 +27,6 @@ SPACE_RUN = "[ \\t\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\u200b\ufeff]+"
 
 _block_re, _break_re, _tag_re = re.compile(SCRIPT_OR_STYLE), re.compile(LINE_BREAK_TAG), re.compile(ANY_TAG)
 _space_re = re.compile(SPACE_RUN)
-_ascii_control_re = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
 
 
 def strip(col: ColumnOrName) -> Column:
@@ -53,18 +52,17 @@ def strip_html(col: ColumnOrName) -> Column:
     return text
 
 
-@lru_cache(maxsize=1)
-def _invisible_re() -> re.Pattern[str]:
-    """Every code point of a Unicode "other" category but tab and newline, read off the Unicode database."""
-    spans: list[list[int]] = []
-    for point in range(0x110000):
-        if point in (9, 10) or unicodedata.category(chr(point))[0] != "C":
-            continue
-        if spans and spans[-1][1] == point - 1:
-            spans[-1][1] = point
-        else:
-            spans.append([point, point])
-    return re.compile("[" + "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in spans) + "]")
+def _tidy_line(line: str) -> str:
+    """One line without invisible characters and with single spaces.
+
+    A printable line holds no white space but U+0020, which settles most lines without looking at characters.
+    """
+    if not line.isprintable():
+        other = {ord(c): None for c in set(line) if c != "\t" and unicodedata.category(c)[0] == "C"}
+        line = _space_re.sub(" ", line.translate(other))
+    elif "  " in line:
+        line = _space_re.sub(" ", line)
+    return line.strip()
 
 
 def plain_text(value: str | None) -> str:
@@ -74,16 +72,11 @@ def plain_text(value: str | None) -> str:
     text = html.unescape(value)
     if "<" in text:
         text = _tag_re.sub(" ", _break_re.sub("\n", _block_re.sub(" ", text)))
-    text = html.unescape(text)
-    if text.isascii():
-        invisible = _ascii_control_re
-    else:
-        text, invisible = unicodedata.normalize("NFKC", text), _invisible_re()
-    text = invisible.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
+    text = unicodedata.normalize("NFKC", html.unescape(text))
 
     lines: list[str] = []
-    for line in _space_re.sub(" ", text).split("\n"):
-        line = line.strip()
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        line = _tidy_line(line)
         if line or (lines and lines[-1]):
             lines.append(line)
     return "\n".join(lines).strip()
@@ -129,18 +122,26 @@ SECRET_MASK = "[REDACTED_API_KEY]"
 MIN_SECRET_LENGTH = 6
 
 
+# One of these words is part of every text the patterns change; U+017F is an s to a case-blind pattern.
+_SECRET_WORDS = ("authorization", "bearer", "sk-", "key", "token", "secret", "\u017f")
+
+
 def redact(col: ColumnOrName, *known_secrets: str) -> Column:
     """Mask whatever looks like a credential, then every known secret of six characters or more.
 
-    ``(?U)`` gives the Java classes ``\\s``, ``\\S`` and ``\\b`` their Unicode meaning.
+    ``(?U)`` gives the Java classes ``\\s``, ``\\S`` and ``\\b`` their Unicode meaning. Texts without any of the
+    words that credentials come with skip the patterns.
     """
     text = as_column(col)
+    masked = text
     for pattern, replacement in REDACTIONS:
-        text = F.regexp_replace(text, "(?U)" + pattern, replacement)
+        masked = F.regexp_replace(masked, "(?U)" + pattern, replacement)
+    mentions = lambda lowered: reduce(lambda seen, word: seen | F.contains(lowered, F.lit(word)), _SECRET_WORDS, F.lit(False))
+    result = F.when(F.exists(F.array(F.lower(text)), mentions), masked).otherwise(text)
     for secret in known_secrets:
         if len(secret) >= MIN_SECRET_LENGTH:
-            text = F.replace(text, F.lit(secret), F.lit(SECRET_MASK))
-    return text
+            result = F.replace(result, F.lit(secret), F.lit(SECRET_MASK))
+    return result
 
 
 def shorten(col: ColumnOrName, limit: int, suffix: str) -> Column:

@@ -180,13 +180,13 @@ def orphans(clean: DataFrame, raw: DataFrame) -> DataFrame:
 def duplicate_content(clean: DataFrame) -> DataFrame:
     """Articles that share a content hash: a report, nothing is merged.
 
-    Hot hashes are folded map-side; the set of sources is bounded by the registry, not by the copies.
+    Hot hashes are folded map-side; the set of sources is bounded by the registry, not by the copies. Rows
+    without a hash count as none, which needs no filter that would work a hash out a second time.
     """
     return (
-        clean.where(F.col("content_hash").isNotNull())
-        .groupBy("content_hash")
+        clean.groupBy("content_hash")
         .agg(
-            F.count("*").alias("copies"),
+            F.count("content_hash").alias("copies"),
             F.min("id").alias("first_id"),
             F.array_sort(F.collect_set("source")).alias("sources"),
         )

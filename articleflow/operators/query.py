@@ -11,7 +11,6 @@ from articleflow.functions.dates import day_bounds, day_text, to_iso
 from articleflow.functions.text import filled, is_blank, shorten
 from articleflow.schemas import SUMMARY_STATES
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Partition column of a stored clean table (see sources.tables.write_clean).
 DAY_COLUMN = "effective_day"
 
@@ -23,12 +22,12 @@ def effective_at() -> Column:
 def contains_keyword(text: ColumnOrName, keyword: str) -> Column:
     """Substring search that ignores the case of ASCII letters only; ``%`` and ``_`` are wildcards.
 
-    A keyword without wildcards becomes a plain ``contains`` in the plan.
+    Java patterns fold ASCII alone unless told otherwise, and search a text without first rewriting it.
     """
-    escape = next(mark for mark in map(chr, range(1, 32)) if mark not in keyword)
-    wanted = keyword.translate(str.maketrans(UPPER, LOWER))
-    folded = F.translate(F.coalesce(as_column(text), F.lit("")), UPPER, LOWER)
-    return F.like(folded, F.lit(f"%{wanted}%"), F.lit(escape))
+    wildcards = {"%": ".*", "_": "."}
+    literal = lambda mark: mark if mark.isalnum() or not mark.isascii() else "\\" + mark
+    pattern = "".join(wildcards.get(mark) or literal(mark) for mark in keyword)
+    return F.rlike(F.coalesce(as_column(text), F.lit("")), F.lit("(?is)" + pattern))
 
 
 def _has_text(name: str) -> Column:

@@ -408,7 +408,8 @@ def normalized_dates(spark, sf_dir):
     text = F.date_format("o_orderdate", "yyyy.MM.dd")
     for priority, form in written.items():
         text = F.when(F.col("o_orderpriority") == priority, form).otherwise(text)
-    return bindings.table(spark, sf_dir, "orders").select("o_orderkey", to_iso(normalize_date(text)).alias("moment"))
+    orders = spread(bindings.table(spark, sf_dir, "orders"), "o_orderkey")
+    return orders.select("o_orderkey", to_iso(normalize_date(text)).alias("moment"))
 
 
 # -- cleaning and merging --------------------------------------------------------------------------

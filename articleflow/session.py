@@ -3,17 +3,36 @@
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session zone, so that day buckets and naive timestamps mean UTC."""
+    """Pin the session zone, so that day buckets and naive timestamps mean UTC, and give workers this package."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        spark.sparkContext.addPyFile(_package_archive())
+        _shipped.add(application)
     return spark
 
 
+def _package_archive() -> str:
+    """The package as a zip file, as ``--py-files`` would hand it out."""
+    package = Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="articleflow-"), "articleflow.zip")
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(package.rglob("*.py")):
+            bundle.write(source, source.relative_to(package.parent))
+    return archive
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path for intermediate tables, below the folder the cluster names in spark.checkpoint.dir.
 
