@@ -147,9 +147,11 @@ def summarize(
     answered = with_completion(asked, factory, system=SUMMARY_SYSTEM).select(
         "id", "original_length", "reply", "error", F.current_timestamp().alias("summarized_at")
     )
-    skipped = targets.where(already).select("id")
     outcomes = answered.withColumn("outcome", F.when(F.col("error").isNull(), "succeeded").otherwise("failed"))
-    outcomes = outcomes.unionByName(skipped.withColumn("outcome", F.lit("skipped")), allowMissingColumns=True)
+    if mode == "id" and not force:
+        # Only a choice by id can hit an article that has a summary.
+        skipped = targets.where(already).select("id", F.lit("skipped").alias("outcome"))
+        outcomes = outcomes.unionByName(skipped, allowMissingColumns=True)
     if stage:
         outcomes = materialize(outcomes, stage_path, "summaries")
     done = outcomes.where(F.col("outcome") == "succeeded").select(

@@ -8,6 +8,7 @@ from articleflow.functions.text import filled
 from articleflow.functions.urls import normalize_url
 from articleflow.operators.numbering import assign_ids
 from articleflow.schemas import RAW_ARTICLES, RAW_ERROR, RAW_OK, RAW_PARTIAL
+from articleflow.session import materialize
 
 RAW_KEY = ("source_name", "canonical_url")
 # Fixed value: message of an item without a title.
@@ -68,15 +69,26 @@ def first_per_key(rows: DataFrame, keys: tuple[str, ...], order: str, *, last: b
     return rows.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
-def new_raw_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows to insert: first per (source, URL) in arrival order, unless the table has that key already."""
-    firsts = first_per_key(rows.where("storable"), RAW_KEY, "seq")
-    return firsts.join(existing.select(*RAW_KEY), list(RAW_KEY), "left_anti")
+def new_raw_keys(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """Which rows to insert: first per (source, URL) in arrival order, unless the table has that key already.
+
+    Payloads are left behind; the result is ``seq`` with the short columns.
+    """
+    short = [name for name in ("seq", "collection_method", "status", *RAW_KEY) if name in rows.columns]
+    firsts = first_per_key(rows.where("storable").select(*short), RAW_KEY, "seq")
+    return firsts.join(existing.select(*RAW_KEY), list(RAW_KEY), "left_anti").select(*short)
 
 
-def insert_raw(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """The rows to append to ``raw_articles``, with their ids."""
-    return assign_ids(new_raw_rows(rows, existing), existing, "seq").select(*RAW_ARTICLES.names)
+def insert_raw(rows: DataFrame, existing: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """The rows to append to ``raw_articles``, with their ids.
+
+    ``keys`` takes ``new_raw_keys`` when they are stored. ``rows`` is best a stored table too: it is read for
+    its keys and again for the payloads of the rows that win.
+    """
+    if keys is None:
+        keys = materialize(new_raw_keys(rows, existing), name="new-keys")
+    numbered = assign_ids(keys.select("seq"), existing, "seq")
+    return rows.join(numbered, "seq").select(*RAW_ARTICLES.names)
 
 
 def retried_errors(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -90,8 +102,8 @@ def retried_errors(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return joined.select("e.id", *RAW_KEY, *picked).select(*RAW_ARTICLES.names)
 
 
-def fetch_run_stats(rows: DataFrame, inserted: DataFrame) -> DataFrame:
-    """Attempted, stored, failed and duplicate counts per source and method.
+def fetch_run_stats(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Attempted, stored, failed and duplicate counts per source and method, from all rows and ``new_raw_keys``.
 
     Duplicates follow from the two counts, so no row-level outcome has to be shuffled. A repeated failure
     counts as failed, not as duplicate.
@@ -103,7 +115,7 @@ def fetch_run_stats(rows: DataFrame, inserted: DataFrame) -> DataFrame:
         F.count_if(~is_item | ~F.col("storable")).alias("failure_count"),
         F.count_if(is_item & F.col("storable")).alias("_items"),
     )
-    stored = inserted.where(is_item).groupBy(*by).agg(F.count("*").alias("success_count"))
+    stored = keys.where(is_item).groupBy(*by).agg(F.count("*").alias("success_count"))
     success = F.coalesce(F.col("success_count"), F.lit(0))
     return seen.join(stored, by, "left").select(
         *by, "attempted_count", success.alias("success_count"), "failure_count",

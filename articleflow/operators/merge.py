@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from articleflow.operators.cleaning import build_clean_rows, cleanable
 from articleflow.operators.ingest import first_per_key
 from articleflow.operators.numbering import assign_ids
 from articleflow.schemas import CLEAN_ARTICLES, CONTENT_COLUMNS, DUPLICATE_POLICIES, RAW_INVALID, SUMMARY_COLUMNS
+from articleflow.session import materialize
 
 
 def _empty_summary(rows: DataFrame) -> DataFrame:
@@ -23,22 +25,32 @@ def _empty_summary(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def skip_new_rows(batch: DataFrame, target: DataFrame) -> DataFrame:
-    """The batch rows that ``skip`` inserts: new by both keys, and first of their URL in the batch.
+def skip_winners(batch: DataFrame, target: DataFrame) -> DataFrame:
+    """``raw_id`` of the rows that ``skip`` inserts: new by both keys, and first of their URL in the batch.
 
     Rows known by ``raw_id`` leave before the first per URL is taken, so they cannot shadow a later row. The
     URL probe comes last, when each URL is there once, so a much repeated URL is no hot key in the join.
     """
     keys = batch.select("raw_id", "url").join(target.select("raw_id"), "raw_id", "left_anti")
     firsts = first_per_key(keys, ("url",), "raw_id")
-    winners = firsts.join(target.select("url"), "url", "left_anti").select("raw_id")
-    return batch.join(winners, "raw_id", "left_semi")
+    return firsts.join(target.select("url"), "url", "left_anti").select("raw_id")
 
 
-def merge_skip(batch: DataFrame, target: DataFrame) -> DataFrame:
+def skip_inserts(batch: DataFrame, target: DataFrame, winners: DataFrame | None = None) -> DataFrame:
+    """The rows that a ``skip`` merge adds to the table, with their ids.
+
+    The winners, one number each, are stored first: they are counted, numbered and joined, and the texts of
+    the batch move once.
+    """
+    if winners is None:
+        winners = materialize(skip_winners(batch, target), name="winners")
+    numbered = assign_ids(winners, target, "raw_id")
+    return _empty_summary(batch.join(numbered, "raw_id")).select(*CLEAN_ARTICLES.names)
+
+
+def merge_skip(batch: DataFrame, target: DataFrame, winners: DataFrame | None = None) -> DataFrame:
     """The table after a ``skip`` merge; existing rows are left alone."""
-    new = assign_ids(_empty_summary(skip_new_rows(batch, target)), target, "raw_id")
-    return target.select(*CLEAN_ARTICLES.names).unionByName(new.select(*CLEAN_ARTICLES.names))
+    return target.select(*CLEAN_ARTICLES.names).unionByName(skip_inserts(batch, target, winners))
 
 
 def upsert_decisions(batch: DataFrame, target: DataFrame) -> DataFrame:
@@ -96,7 +108,7 @@ def merge_upsert(
     ``mark_stale`` adds ``summary_stale``: there is a summary and the content it was made from has changed.
     """
     if decisions is None:
-        decisions = upsert_decisions(batch, target)
+        decisions = materialize(upsert_decisions(batch, target), name="decisions")
     content = batch.select(*CONTENT_COLUMNS)
 
     updates = decisions.where(F.col("action") == "update").select("target_id", F.col("last_raw").alias("raw_id"))
@@ -125,18 +137,21 @@ def upsert_conflicts(batch: DataFrame, decisions: DataFrame) -> DataFrame:
     return batch.join(decisions.where(F.col("action") == "conflict").select("url"), "url", "left_semi")
 
 
-def merge_counts(batch: DataFrame, target: DataFrame, policy: str, decisions: DataFrame | None = None) -> DataFrame:
-    """One row ``inserted, updated, skipped, conflicts`` for a batch of usable rows."""
+def merge_counts(batch: DataFrame, target: DataFrame, policy: str, decided: DataFrame | None = None) -> DataFrame:
+    """One row ``inserted, updated, skipped, conflicts`` for a batch of usable rows.
+
+    ``decided`` is what the merge went by, if it is stored: ``skip_winners`` or ``upsert_decisions``.
+    """
     if policy not in DUPLICATE_POLICIES:
         raise ValueError(f"duplicate policy must be one of {DUPLICATE_POLICIES}: {policy!r}")
     zero = F.lit(0).cast("long")
     if policy == "skip":
-        inserted = skip_new_rows(batch.select("raw_id", "url"), target).agg(F.count("*")).scalar()
+        winners = skip_winners(batch, target) if decided is None else decided
+        inserted = winners.agg(F.count("*")).scalar()
         return batch.agg(F.count("*").alias("_n")).select(
             inserted.alias("inserted"), zero.alias("updated"), (F.col("_n") - inserted).alias("skipped"), zero.alias("conflicts")
         )
-    if decisions is None:
-        decisions = upsert_decisions(batch, target)
+    decisions = upsert_decisions(batch, target) if decided is None else decided
     total = lambda condition, value: F.coalesce(F.sum(F.when(condition, value)), zero)
     action = F.col("action")
     return decisions.agg(
@@ -212,24 +227,22 @@ def clean_articles(
     The cleaned batch is written once as a stage table, so that the normalizers run once however often the
     merge reads it.
     """
-    from articleflow.operators.cleaning import build_clean_rows, cleanable
-    from articleflow.session import materialize
-
     if policy not in DUPLICATE_POLICIES:
         raise ValueError(f"duplicate policy must be one of {DUPLICATE_POLICIES}: {policy!r}")
     built = materialize(build_clean_rows(cleanable(raw, limit)), stage_path, "cleaned")
     batch = built.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
-    conflicts = decisions = None
+    conflicts = None
     if policy == "skip":
-        merged = merge_skip(batch, clean)
+        decided = materialize(skip_winners(batch, clean), name="winners")
+        merged = merge_skip(batch, clean, decided)
     else:
-        decisions = materialize(upsert_decisions(batch, clean), name="decisions")
-        merged = merge_upsert(batch, clean, decisions)
-        conflicts = upsert_conflicts(batch, decisions)
+        decided = materialize(upsert_decisions(batch, clean), name="decisions")
+        merged = merge_upsert(batch, clean, decided)
+        conflicts = upsert_conflicts(batch, decided)
     processed = built.agg(F.count("*")).scalar()
     invalid = built.agg(F.count_if(F.col("reject_reason").isNotNull())).scalar()
-    stats = merge_counts(batch, clean, policy, decisions).select(
+    stats = merge_counts(batch, clean, policy, decided).select(
         processed.alias("processed"), "inserted", "updated", "skipped", invalid.alias("invalid"), "conflicts"
     )
     return CleanResult(merged, update_raw_status(raw, invalid_marks(built)), stats, conflicts)

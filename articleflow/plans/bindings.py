@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow.functions.urls import url_host, url_origin
-from articleflow.session import prepare, spread
+from articleflow.operators.ingest import first_per_key
+from articleflow.session import materialize, prepare, spread
 from articleflow.sources.pages import extract_article
 from articleflow.sources.robots import robots_rules
 
@@ -79,7 +80,10 @@ def merge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as the stored table: an older text, and an older URL where the label says toxic."""
+    """Labelled documents as the stored table: an older text, and an older URL where the label says toxic.
+
+    The merges read their table several times, so it is stored, as it would be.
+    """
     doc = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").join(labels(spark, sf_dir), "doc_id")
     old_url = F.concat(F.lit("https://example.com/old/"), doc)
@@ -101,9 +105,7 @@ def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(50).cast("long").alias("original_length"),
         F.when(F.col("quality") == 1, F.lit(12)).cast("long").alias("summary_length"),
     )
-    from articleflow.operators.ingest import first_per_key
-
-    return first_per_key(rows, ("url",), "id")
+    return materialize(first_per_key(rows, ("url",), "id"), name="merge-target")
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from articleflow.functions.text import http_error, normalize_text, redact, strip
 from articleflow.functions.urls import is_tracking_param, normalize_url, query_params, request_url, url_origin
 from articleflow.operators import aggregates, analysis, cleaning, completion, ingest, merge, query
 from articleflow.plans import bindings
-from articleflow.session import shared_dir, spread
+from articleflow.session import materialize, shared_dir, spread
 from articleflow.sources import exports, feeds, robots, tables
 from articleflow.sources.pages import crawl, extract_article, extract_links
 
@@ -207,7 +207,7 @@ def dedup_raw_first_wins(spark, sf_dir):
 def raw_new_only(spark, sf_dir):
     rows = bindings.page_keys(spark, sf_dir)
     secure = F.col("url").startswith("https:")
-    return ingest.new_raw_rows(rows.where(secure), rows.where(~secure)).select("seq", *ingest.RAW_KEY)
+    return ingest.new_raw_keys(rows.where(secure), rows.where(~secure))
 
 
 @register
@@ -218,8 +218,9 @@ def raw_from_pages(spark, sf_dir):
 
 
 def _event_rows(spark, sf_dir):
-    collected = bindings.fetched_events(spark, sf_dir)
-    rows = ingest.to_raw_rows(collected, "rss", F.to_timestamp(F.lit("2024-02-01")))
+    """Fetched events as stored raw rows: the new ones, and the purchases as those already there."""
+    collected = spread(bindings.fetched_events(spark, sf_dir), "seq")
+    rows = materialize(ingest.to_raw_rows(collected, "rss", F.to_timestamp(F.lit("2024-02-01"))), name="event-rows")
     return rows.where(~F.col("canonical_url").endswith("/purchase")), rows.where(F.col("canonical_url").endswith("/purchase"))
 
 
@@ -233,7 +234,7 @@ def raw_inserts(spark, sf_dir):
 @register
 def fetch_run_stats(spark, sf_dir):
     rows, stored = _event_rows(spark, sf_dir)
-    return ingest.fetch_run_stats(rows, ingest.new_raw_rows(rows, stored))
+    return ingest.fetch_run_stats(rows, ingest.new_raw_keys(rows, stored))
 
 
 @register
@@ -386,7 +387,8 @@ def robots_allowed(spark, sf_dir):
 @register
 def fetch_slots(spark, sf_dir):
     marked = robots.mark_allowed(bindings.pages(spark, sf_dir).select("page_id", "url"), bindings.page_rules(spark, sf_dir))
-    slots = robots.fetch_slots(marked.where("allowed"), seq="page_id", delay=1.0)
+    allowed = materialize(marked.where("allowed").select("page_id", "origin", "crawl_delay"), name="allowed")
+    slots = robots.fetch_slots(allowed, seq="page_id", delay=1.0)
     return slots.select("page_id", "origin", "slot_seconds")
 
 

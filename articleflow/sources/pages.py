@@ -72,9 +72,14 @@ def extract_links(
     pages: DataFrame, selector: Column | str, base: Column | str, *, html: str = "html", limit: int | None = None
 ) -> DataFrame:
     """One row per link: the columns of ``pages`` but the markup, with ``pos`` (from 0) and ``link``."""
-    listed = pages.withColumn("_links", page_links(html, selector, base, limit)).drop(html)
-    kept = [F.col(name) for name in listed.columns if name != "_links"]
-    return listed.select(*kept, F.posexplode("_links").alias("pos", "link"))
+    return _one_per_link(pages.withColumn("_links", page_links(html, selector, base, limit)).drop(html))
+
+
+def _one_per_link(listed: DataFrame) -> DataFrame:
+    """Explode ``_links``. A plain explode makes Spark test for empty lists first, which would parse every page
+    twice; the outer form does not, and the rows of empty lists are dropped afterwards."""
+    kept = [name for name in listed.columns if name != "_links"]
+    return listed.select(*kept, F.posexplode_outer("_links").alias("pos", "link")).where(F.col("pos").isNotNull())
 
 
 _FIELDS = T.StructType(
@@ -161,32 +166,37 @@ def crawl(
 ) -> DataFrame:
     """List page -> links -> article pages for every web source, one row per attempted article.
 
-    ``sources`` is the registry (``source_name, list_url, base_url, category`` and the selectors);
+    ``sources`` is the registry (``source_no, source_name, list_url, base_url, category`` and the selectors);
     ``pages`` holds what was fetched (``url, html, error``; ``html`` NULL for a failure). A failing page
     gives a row with ``ok = false`` and does not touch its neighbours; a failing list page gives a single
     such row with ``attempted = 0``.
     """
     fetched = pages.select(F.col(detail_url).alias("_page"), "html", "error")
-    missing = F.coalesce(F.col("error"), F.lit(MISSING_PAGE))
     lists = sources.join(fetched, F.col("list_url") == F.col("_page"), "left").drop("_page")
-
-    failed_lists = lists.where(F.col("html").isNull()).select(
-        "source_name", F.lit(0).alias("attempted"), F.lit(False).alias("ok"), F.lit(None).cast("int").alias("pos"),
-        F.col("list_url").alias("url"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("body"),
-        F.lit(None).cast("string").alias("published_raw"), "category", F.col("list_url").alias("source_url"),
-        missing.alias("error"),
-    )
-
     base = F.coalesce(filled("base_url"), F.col("list_url"))
-    links = extract_links(
-        lists.where(F.col("html").isNotNull()).drop("error"), F.col("article_link_selector"), base, limit=limit
-    )
+    found = page_links("html", F.col("article_link_selector"), base, limit)
+    no_list = F.col("html").isNull()
+    # A missing list page stands as one link without a target.
+    listed = lists.withColumns(
+        {
+            "_links": F.when(no_list, F.array(F.lit(None).cast("string"))).otherwise(found),
+            "_list_error": F.when(no_list, F.coalesce(F.col("error"), F.lit(MISSING_PAGE))),
+        }
+    ).drop("html", "error")
+    links = _one_per_link(listed)
     detail = links.join(fetched, F.col("link") == F.col("_page"), "left")
     article = extract_article("html", F.col("title_selector"), F.col("body_selector"), F.col("date_selector"))
-    articles = detail.withColumn("_article", article).select(
-        "source_name", F.lit(1).alias("attempted"), F.col("html").isNotNull().alias("ok"), "pos", F.col("link").alias("url"),
-        F.col("_article.title"), F.col("_article.body"), F.col("_article.published_raw"), "category",
+    failed_list, failed = F.col("_list_error").isNotNull(), F.col("html").isNull()
+    return detail.withColumn("_article", article).select(
+        "source_name",
+        F.when(failed_list, 0).otherwise(1).alias("attempted"),
+        (~failed).alias("ok"),
+        F.when(~failed_list, F.col("pos")).alias("pos"),
+        (F.shiftleft(F.col("source_no").cast("long"), 32) + F.col("pos")).alias("seq"),
+        F.coalesce("link", "list_url").alias("url"),
+        "_article.title", "_article.body", "_article.published_raw",
+        F.when(~failed, F.col("link")).alias("external_id"),
+        "category",
         F.col("list_url").alias("source_url"),
-        F.when(F.col("html").isNull(), missing).alias("error"),
+        F.when(failed, F.coalesce("_list_error", "error", F.lit(MISSING_PAGE))).alias("error"),
     )
-    return articles.unionByName(failed_lists)

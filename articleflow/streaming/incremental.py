@@ -6,9 +6,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from articleflow.operators.cleaning import build_clean_rows, cleanable
 from articleflow.operators.ingest import insert_raw
-from articleflow.operators.merge import merge_upsert, skip_new_rows
-from articleflow.operators.numbering import assign_ids
-from articleflow.schemas import CLEAN_ARTICLES, RAW_ARTICLES, SUMMARY_COLUMNS
+from articleflow.operators.merge import merge_upsert, skip_inserts
+from articleflow.schemas import CLEAN_ARTICLES, RAW_ARTICLES
 from articleflow.session import materialize
 from articleflow.sources.tables import read_parts, write_part
 
@@ -41,11 +40,7 @@ def stream_clean(raw: DataFrame, clean_path: str, checkpoint: str, *, policy: st
         usable = built.where(F.col("reject_reason").isNull()).drop("reject_reason")
         if policy == "skip":
             target = read_parts(spark, clean_path, CLEAN_ARTICLES, number)
-            new = skip_new_rows(usable, target)
-            for name in SUMMARY_COLUMNS:
-                new = new.withColumn(name, F.lit(None).cast(CLEAN_ARTICLES[name].dataType))
-            numbered = assign_ids(new, target, "raw_id").select(*CLEAN_ARTICLES.names)
-            write_part(numbered, clean_path, number)
+            write_part(skip_inserts(usable, target), clean_path, number)
         else:
             target = latest_version(spark, clean_path, number)
             write_part(merge_upsert(usable, target), clean_path, number)

@@ -98,9 +98,9 @@ def test_insert_first_wins_and_stats(spark, batch):
     stored = ingest.insert_raw(rows, empty)
     got = [(r.id, r.canonical_url, r.status) for r in stored.orderBy("id").collect()]
     assert got == [(1, "https://h/1", "ok"), (2, "https://h/2", "partial"), (3, "https://h/3", "ok")]
-    stats = ingest.fetch_run_stats(rows, ingest.new_raw_rows(rows, empty)).first()
+    stats = ingest.fetch_run_stats(rows, ingest.new_raw_keys(rows, empty)).first()
     assert (stats.attempted_count, stats.success_count, stats.failure_count, stats.duplicate_count) == (7, 3, 3, 1)
-    again = ingest.fetch_run_stats(rows, ingest.new_raw_rows(rows, stored)).first()
+    again = ingest.fetch_run_stats(rows, ingest.new_raw_keys(rows, stored)).first()
     assert (again.success_count, again.failure_count, again.duplicate_count) == (0, 3, 4)
     assert ingest.insert_raw(rows, stored).count() == 0
 
