@@ -35,8 +35,8 @@ def strip(col: ColumnOrName) -> Column:
 
 
 def is_blank(col: ColumnOrName) -> Column:
-    """NULL, empty or white space only."""
-    return F.coalesce(strip(col), F.lit("")) == ""
+    """NULL, empty or white space only. Trimming from the left alone stops at the first character of a text."""
+    return F.coalesce(F.ltrim(as_column(col), F.lit(BLANKS)), F.lit("")) == ""
 
 
 def filled(col: ColumnOrName) -> Column:

@@ -8,7 +8,7 @@ from articleflow.functions.text import filled, normalize_article, normalize_text
 from articleflow.functions.urls import normalize_url
 from articleflow.schemas import CLEAN_NO_BODY, CLEAN_OK, RAW_OK, UNKNOWN
 
-_FIELDS = ("title", "url", "body", "summary", "description", "category", "published_at", "published")
+_FIELDS = ("title", "url", "body", "summary", "description", "category", "published_at", "published", "source")
 # The payload is read as the value of a wrapping object: a scalar or an array then has no fields, and what
 # follows the payload's own end is an error instead of being passed over.
 PAYLOAD_SCHEMA = "struct<p struct<" + ", ".join(f"{name} variant" for name in _FIELDS) + ">, _broken string>"
@@ -66,8 +66,10 @@ def build_clean_rows(raw: DataFrame) -> DataFrame:
     category, bad_category = _choose(field["category"])
     title, bad_title = _choose(field["title"])
     bad_json = F.col("_w.p").isNull() | F.col("_w._broken").isNotNull()
+    named_source = F.when(field["source"].present, field["source"].written)
     chosen = parsed.select(
-        F.col("id").alias("raw_id"), "source_name", "collected_at",
+        F.col("id").alias("raw_id"), "collected_at",
+        F.coalesce(filled("source_name"), named_source, F.lit(UNKNOWN)).alias("source"),
         bad_json.alias("_bad_json"),
         (bad_title | bad_body | bad_category | field["url"].misfit).alias("_misfit"),
         title.alias("_title"), body.alias("_body"), category.alias("_category"),
@@ -76,7 +78,7 @@ def build_clean_rows(raw: DataFrame) -> DataFrame:
         .when(field["published"].present, field["published"].written).alias("_published"),
     )
     normalized = chosen.select(
-        "raw_id", "source_name", "collected_at", "_bad_json", "_misfit",
+        "raw_id", "source", "collected_at", "_bad_json", "_misfit",
         normalize_article("_title", "_body").alias("_a"),
         normalize_url("_url").alias("url"),
         normalize_text("_category").alias("_category"),
@@ -94,7 +96,7 @@ def build_clean_rows(raw: DataFrame) -> DataFrame:
         F.col("_a.title").alias("title"),
         text_body.alias("body"),
         "url",
-        F.coalesce(filled("source_name"), F.lit(UNKNOWN)).alias("source"),
+        "source",
         F.coalesce(filled("_category"), F.lit(UNKNOWN)).alias("category"),
         "published_at",
         "collected_at",

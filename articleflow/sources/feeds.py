@@ -51,10 +51,16 @@ def parse_feeds(docs: DataFrame, *, content: str = "content", seq: str = "doc_no
     if limit is not None:
         entries = F.slice(entries, 1, max(0, limit))
     rows = parsed.select(
-        "source_name", "category", "source_url", as_column(seq).alias("_doc"), broken.alias("_is_broken"),
+        "source_name", "category", "source_url", F.shiftleft(as_column(seq).cast("long"), 32).alias("_first_seq"),
+        broken.alias("_is_broken"),
         F.coalesce(F.col("_feed.channel.title"), F.col("_feed.title")).alias("feed_title"),
         F.posexplode(F.when(broken, F.array(F.lit(None).cast(_ENTRY))).otherwise(entries)).alias("pos", "_entry"),
     )
+    return _collected(rows)
+
+
+def _collected(rows: DataFrame) -> DataFrame:
+    """Entries (``_entry`` at ``pos`` of a document) as collected items."""
     entry = F.col("_entry")
     url = _entry_url(entry)
     ok = ~F.col("_is_broken") & url.isNotNull()
@@ -63,7 +69,7 @@ def parse_feeds(docs: DataFrame, *, content: str = "content", seq: str = "doc_no
         F.when(F.col("_is_broken"), 0).otherwise(1).alias("attempted"),
         ok.alias("ok"),
         F.when(~F.col("_is_broken"), F.col("pos")).alias("pos"),
-        (F.shiftleft(F.col("_doc").cast("long"), 32) + F.col("pos")).alias("seq"),
+        (F.col("_first_seq") + F.col("pos")).alias("seq"),
         F.coalesce(url, F.col("source_url"), F.lit("")).alias("url"),
         F.when(ok, F.coalesce(_first(entry["title"]), F.lit(""))).alias("title"),
         F.when(
@@ -90,6 +96,26 @@ def read_feed_files(spark, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
+def read_large_feed(
+    spark, path: str, *, source_name: str, category: str, source_url: str | None = None, entry_tag: str = "item"
+) -> DataFrame:
+    """The entries of a feed file too large for one task, read in splits.
+
+    Splits know neither the feed's title nor the place of an entry in the file: ``feed_title`` is NULL and
+    ``seq`` numbers entries in the order of the splits.
+    """
+    options = {"rowTag": entry_tag, "attributePrefix": "_", "valueTag": "_VALUE"}
+    schema = spark.createDataFrame([], f"_entry {_ENTRY}").schema["_entry"].dataType
+    entries = spark.read.format("xml").options(**options).schema(schema).load(path)
+    rows = entries.select(
+        F.lit(source_name).alias("source_name"), F.lit(category).alias("category"),
+        F.lit(source_url).cast("string").alias("source_url"), F.monotonically_increasing_id().alias("_first_seq"),
+        F.lit(False).alias("_is_broken"), F.lit(None).cast("string").alias("feed_title"), F.lit(0).alias("pos"),
+        F.struct(*entries.columns).alias("_entry"),
+    )
+    return _collected(rows)
+
+
 # Fixed value: the message of a feed that could not be had when no reason is given.
 MISSING_FEED = "HTTP 요청 실패"
 

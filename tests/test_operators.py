@@ -165,6 +165,11 @@ def test_clean_rows(spark):
             assert row.original_length == len(row.body or "") and len(row.content_hash) == 64 and row.source == "src"
 
 
+def test_source_name_falls_back_to_payload(spark):
+    raw = raw_table(spark, {"source_name": "", "raw_payload": payload(title="t", source="paper")}, {"source_name": ""})
+    assert [r.source for r in cleaning.build_clean_rows(raw).orderBy("raw_id").collect()] == ["paper", "unknown"]
+
+
 def test_cleaning_is_idempotent(spark):
     raw = raw_table(
         spark, {}, {}, {"raw_payload": payload(title="")}, {"status": "partial"}, {"raw_payload": payload(title="x", url="https://h/1/")}

@@ -68,6 +68,14 @@ def test_read_feed_files(spark, tmp_path):
     assert feeds.parse_feeds(docs).count() == 6
 
 
+def test_read_large_feed(spark, tmp_path):
+    (tmp_path / "big.xml").write_text(RSS, encoding="utf-8")
+    rows = feeds.read_large_feed(spark, str(tmp_path / "big.xml"), source_name="s", category="c", source_url="u")
+    whole = {(r.ok, r.url, r.title, r.body, r.external_id, r.error) for r in rows.collect()}
+    docs = spark.createDataFrame([(0, "s", "c", "u", RSS)], "doc_no long, source_name string, category string, source_url string, content string")
+    assert whole == {(r.ok, r.url, r.title, r.body, r.external_id, r.error) for r in feeds.parse_feeds(docs).collect()}
+
+
 def test_collect_feeds(spark):
     sources = spark.createDataFrame(
         [(0, "a", "https://h.test/f", "AI", {"display": "20"}), (1, "b", "https://h.test/g", "IT", None)],
