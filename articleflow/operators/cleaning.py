@@ -1,5 +1,7 @@
 """Raw rows to clean rows: payload fields with their fallbacks, normalization, rejection."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,36 +23,24 @@ NO_TITLE = "필수 필드 'title'이 비어 있습니다 (raw_id=%d)"
 NO_URL = "필수 필드 'url'이 비어 있습니다 (raw_id=%d)"
 
 
-class _Field:
-    """One JSON value of unknown type: its text, and whether it is empty or of a type that is no text."""
-
-    def __init__(self, variant: Column):
-        kind = F.coalesce(F.schema_of_variant(variant), F.lit("VOID"))
-        is_text = kind == "STRING"
-        self.text = F.when(is_text, F.try_variant_get(variant, "$", "string"))
-        number = F.coalesce(F.try_variant_get(variant, "$", "double"), F.lit(1.0))
-        is_empty = (
-            F.when(kind == "VOID", True)
-            .when(is_text, self.text == "")
-            .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(variant).isin("[]", "{}"))
-            .when(kind == "BOOLEAN", ~F.try_variant_get(variant, "$", "boolean"))
-            .otherwise(number == 0)
-        )
-        self.present = ~is_empty
-        self.misfit = self.present & ~is_text
-        self.written = F.when(is_text, self.text).otherwise(F.to_json(variant))
+def _describe(value: Column) -> Column:
+    """One JSON value of unknown type: its text, how it is written, whether it holds anything, whether that is no text."""
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    written = F.coalesce(text, F.to_json(value))
+    empty = written.isin("", "[]", "{}", "false", "null") | (F.coalesce(F.try_variant_get(value, "$", "double"), F.lit(1.0)) == 0)
+    present = (kind != "VOID") & F.when(kind == "STRING", text != "").otherwise(~empty)
+    return F.struct(
+        text.alias("text"), written.alias("written"), present.alias("present"), (present & (kind != "STRING")).alias("misfit")
+    )
 
 
-def _choose(*fields: _Field) -> tuple[Column, Column]:
-    """Text of the first field that holds something, and whether that one is not a text.
+def _first_present(fields: Column, *names: str) -> Column:
+    """The first of the named fields that holds something, or NULL.
 
     A white-space-only text counts as holding something and so keeps later fields from being used.
     """
-    text, misfit = F.lit(None).cast("string"), F.lit(False)
-    for field in reversed(fields):
-        text = F.when(field.present, field.text).otherwise(text)
-        misfit = F.when(field.present, field.misfit).otherwise(misfit)
-    return text, misfit
+    return F.get(F.filter(F.array(*[fields[_FIELDS.index(name)] for name in names]), lambda field: field["present"]), F.lit(0))
 
 
 def build_clean_rows(raw: DataFrame) -> DataFrame:
@@ -61,21 +51,23 @@ def build_clean_rows(raw: DataFrame) -> DataFrame:
     wrapped = F.concat(F.lit('{"p":'), "raw_payload", F.lit("}"))
     payload = F.from_json(wrapped, PAYLOAD_SCHEMA, PAYLOAD_OPTIONS)
     parsed = raw.select("id", "canonical_url", "source_name", "collected_at", payload.alias("_w"))
-    field = {name: _Field(F.col(f"_w.p.{name}")) for name in _FIELDS}
-    body, bad_body = _choose(field["body"], field["summary"], field["description"])
-    category, bad_category = _choose(field["category"])
-    title, bad_title = _choose(field["title"])
-    bad_json = F.col("_w.p").isNull() | F.col("_w._broken").isNotNull()
-    named_source = F.when(field["source"].present, field["source"].written)
-    chosen = parsed.select(
-        F.col("id").alias("raw_id"), "collected_at",
-        F.coalesce(filled("source_name"), named_source, F.lit(UNKNOWN)).alias("source"),
-        bad_json.alias("_bad_json"),
-        (bad_title | bad_body | bad_category | field["url"].misfit).alias("_misfit"),
-        title.alias("_title"), body.alias("_body"), category.alias("_category"),
-        F.when(field["url"].present, field["url"].text).otherwise(F.col("canonical_url")).alias("_url"),
-        F.when(field["published_at"].present, field["published_at"].written)
-        .when(field["published"].present, field["published"].written).alias("_published"),
+    described = parsed.withColumn("_f", F.transform(F.array(*[F.col(f"_w.p.{name}") for name in _FIELDS]), _describe))
+    roles = {
+        "_title": ("title",), "_url": ("url",), "_body": ("body", "summary", "description"), "_category": ("category",),
+        "_published": ("published_at", "published"), "_source": ("source",),
+    }
+    picked = described.select(
+        "id", "canonical_url", "source_name", "collected_at",
+        (F.col("_w.p").isNull() | F.col("_w._broken").isNotNull()).alias("_bad_json"),
+        *[_first_present(F.col("_f"), *names).alias(role) for role, names in roles.items()],
+    )
+    misfits = [F.coalesce(F.col(f"{role}.misfit"), F.lit(False)) for role in ("_title", "_url", "_body", "_category")]
+    chosen = picked.select(
+        F.col("id").alias("raw_id"), "collected_at", "_bad_json", reduce(lambda a, b: a | b, misfits).alias("_misfit"),
+        F.coalesce(filled("source_name"), F.col("_source.written"), F.lit(UNKNOWN)).alias("source"),
+        F.col("_title.text").alias("_title"), F.col("_body.text").alias("_body"), F.col("_category.text").alias("_category"),
+        F.when(F.col("_url").isNull(), F.col("canonical_url")).otherwise(F.col("_url.text")).alias("_url"),
+        F.col("_published.written").alias("_published"),
     )
     normalized = chosen.select(
         "raw_id", "source", "collected_at", "_bad_json", "_misfit",

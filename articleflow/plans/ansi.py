@@ -398,3 +398,10 @@ SQL["clean_rows"] = f"""WITH {_BUILT}
     CASE WHEN reject_reason IS NULL THEN strftime(TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INT), {ISO}) END AS published_at FROM r"""
 SQL["clean_outcomes"] = f"""WITH {_BUILT} SELECT CASE WHEN reject_reason IS NOT NULL THEN 'invalid' WHEN body IS NULL THEN 'no_body'
     ELSE 'ok' END AS outcome, count(*) AS n FROM r GROUP BY 1"""
+SQL["stream_distinct_urls"] = f"WITH {EVENTS} SELECT DISTINCT source_name, canonical_url FROM rows"
+SQL["stream_raw_inserts"] = f"""WITH {EVENTS}, firsts AS (
+    SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY source_name, canonical_url ORDER BY place) = 1)
+  SELECT row_number() OVER (ORDER BY place) AS id, source_name, canonical_url, status,
+    CASE WHEN status <> 'error' THEN seq::VARCHAR END AS external_id FROM firsts"""
+SQL["stream_clean"] = f"""WITH {_BUILT} SELECT row_number() OVER (ORDER BY raw_id) AS id, raw_id, url, title, category,
+    CASE WHEN body IS NULL THEN 'no_body' ELSE 'ok' END AS clean_status FROM r WHERE reject_reason IS NULL"""

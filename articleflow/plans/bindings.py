@@ -167,10 +167,14 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as the outcome of fetching items: errors fail, signups lack a title."""
+    return as_fetched(table(spark, sf_dir, "events"))
+
+
+def as_fetched(events: DataFrame) -> DataFrame:
+    """Events as the outcome of fetching items: errors fail, signups lack a title."""
     source = F.concat(F.lit("s"), F.col("user_id") % 8)
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         source.alias("source_name"), F.lit(1).alias("attempted"), (kind != "error").alias("ok"),
         F.col("event_id").alias("seq"),
         F.concat(F.lit("https://"), source, F.lit(".example.com/item/"), F.get_json_object("props", "$.k"), F.lit("/"), kind).alias("url"),

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from articleflow.functions.dates import normalize_date, to_iso
 from articleflow.functions.prompts import summary_prompt
 from articleflow.functions.replies import decode_list, encode_list, parse_analysis
-from articleflow.functions.text import http_error, normalize_text, redact, strip_html
-from articleflow.functions.urls import is_tracking_param, normalize_url, query_params, request_url, url_origin
+from articleflow.functions.text import content_hash, http_error, normalize_text, redact, strip_html
+from articleflow.functions.urls import is_tracking_param, normalize_url, query_params, request_url, url_host, url_origin
 from articleflow.operators import aggregates, analysis, cleaning, completion, ingest, merge, query
 from articleflow.plans import bindings
 from articleflow.session import materialize, shared_dir, spread
-from articleflow.sources import exports, feeds, robots, tables
+from articleflow.schemas import CLEAN_ARTICLES, RAW_ARTICLES
+from articleflow.sources import exports, feeds, registry, robots, tables
 from articleflow.sources.pages import crawl, extract_article, extract_links
+from articleflow.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,22 +288,17 @@ def crawl_pages(spark, sf_dir):
 @register
 def registry_match(spark, sf_dir):
     """Requests of every page against a registry of their hosts, of either type."""
-    from articleflow.sources.registry import match_sources
-    from articleflow.functions.urls import url_host
-
     rows = bindings.pages(spark, sf_dir).select("page_id", url_host("url").alias("source_name"))
-    registry = rows.select("source_name").distinct().where(~F.col("source_name").startswith("blog.")).select(
+    known = rows.select("source_name").distinct().where(~F.col("source_name").startswith("blog.")).select(
         "source_name", F.when(F.col("source_name").startswith("www."), "rss").otherwise("web").alias("type"),
         F.lit("news").alias("category"), F.lit(None).cast("string").alias("problem"),
     )
-    return match_sources(rows.withColumn("collection_method", F.lit("crawl")), registry).select("page_id", "source_name", "category", "problem")
+    return registry.match_sources(rows.withColumn("collection_method", F.lit("crawl")), known).select("page_id", "source_name", "category", "problem")
 
 
 @register
 def source_registry(spark, sf_dir):
     """A configuration text per customer segment and nation, exploded and checked."""
-    from articleflow.sources.registry import source_registry as read_registry
-
     customers = bindings.table(spark, sf_dir, "customer")
     name = F.concat(F.lit("c"), "c_custkey")
     is_rss = F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE")
@@ -314,7 +311,7 @@ def source_registry(spark, sf_dir):
         F.lit("body_selector"), F.when(F.col("c_acctbal") > 9000, "").otherwise("p"),
     )
     config = customers.select(F.to_json(F.struct(F.create_map(name, source).alias("sources"))).alias("text"))
-    return read_registry(config).select("source_name", "type", "category", "url", "problem")
+    return registry.source_registry(config).select("source_name", "type", "category", "url", "problem")
 
 
 # -- pages -----------------------------------------------------------------------------------------
@@ -492,8 +489,6 @@ def summary_update(spark, sf_dir):
 
 @register
 def duplicate_content_groups(spark, sf_dir):
-    from articleflow.functions.text import content_hash
-
     rows = spread(bindings.table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), "source", content_hash("lang", "text").alias("content_hash")
     )
@@ -613,17 +608,47 @@ def export_jsonl(spark, sf_dir):
     return exports.read_jsonl_export(spark, path, view.schema)
 
 
+def _event_stream(spark, sf_dir) -> DataFrame:
+    schema = bindings.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+
+
+def _streamed(spark, df: DataFrame) -> DataFrame:
+    """What a stream gives out when it has taken all that is there."""
+    out = shared_dir(spark, "stream")
+    job = df.writeStream.format("parquet").option("checkpointLocation", shared_dir(spark, "stream-log"))
+    job.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
 @register
 def stream_daily_trend(spark, sf_dir):
     """The events as a stream: days that the watermark has passed."""
-    from articleflow.session import prepare
-    from articleflow.streaming.incremental import daily_trend
+    stream = _event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("collected_at"))
+    return _streamed(spark, incremental.daily_trend(stream))
 
-    prepare(spark)
-    schema = bindings.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-    trend = daily_trend(stream.select(F.col("ts").cast("timestamp").alias("collected_at")))
-    out = shared_dir(spark, "trend")
-    job = trend.writeStream.format("parquet").option("checkpointLocation", shared_dir(spark, "trend-log"))
-    job.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(trend.schema).parquet(out)
+
+@register
+def stream_distinct_urls(spark, sf_dir):
+    rows = bindings.as_fetched(_event_stream(spark, sf_dir))
+    keys = rows.select("source_name", F.col("url").alias("canonical_url"), "collected_at")
+    return _streamed(spark, incremental.distinct_urls(keys)).select("source_name", "canonical_url")
+
+
+@register
+def stream_raw_inserts(spark, sf_dir):
+    """The events as arriving items, stored in an empty raw table."""
+    rows = ingest.to_raw_rows(bindings.as_fetched(_event_stream(spark, sf_dir)), "rss", F.col("collected_at"))
+    out = shared_dir(spark, "stream-raw")
+    incremental.stream_raw(rows, out, shared_dir(spark, "stream-log")).awaitTermination()
+    return tables.read_parts(spark, out, RAW_ARTICLES).select("id", *ingest.RAW_KEY, "status", "external_id")
+
+
+@register
+def stream_clean(spark, sf_dir):
+    """Raw documents as they arrive, cleaned into an empty table."""
+    inbox, out = shared_dir(spark, "raw-inbox"), shared_dir(spark, "stream-clean")
+    bindings.raw_documents(spark, sf_dir).write.parquet(inbox)
+    stream = spark.readStream.schema(RAW_ARTICLES).parquet(inbox)
+    incremental.stream_clean(stream, out, shared_dir(spark, "stream-log")).awaitTermination()
+    return tables.read_parts(spark, out, CLEAN_ARTICLES).select("id", "raw_id", "url", "title", "category", "clean_status")

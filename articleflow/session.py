@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _shipped: set[str] = set()
+_local_roots: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -36,15 +37,17 @@ def _package_archive() -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path for intermediate tables, below the folder the cluster names in spark.checkpoint.dir.
 
-    The setting is read from the session. Only where it is unset (tests, one machine) a local folder
-    is taken, and the choice is kept in the session so that a session uses one folder.
+    The setting is read from the session. Only where it is unset, and all tasks run on this machine (tests),
+    a local folder takes its place.
     """
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="articleflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if context.applicationId not in _local_roots:
+            _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="articleflow-")
+        root = _local_roots[context.applicationId]
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 

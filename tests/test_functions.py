@@ -1,7 +1,5 @@
 """Golden values of the scalar functions."""
 
-from datetime import datetime
-
 import pytest
 from pyspark.sql import functions as F
 

@@ -5,7 +5,6 @@ import random
 from datetime import datetime, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
 from articleflow import schemas
 from articleflow.operators import aggregates, analysis, cleaning, completion, ingest, merge, query

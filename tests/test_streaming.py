@@ -3,8 +3,6 @@
 import json
 from datetime import datetime
 
-from pyspark.sql import functions as F
-
 from articleflow.operators import ingest
 from articleflow.schemas import CLEAN_ARTICLES, RAW_ARTICLES
 from articleflow.sources.tables import read_parts
