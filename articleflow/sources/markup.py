@@ -2,7 +2,8 @@
 
 Elements are matched when their start tag is read, against the stack of open elements, and their text
 is gathered until they are closed; no tree is kept. ``<p>`` and the like are not closed implicitly, so an
-unclosed element holds the text of those that follow inside it.
+unclosed element holds the text of those that follow inside it. ``repeat=False`` gives such text to the inner
+element only, which keeps the output no longer than the page.
 """
 
 import html
@@ -93,12 +94,13 @@ def _matches(chains, opened: list, element) -> bool:
 class Collector(HTMLParser):
     """Gathers, per named selector, the attributes and the text pieces of every matching element."""
 
-    def __init__(self, selectors: dict[str, str]):
+    def __init__(self, selectors: dict[str, str], repeat: bool = True):
         super().__init__(convert_charrefs=False)
         self._selectors = {name: parse_selector(selector) for name, selector in selectors.items()}
         self.found: dict[str, list[tuple[dict, list[str]]]] = {name: [] for name in selectors}
         self._opened: list[tuple[str, dict]] = []
-        self._catching: list[list[list[str]]] = []
+        self._catching: list[dict[str, list[str]]] = []
+        self._repeat = repeat
         self._silent = 0
         self._run: list[str] = []
 
@@ -106,9 +108,12 @@ class Collector(HTMLParser):
         text = "".join(self._run).strip()
         self._run.clear()
         if text and not self._silent:
-            for catchers in self._catching:
-                for pieces in catchers:
-                    pieces.append(text)
+            served: set[str] = set()
+            for catchers in reversed(self._catching):
+                for name, pieces in catchers.items():
+                    if self._repeat or name not in served:
+                        pieces.append(text)
+                served.update(catchers)
 
     def handle_starttag(self, tag, attrs):
         self._open(tag, attrs)
@@ -122,12 +127,12 @@ class Collector(HTMLParser):
     def _open(self, tag, attrs) -> None:
         self._end_run()
         element = (tag, {name: value or "" for name, value in attrs})
-        catchers: list[list[str]] = []
+        catchers: dict[str, list[str]] = {}
         for name, chains in self._selectors.items():
             if _matches(chains, self._opened, element):
                 pieces: list[str] = []
                 self.found[name].append((element[1], pieces))
-                catchers.append(pieces)
+                catchers[name] = pieces
         self._opened.append(element)
         self._catching.append(catchers)
         self._silent += tag in SILENT_TAGS
@@ -165,8 +170,8 @@ class Collector(HTMLParser):
             self._end_run()
 
 
-def collect(markup: str, selectors: dict[str, str]) -> dict[str, list[tuple[dict, list[str]]]]:
-    collector = Collector(selectors)
+def collect(markup: str, selectors: dict[str, str], repeat: bool = True) -> dict[str, list[tuple[dict, list[str]]]]:
+    collector = Collector(selectors, repeat)
     collector.feed(markup)
     collector.close()
     collector._end_run()

@@ -99,14 +99,16 @@ _FIELDS = T.StructType(
 
 
 @arrow_udf(_FIELDS)
-def _article_fields(markups: pa.Array, titles: pa.Array, bodies: pa.Array, dates: pa.Array) -> pa.Array:
+def _article_fields(
+    markups: pa.Array, titles: pa.Array, bodies: pa.Array, dates: pa.Array, repeats: pa.Array
+) -> pa.Array:
     out = []
-    for markup, *own in zip(markups.to_pylist(), titles.to_pylist(), bodies.to_pylist(), dates.to_pylist()):
+    for markup, repeat, *own in zip(*[column.to_pylist() for column in (markups, repeats, titles, bodies, dates)]):
         if markup is None:
             out.append(None)
             continue
         chosen = {name: selector for name, selector in zip(("title", "body", "date"), own) if selector}
-        found = collect(markup, FALLBACKS | chosen)
+        found = collect(markup, FALLBACKS | chosen, repeat)
 
         def first(name):
             return next(iter(found.get(name, ())), (None, None))
@@ -139,14 +141,19 @@ def extract_article(
     title_selector: Column | str | None,
     body_selector: Column | str | None,
     date_selector: Column | str | None = None,
+    *,
+    repeat_nested: bool = True,
 ) -> Column:
     """``struct<title, body, published_raw>`` of an article page; what is not found stays NULL.
 
     Title: own selector, then the first ``h1``, then ``<title>``. Body: all matches, blank line between.
     Date: ``datetime``, ``content`` or text of the own selector, then the two usual ``<meta>`` tags.
+
+    A match inside another match (after an unclosed paragraph, say) has its text in both; on pages with very
+    many such paragraphs ``repeat_nested=False`` keeps the body as long as the page, each text once.
     """
     raw = _article_fields(
-        as_column(html), *[_literal_or_column(s) for s in (title_selector, body_selector, date_selector)]
+        as_column(html), *[_literal_or_column(s) for s in (title_selector, body_selector, date_selector)], F.lit(repeat_nested)
     )
     texts = F.filter(raw["bodies"], lambda chunk: chunk != "")
     meta = F.when(raw["has_meta_published"], raw["meta_published"]).otherwise(raw["meta_date"])
@@ -162,7 +169,7 @@ MISSING_PAGE = "HTTP 요청 실패"
 
 
 def crawl(
-    sources: DataFrame, pages: DataFrame, *, limit: int | None = None, detail_url: str = "url"
+    sources: DataFrame, pages: DataFrame, *, limit: int | None = None, detail_url: str = "url", repeat_nested: bool = True
 ) -> DataFrame:
     """List page -> links -> article pages for every web source, one row per attempted article.
 
@@ -185,7 +192,8 @@ def crawl(
     ).drop("html", "error")
     links = _one_per_link(listed)
     detail = links.join(fetched, F.col("link") == F.col("_page"), "left")
-    article = extract_article("html", F.col("title_selector"), F.col("body_selector"), F.col("date_selector"))
+    selectors = [F.col(f"{name}_selector") for name in ("title", "body", "date")]
+    article = extract_article("html", *selectors, repeat_nested=repeat_nested)
     failed_list, failed = F.col("_list_error").isNotNull(), F.col("html").isNull()
     return detail.withColumn("_article", article).select(
         "source_name",

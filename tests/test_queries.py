@@ -72,7 +72,7 @@ def test_no_pairwise_joins(spark, plan_of, name):
         ("analysis_blocks", r"WindowGroupLimit .* 50, Partial"),
         ("list_page", r"TakeOrderedAndProject"),
         ("latest_analysis", r"TakeOrderedAndProject"),
-        ("filter_keyword", r"RLIKE \(\?is\)THE"),
+        ("filter_keyword", r"RLIKE\(.*\(\?is\)THE\)"),
         ("filter_category_source", r"PushedFilters: \[[^\]]*EqualTo\(lang,en\)"),
         ("article_by_id", r"PushedFilters: \[[^\]]*EqualTo\(doc_id,42\)"),
         ("category_counts", r"ReadSchema: struct<lang:string>"),

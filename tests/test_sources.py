@@ -114,6 +114,19 @@ def test_article_fallbacks(spark):
 def test_unclosed_paragraphs_hold_what_follows():
     found = collect("<div><p>a<p>b</p>c</div><p>d", {"p": "p"})["p"]
     assert [" ".join(pieces) for _, pieces in found] == ["a b c", "b", "d"]
+    once = collect("<div><p>a<p>b</p>c</div><p>d", {"p": "p", "d": "div"}, repeat=False)
+    assert [" ".join(pieces) for _, pieces in once["p"]] == ["a c", "b", "d"]
+    assert [" ".join(pieces) for _, pieces in once["d"]] == ["a b c"]
+
+
+def test_nested_text_once_stays_as_long_as_the_page(spark):
+    many = "<p>" + "<p>".join(str(i) for i in range(300))
+    row = spark.createDataFrame([(many,)], "html string")
+    whole, once = row.select(
+        pages.extract_article("html", None, "p").alias("a"), pages.extract_article("html", None, "p", repeat_nested=False).alias("b")
+    ).select("a.body", "b.body").first()
+    assert once == "\n\n".join(str(i) for i in range(300))
+    assert whole.split("\n\n")[298] == "298 299" and whole.startswith("0 1 2 ")
 
 
 LIST = """<div id="box"><ul class="g x"><li><a href="/a/1">1</a><a href="/a/2">2</a><a href="/a/2">again</a>
