@@ -71,8 +71,9 @@ def without_tags(html: str) -> str:
 
 
 def unescaped(html: str) -> str:
+    """The entities of the sample pages; HTML reads these names without their semicolon too (cut-off titles end so)."""
     for name, mark in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        html = f"replace({html}, '&{name};', '{mark}')"
+        html = f"regexp_replace({html}, '&{name};?', '{mark}', 'g')"
     return html
 
 

@@ -111,6 +111,11 @@ def test_article_fallbacks(spark):
     assert article(spark, '<meta name="date" content="2026-02-02">', None, "p", None) == (None, None, "2026-02-02")
 
 
+def test_entities():
+    found = collect("<h1>a &amp b &amp;amp; &lt;i&gt; &#65;&#x42; &copy &nosuch; &amp</h1>", {"h": "h1"})["h"]
+    assert found[0][1] == ["a & b &amp; <i> AB © &nosuch &"]
+
+
 def test_unclosed_paragraphs_hold_what_follows():
     found = collect("<div><p>a<p>b</p>c</div><p>d", {"p": "p"})["p"]
     assert [" ".join(pieces) for _, pieces in found] == ["a b c", "b", "d"]
