@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from articleflow.plans.ansi import SQL
+from articleflow.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,10 +30,10 @@ def ordered(rows, columns):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sql, name):
     got = entry.queries()[name](spark, SMALL)
     want = sql.sql(entry.oracle_sql()[name])
@@ -56,7 +58,7 @@ def test_partitions_do_not_matter(spark, name):
     assert results[0] == results[1] == results[2]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairwise_joins(spark, plan_of, name):
     plan = plan_of(entry.queries()[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
