@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow.llm.common import documents
 from articleflow.llm.lines import dedup_lines
+from articleflow.llm.packing import pack_documents
+from articleflow.llm.secrets import find_secrets
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _joined(spans: Column | str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by pattern and by entropy in every text."""
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return find_secrets(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"),
+        *(_count("spans", kind) for kind in ("assign", "access", "hex")),
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined("spans").alias("spans"),
+    )
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of at most 2048 tokens, packed into sequences."""
+    import public_tokenizers
+
+    packed = pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,4 +45,4 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup}
+QUERIES = {"op1_secrets": op1_secrets, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup}
