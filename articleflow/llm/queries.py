@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import documents
+from articleflow.llm import quality
+from articleflow.llm.common import documents, fold, table
 from articleflow.llm.lines import dedup_lines
 from articleflow.llm.packing import pack_documents
 from articleflow.llm.secrets import find_secrets
@@ -30,6 +31,15 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all texts by a model of the labels outside fold 1 of 3."""
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1, metadata=("n_chars",))
+    return docs.select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), quality.score(model, metadata=("n_chars",)).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 2048 tokens, packed into sequences."""
     import public_tokenizers
@@ -45,4 +55,4 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup}
