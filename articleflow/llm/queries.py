@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from articleflow.llm import quality
 from articleflow.llm.common import documents, fold, table
+from articleflow.llm.contamination import flagged
 from articleflow.llm.jaccard import near_duplicates
 from articleflow.llm.lines import dedup_lines
 from articleflow.llm.packing import pack_documents
@@ -56,9 +57,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, verbatim or with other numbers, names and units."""
+    found = flagged(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "is_leak", F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that link at a Jaccard similarity of 0.75 of their 5-word shingles."""
     return near_duplicates(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op8_jaccard": op8_jaccard}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard}
