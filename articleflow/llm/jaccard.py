@@ -23,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,10 +75,10 @@ class FrequentCounts:
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """For each document (id, n, cls, counts), and rows (shingle, seen) of what is frequent in a task."""
+    """For each document (id, version, n, cls, counts), where version is a hash of the text, and rows (shingle, seen) of what is frequent in a task."""
     schema = T.StructType(
         [
-            T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()),
+            T.StructField("id", docs.schema[id_col].dataType), T.StructField("version", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()),
             T.StructField("counts", T.BinaryType()), T.StructField("shingle", T.LongType()), T.StructField("seen", T.LongType()),
         ]
     )
@@ -92,15 +92,16 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 frequent.add(np.concatenate(sets))
                 counts = [np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4").tobytes() for s in sets]
                 none = pa.nulls(len(sets), pa.int64())
-                columns = [part.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64()), pa.array(counts, pa.binary()), none, none]
+                columns = [part.column("id"), part.column("version"), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64()), pa.array(counts, pa.binary()), none, none]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
         again = frequent.counts > 1
         if again.any():
             values, seen = pa.array(frequent.values[again].view(np.int64)), pa.array(frequent.counts[again])
             none = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(values), id_type), none, none, pa.nulls(len(values), pa.binary()), values, seen], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(values), id_type), none, none, none, pa.nulls(len(values), pa.binary()), values, seen], schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    inputs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("string").alias("text"))
+    return inputs.mapInArrow(run, schema)
 
 
 def meetings(docs: DataFrame, text_col: str, size: int, threshold: Fraction, frequent: list[tuple[int, int]]) -> DataFrame:
@@ -287,9 +288,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
-    """(id, n_shingles, cls, component): one row per document; component is the smallest id that links reach."""
+    """(id, version, n_shingles, label, component): one row per document; component is the smallest id that links reach.
+
+    ``version`` is a hash of the text; ``label`` tells components apart whatever their ids, and is null for empty sets.
+    """
     profile = stored(profiles(docs, id_col, text_col, size), "profiles")
-    members = profile.filter("n is not null").select("id", "n", "cls", "counts")
+    members = profile.filter("n is not null").select("id", "version", "n", "cls", "counts")
     counted = profile.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen"))
     frequent = [tuple(r) for r in counted.orderBy(F.desc("seen"), "shingle").limit(FREQUENT).collect()]
     least = max(8, members.count() // 1000)
@@ -312,6 +316,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = connected(links, "a", "b")
     joined = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc", F.coalesce("component", "cls").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("doc").alias("component"))
-    of_class = joined.join(smallest, "label").select("cls", "component")
+    of_class = joined.join(smallest, "label").select("cls", "label", "component")
     found = members.join(of_class, "cls", "left")
-    return found.select("id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    return found.select("id", "version", F.col("n").alias("n_shingles"), "label", component.alias("component"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id (null last); texts without words all stay."""
+    found = stored(near_duplicates(docs, id_col, text_col, size, threshold), "near-duplicates")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "version")).alias("first")
+    keepers = found.filter("label is not null").groupBy("label").agg(first).select("first.id", "first.version", F.lit(True).alias("single"))
+    empty = found.filter("label is null").select("id", "version", F.lit(False).alias("single")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_version"))
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_version") == F.col("version"))
+    kept = rows.join(keepers.union(empty), same)
+    nth = F.row_number().over(Window.partitionBy("row_id", "row_version").orderBy("row_id"))
+    return kept.withColumn("nth", nth).filter("nth = 1 or not single").select("row.*")
