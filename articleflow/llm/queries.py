@@ -9,6 +9,7 @@ from articleflow.llm import quality
 from articleflow.llm.common import documents, fold, table
 from articleflow.llm.contamination import flagged
 from articleflow.llm.jaccard import near_duplicates
+from articleflow.llm.lattice import near_vectors
 from articleflow.llm.lines import dedup_lines
 from articleflow.llm.packing import pack_documents
 from articleflow.llm.secrets import find_secrets
@@ -57,6 +58,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings with a cosine of at least 0.95."""
+    found = near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, verbatim or with other numbers, names and units."""
     found = flagged(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -68,4 +75,4 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard}

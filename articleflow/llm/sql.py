@@ -24,6 +24,24 @@ FROM marked m JOIN (SELECT doc_id, list(CAST(size AS INTEGER) ORDER BY run) AS k
 GROUP BY m.doc_id
 """
 
+OP6 = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), usable AS (
+  SELECT vec_id, v FROM vectors
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM vectors UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), found AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT f.vec_id, coalesce(n.n, 0) AS n_links, f.component_id, f.vec_id = f.component_id AS kept
+FROM found f LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) n USING (vec_id)
+"""
+
 OP8 = r"""
 WITH RECURSIVE bags AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') AS words
@@ -45,4 +63,4 @@ SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.b) AS componen
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
 """
 
-SQL = {"op5_line_dedup": OP5, "op8_jaccard": OP8}
+SQL = {"op5_line_dedup": OP5, "op6_lattice": OP6, "op8_jaccard": OP8}
