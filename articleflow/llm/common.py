@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.session import materialize, prepare
+from articleflow.session import materialize, prepare, shared_dir
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -37,8 +37,19 @@ def _freeing_shuffles(spark: SparkSession):
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written below spark.checkpoint.dir and read back: cuts the lineage, computes Python steps once."""
+    path = shared_dir(df.sparkSession, name)
     with _freeing_shuffles(df.sparkSession):
-        return materialize(df, name=name)
+        table = materialize(df, path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote, once all that reads them has been written too."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(id_col: str, folds: int) -> Column:

@@ -5,7 +5,8 @@ smaller of their counts in each group, so a pair whose sum is too small for its
 same holds of a node with the largest counts below it, and whole nodes are passed over.
 
 Documents with the same set are one class. Which classes meet in a tree follows from the threshold: two sets that link share a shingle
-among the first ``n - ceil(t n) + 1`` of each in any fixed order, here frequent shingles last. The few shingles that are frequent are found by mergeable
+among the first ``n - ceil(t n) + 1`` of each in any fixed order, here frequent shingles last, and shingles
+shared by just the same classes are one meeting place. The few shingles that are frequent are found by mergeable
 counts over all documents; they only set the order, results don't depend on them. Meeting classes are first tried against one leader of
 each meeting place (so a large family of near copies costs one check for each member, not one for each pair); what the links found so far don't
 connect meets in R-trees; pairs that survive the bound are verified on whole sets. No link between different sets is lost.
@@ -27,11 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from articleflow.llm.common import slices, stored, texts_of, utf8
+from articleflow.llm.common import discard, slices, stored, texts_of, utf8
 from articleflow.llm.components import connected
 from articleflow.llm.words import find_words, mixed, windows
 
-GROUPS = 64
+#: Groups of a set of ``n`` shingles: the power of two from ``n / 2`` on, between these bounds. Counts fold to half as many groups by sums.
+LEAST_GROUPS, MOST_GROUPS = 64, 1 << 16
 #: Shingles counted at a time in a task, and frequent ones told apart at most.
 COUNTERS, FREQUENT = 1 << 16, 20_000
 #: Rounds with leaders before the trees, and classes in one tree.
@@ -58,6 +60,21 @@ def class_of(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
+def group_counts(shingles: np.ndarray) -> bytes:
+    """The point of a set: shingles in each of its groups, which are stretches of the hash range."""
+    bits = min(max(len(shingles) // 2, LEAST_GROUPS) - 1, MOST_GROUPS - 1).bit_length()
+    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+
+
+def folded(points: list[bytes]) -> np.ndarray:
+    """Points as rows with as many groups as the one with the fewest has."""
+    width = min(map(len, points)) // 2
+    out = np.empty((len(points), width), np.int32)
+    for row, point in zip(out, points, strict=True):
+        row[:] = np.frombuffer(point, "<u2").reshape(width, -1).sum(axis=1, dtype=np.int32)
+    return out
+
+
 class FrequentCounts:
     """Counts of the frequent values of a stream in bounded memory: when there are too many, all are lowered by the same amount."""
 
@@ -90,7 +107,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
             for part in slices(batch):
                 sets = list(shingle_sets(texts_of(part), size))
                 frequent.add(np.concatenate(sets))
-                counts = [np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4").tobytes() for s in sets]
+                counts = [group_counts(s) for s in sets]
                 none = pa.nulls(len(sets), pa.int64())
                 columns = [part.column("id"), part.column("version"), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64()), pa.array(counts, pa.binary()), none, none]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
@@ -211,33 +228,36 @@ class CountTree:
 def tree_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs (a, b) of classes of one place and of different labels that survive the bound. ``rows``: place, cls, n, label, counts.
 
-    A place with many rows is split into blocks, and each two blocks meet in a tree of their own.
+    Sizes of a pair are in the same band or in neighbouring ones, so the rows of a place meet by bands. Where many rows meet they are split
+    into blocks, and each two blocks meet in a tree of their own.
     """
-    sizes = rows.groupBy("place").agg(F.count("*").alias("rows"), F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last")
-    blocks = sizes.select("place", F.ceil(F.col("rows") / TREE_ROWS).cast("int").alias("blocks"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(threshold.denominator / threshold.numerator)) + 1e-9).cast("int")
+    by_band = rows.withColumn("band", band).withColumn("meets", F.explode(F.array("band", F.col("band") + 1)))
+    sizes = by_band.groupBy("place", "meets").agg(F.count("*").alias("rows"), F.min("label").alias("first"), F.max("label").alias("last"), F.max("band").alias("top"))
+    sizes = sizes.filter("first <> last and top = meets")
+    blocks = sizes.select("place", "meets", F.ceil(F.col("rows") / TREE_ROWS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    met = rows.join(blocks, "place").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("place", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "cls", "n", "label", "counts")
+    met = by_band.join(blocks, ["place", "meets"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("place", "meets", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", (F.col("band") < F.col("meets")).alias("guest"), "cls", "n", "label", "counts")
 
     def search(group: pa.Table) -> pa.Table:
-        cls, n, label, own, left, right = (group[c].to_numpy() for c in ("cls", "n", "label", "own", "left", "right"))
+        cls, n, label, own, guest = (group[c].to_numpy() for c in ("cls", "n", "label", "own", "guest"))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(cls) > 1 and (label != label[0]).any():
-            counts = np.frombuffer(b"".join(group["counts"].to_pylist()), "<u4").reshape(len(cls), GROUPS).astype(np.int64)
-            tree = CountTree(n, counts)
-            cls, label, own = cls[tree.order], label[tree.order], own[tree.order]
-            for item in range(len(cls)):
+        if len(cls) > 1 and not guest.all() and (label != label[0]).any():
+            tree = CountTree(n, folded(group["counts"].to_pylist()))
+            cls, label, own, guest = cls[tree.order], label[tree.order], own[tree.order], guest[tree.order]
+            split = group["left"][0].as_py() != group["right"][0].as_py()
+            for item in range(len(cls) - 1):
                 found = tree.reaching(item, threshold)
-                found = found[label[found] != label[item]]
-                if left[0] != right[0]:  # pairs inside a block meet in the block's own tree
-                    found = found[own[found] != own[item]]
+                # guests met each other in their own band, and a block's own pairs in its own tree
+                found = found[(label[found] != label[item]) & ~(guest[found] & guest[item]) & ((own[found] != own[item]) | (not split))]
                 if len(found):
                     a.append(np.full(len(found), cls[item]))
                     b.append(cls[found])
         x, y = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    return met.groupBy("place", "left", "right").applyInArrow(search, "a long, b long").distinct()
+    return met.groupBy("place", "meets", "left", "right").applyInArrow(search, "a long, b long").distinct()
 
 
 def star_pairs(rows: DataFrame, turn: int, threshold: Fraction) -> DataFrame:
@@ -256,9 +276,9 @@ def within_bound(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("counts_a", "counts_b"))
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            good = np.minimum(x, y).sum(axis=1, dtype=np.int64) * s >= t * total
+            pairs = zip(batch.column("counts_a").to_pylist(), batch.column("counts_b").to_pylist(), strict=True)
+            good = np.fromiter((np.minimum(*folded(list(pair))).sum() for pair in pairs), np.int64, len(total)) * s >= t * total
             yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(good))
 
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"counts_{k}"))
@@ -280,11 +300,21 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                 right = [i for i, s in enumerate(sets) if class_of(s) == wanted[i]]  # another row may have the same id
                 yield pa.RecordBatch.from_arrays([pa.array([wanted[i] for i in right], pa.int64()), pa.array([sets[i].view(np.int64) for i in right], pa.list_(pa.int64()))], ["cls", "shingles"])
 
-    sets = stored(found.mapInArrow(run, "cls long, shingles array<long>"), "sets").dropDuplicates(["cls"])
+    whole = stored(found.mapInArrow(run, "cls long, shingles array<long>"), "sets")
+    sets = whole.dropDuplicates(["cls"])
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("shingles").alias(f"set_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     linked = (F.col("common") * (threshold.numerator + threshold.denominator)) >= ((F.col("n_a") + F.col("n_b")) * threshold.numerator)
-    return both.filter(linked).select("a", "b")
+    links = stored(both.filter(linked).select("a", "b"), "links")
+    discard(whole, needed)
+    return links
+
+
+def distinct_places(met: DataFrame) -> DataFrame:
+    """``met`` with one place of those where just the same classes meet."""
+    who = [F.count("*").alias("rows"), F.bit_xor(F.xxhash64("cls")).alias("who"), F.bit_xor(F.xxhash64(F.lit("cls"), "cls")).alias("who_else")]
+    chosen = met.groupBy("place").agg(*who).filter("rows > 1").groupBy("rows", "who", "who_else").agg(F.min("place").alias("place"))
+    return met.join(chosen.select("place"), "place", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
@@ -299,7 +329,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = max(8, members.count() // 1000)
     frequent = [(v, w) for v, w in frequent if w >= least]
     classes = stored(members.filter("n > 0").groupBy("cls").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("counts").alias("counts")), "classes")
-    met = stored(meetings(docs, text_col, size, threshold, frequent), "meetings")
+    every = stored(meetings(docs, text_col, size, threshold, frequent), "meetings")
+    met = stored(distinct_places(every), "places")
+    discard(every)
     links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
         rows = met.withColumn("label", F.col("cls"))
@@ -312,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = tree_pairs(rows.join(several, "place", "left_semi").join(classes.select("cls", "counts"), "cls"), threshold)
         pairs = stored(within_bound(pairs, classes, threshold), "pairs")
         new = verified(pairs, classes, docs, id_col, text_col, size, threshold)
-        links = stored(new if links is None else links.union(new), "links")
+        links = new if links is None else stored(links.union(new), "links")
         labels = connected(links, "a", "b")
     joined = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc", F.coalesce("component", "cls").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("doc").alias("component"))
