@@ -12,6 +12,7 @@ from articleflow.llm.jaccard import near_duplicates
 from articleflow.llm.lattice import near_vectors
 from articleflow.llm.lines import dedup_lines
 from articleflow.llm.packing import pack_documents
+from articleflow.llm.privacy import BASE_KINDS, find_personal_data
 from articleflow.llm.secrets import find_secrets
 
 
@@ -75,4 +76,12 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard}
+def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by pattern, and the terms that reveal it, in every text."""
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return find_personal_data(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), *(_count("spans", kind) for kind in BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans")
+    )
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy}
