@@ -9,6 +9,7 @@ from articleflow.llm import quality
 from articleflow.llm.common import documents, fold, table
 from articleflow.llm.contamination import flagged
 from articleflow.llm.jaccard import near_duplicates
+from articleflow.llm.language import language_scores
 from articleflow.llm.lattice import near_vectors
 from articleflow.llm.lines import dedup_lines
 from articleflow.llm.packing import pack_documents
@@ -84,4 +85,11 @@ def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all texts by counts and by a model of the texts outside fold 0 of 10."""
+    held_out = fold("doc_id", 10) == 0
+    found = language_scores(documents(spark, sf_dir), ~held_out)
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy, "op10_language": op10_language}
