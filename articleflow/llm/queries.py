@@ -15,6 +15,7 @@ from articleflow.llm.lines import dedup_lines
 from articleflow.llm.packing import pack_documents
 from articleflow.llm.privacy import BASE_KINDS, find_personal_data
 from articleflow.llm.secrets import find_secrets
+from articleflow.llm.suffixes import remove_repeats
 
 
 def _count(spans: str, kind: str) -> Column:
@@ -45,6 +46,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts without the bytes that are in a string of 400 bytes that starts elsewhere too."""
+    found = remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r["end"] - r["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 2048 tokens, packed into sequences."""
     import public_tokenizers
@@ -92,4 +102,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy, "op10_language": op10_language}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy, "op10_language": op10_language}

@@ -29,11 +29,16 @@ def _ladder(unit: int, count: int) -> np.ndarray:
         while len(grown) < max(count, PIECE + 1):
             grown = np.concatenate([grown, grown * np.uint64(pow(unit, len(grown), 1 << 64))])
         have = grown
-        if count <= PIECE + 1:
+        if count <= 2 * PIECE:
             _powers[unit] = have
     return have[:count]
 
 
+def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number modulo 2**64, and those of its inverse: with sums of ``value * up``, stretches get hashes free of their place."""
+    return _ladder(_BASE, count), _ladder(_UNIT, count)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values, so that any bits of them may serve as a bucket."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
