@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from articleflow.llm.common import stored
 
 WINDOW = 8
-#: Windows of an item that must match at one shift, or all of them if it has fewer.
+#: Windows of an item that must match at one shift, or all but one if it has fewer: the first word may look like a name inside a sentence.
 LEAST_WINDOWS = 5
 #: Windows of items that may be broadcast (24 bytes each).
 BROADCAST_WINDOWS = 500_000
@@ -29,7 +29,7 @@ UNITS = (
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees"
 ).split()
 
-_NAME = r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{L}*)"
+_NAME = r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}+)(?!\p{L})"
 _NUMBER = r"([0-9]+)"
 _UNIT = r"(<n[0-9]*\s+)(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _GAP = r"[^\p{L}\p{N}<]+"
@@ -64,7 +64,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     side = F.broadcast(item_windows) if item_windows.count() <= BROADCAST_WINDOWS else item_windows
     bodies = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("string").alias("body"))
     met = template_windows(bodies, "body", "id", "version").join(side, "hash")
-    needed = item_windows.groupBy(F.col("item").alias("of_item"), F.col("item_version").alias("of_version")).agg(F.least(F.count("*"), F.lit(LEAST_WINDOWS)).alias("needed"))
+    needed = item_windows.groupBy(F.col("item").alias("of_item"), F.col("item_version").alias("of_version")).agg(F.greatest(F.lit(1), F.least(F.count("*") - 1, F.lit(LEAST_WINDOWS))).alias("needed"))
     runs = met.groupBy("id", "version", "item", "item_version", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.min("item_pos").alias("first"), F.max("item_pos").alias("last"), F.count_distinct("item_pos").alias("n")
     )
