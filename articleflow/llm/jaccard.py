@@ -7,8 +7,8 @@ same holds of a node with the largest counts below it, and whole nodes are passe
 Documents with the same set are one class. Which classes meet in a tree follows from the threshold: two sets that link share a shingle
 among the first ``n - ceil(t n) + 1`` of each in any fixed order, here frequent shingles last, and shingles
 shared by just the same classes are one meeting place. The few shingles that are frequent are found by mergeable
-counts over all documents; they only set the order, results don't depend on them. Meeting classes are first tried against one leader of
-each meeting place (so a large family of near copies costs one check for each member, not one for each pair); what the links found so far don't
+counts over all documents; they only set the order, results don't depend on them. Meeting classes are first tried against a few leaders of
+each meeting place (so a large family of near copies costs a check or two for each member, not one for each pair); what the links found so far don't
 connect meets in R-trees; pairs that survive the bound are verified on whole sets. No link between different sets is lost.
 
 Defined results: texts without words (null, empty, white space) have an empty set and link with nothing; with fewer words than a
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,13 @@ from articleflow.llm.components import connected
 from articleflow.llm.words import find_words, mixed, windows
 
 #: Groups of a set of ``n`` shingles: the power of two from ``n / 2`` on, between these bounds. Counts fold to half as many groups by sums.
-LEAST_GROUPS, MOST_GROUPS = 64, 1 << 16
+LEAST_GROUPS, MOST_GROUPS = 256, 1 << 16
 #: Shingles counted at a time in a task, and frequent ones told apart at most.
 COUNTERS, FREQUENT = 1 << 16, 20_000
-#: Rounds with leaders before the trees, and classes in one tree.
-STAR_ROUNDS, TREE_ROWS = 2, 512
+#: Leaders of a place that all its classes are tried against before the trees.
+LEADERS = 2
+#: Classes in one leaf and in one tree.
+LEAF_ROWS, TREE_ROWS = 16, 512
 #: Classes whose rows a task remembers to have given.
 REMEMBERED = 1 << 20
 
@@ -225,20 +228,26 @@ class CountTree:
         return nodes[nodes > item]
 
 
-def tree_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (a, b) of classes of one place and of different labels that survive the bound. ``rows``: place, cls, n, label, counts.
+def tree_pairs(rows: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (a, b) of classes of one place and of different labels that survive the bound. ``rows``: place, cls, n, label.
 
-    Sizes of a pair are in the same band or in neighbouring ones, so the rows of a place meet by bands. Where many rows meet they are split
-    into blocks, and each two blocks meet in a tree of their own.
+    Sizes of a pair are in the same band or in neighbouring ones, so the rows of a place meet by bands. A few rows are one leaf, whose
+    pairs are left to ``within_bound``. More rows meet in a tree; where very many do, they are split into blocks and each two blocks meet.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(threshold.denominator / threshold.numerator)) + 1e-9).cast("int")
     by_band = rows.withColumn("band", band).withColumn("meets", F.explode(F.array("band", F.col("band") + 1)))
     sizes = by_band.groupBy("place", "meets").agg(F.count("*").alias("rows"), F.min("label").alias("first"), F.max("label").alias("last"), F.max("band").alias("top"))
-    sizes = sizes.filter("first <> last and top = meets")
-    blocks = sizes.select("place", "meets", F.ceil(F.col("rows") / TREE_ROWS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    met = by_band.join(blocks, ["place", "meets"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("place", "meets", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", (F.col("band") < F.col("meets")).alias("guest"), "cls", "n", "label", "counts")
+    sizes = sizes.filter("first <> last and top = meets").select("place", "meets", "rows")
+    met = stored(by_band.join(sizes, ["place", "meets"]).select("place", "meets", "rows", "cls", "n", "label", (F.col("band") < F.col("meets")).alias("guest")), "meeting-bands")
+    leaves = met.filter(F.col("rows") <= LEAF_ROWS)
+    x, y = leaves.alias("x"), leaves.alias("y")
+    apart = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.guest") & F.col("y.guest")) & _fits("x.n", "y.n", threshold)
+    pairs = x.join(y, (F.col("x.place") == F.col("y.place")) & (F.col("x.meets") == F.col("y.meets")) & apart).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+
+    many = met.filter(F.col("rows") > LEAF_ROWS).withColumn("blocks", F.ceil(F.col("rows") / TREE_ROWS).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("place", "meets", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "guest", "cls", "n", "label")
+    many = many.join(_coarse(classes).drop("n"), "cls")
 
     def search(group: pa.Table) -> pa.Table:
         cls, n, label, own, guest = (group[c].to_numpy() for c in ("cls", "n", "label", "own", "guest"))
@@ -257,32 +266,53 @@ def tree_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
         x, y = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    return met.groupBy("place", "meets", "left", "right").applyInArrow(search, "a long, b long").distinct()
+    return pairs.union(many.groupBy("place", "meets", "left", "right").applyInArrow(search, "a long, b long")).distinct()
 
 
-def star_pairs(rows: DataFrame, turn: int, threshold: Fraction) -> DataFrame:
-    """Pairs (a, b) of a place's leader and each other class of another label there that survive the bound."""
-    leader = F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("turn"), "cls", "n", "label")).alias("leader")
-    leaders = rows.groupBy("place").agg(leader).select("place", F.col("leader.cls").alias("lead"), F.col("leader.n").alias("lead_n"), F.col("leader.label").alias("lead_label"))
-    pairs = rows.join(leaders, "place").filter((F.col("label") != F.col("lead_label")) & _fits("n", "lead_n", threshold))
-    return pairs.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+def _coarse(classes: DataFrame) -> DataFrame:
+    """The classes with points of ``LEAST_GROUPS`` groups, so that rows of pairs and trees stay small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = [np.frombuffer(p, "<u2").reshape(LEAST_GROUPS, -1).sum(axis=1).astype("<u2").tobytes() for p in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(points, pa.binary())], ["cls", "n", "counts"])
+
+    return classes.select("cls", "n", "counts").mapInArrow(run, "cls long, n long, counts binary")
+
+
+def star_pairs(met: DataFrame, turn: int, threshold: Fraction) -> DataFrame:
+    """Pairs (a, b) of a place's leader, another one each ``turn``, and each other class there whose size fits."""
+    leader = F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("turn"), "cls", "n")).alias("leader")
+    leaders = met.groupBy("place").agg(leader).select("place", F.col("leader.cls").alias("lead"), F.col("leader.n").alias("lead_n"))
+    pairs = met.join(leaders, "place").filter((F.col("cls") != F.col("lead")) & _fits("n", "lead_n", threshold))
+    return pairs.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
 
 
 def within_bound(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs whose summed coordinate minima are large enough for a link."""
+    """The pairs whose summed coordinate minima are large enough for a link, by coarse points first, then by full ones."""
     t, s = threshold.numerator, threshold.numerator + threshold.denominator
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            pairs = zip(batch.column("counts_a").to_pylist(), batch.column("counts_b").to_pylist(), strict=True)
-            good = np.fromiter((np.minimum(*folded(list(pair))).sum() for pair in pairs), np.int64, len(total)) * s >= t * total
-            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(good))
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("counts_a", "counts_b"))
+                total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+                yield batch.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64) * s >= t * total))
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+                points = zip(batch.column("counts_a").to_pylist(), batch.column("counts_b").to_pylist(), strict=True)
+                good = np.fromiter((np.minimum(*folded(list(pair))).sum() for pair in points), np.int64, len(total)) * s >= t * total
+                yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(good))
+
+    def both(pairs: DataFrame, points: DataFrame) -> DataFrame:
+        side = lambda k: points.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"counts_{k}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
 
-    side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"counts_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, n_a long, n_b long")
+    likely = both(pairs, _coarse(classes)).mapInArrow(coarse, "a long, b long")
+    return both(likely, classes).mapInArrow(full, "a long, b long, n_a long, n_b long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: Fraction) -> DataFrame:
@@ -332,20 +362,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = stored(meetings(docs, text_col, size, threshold, frequent), "meetings")
     met = stored(distinct_places(every), "places")
     discard(every)
-    links, labels = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        rows = met.withColumn("label", F.col("cls"))
-        if labels is not None:
-            rows = met.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
-        if turn < STAR_ROUNDS:
-            pairs = star_pairs(rows, turn, threshold)
-        else:
-            several = rows.groupBy("place").agg(F.count("*").alias("rows"), F.min("label").alias("first"), F.max("label").alias("last")).filter("rows > 2 and first <> last").select("place")
-            pairs = tree_pairs(rows.join(several, "place", "left_semi").join(classes.select("cls", "counts"), "cls"), threshold)
-        pairs = stored(within_bound(pairs, classes, threshold), "pairs")
-        new = verified(pairs, classes, docs, id_col, text_col, size, threshold)
-        links = new if links is None else stored(links.union(new), "links")
-        labels = connected(links, "a", "b")
+    stars = reduce(DataFrame.union, (star_pairs(met, turn, threshold) for turn in range(LEADERS))).distinct()
+    links = verified(stored(within_bound(stars, classes, threshold), "pairs"), classes, docs, id_col, text_col, size, threshold)
+    labels = connected(links, "a", "b").withColumnsRenamed({"id": "cls", "component": "label"})
+    rows = met.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    several = rows.groupBy("place").agg(F.count("*").alias("rows"), F.min("label").alias("first"), F.max("label").alias("last")).filter("rows > 2 and first <> last")
+    rows = stored(rows.join(several.select("place"), "place", "left_semi"), "open-places")
+    trees = stored(within_bound(tree_pairs(rows, classes, threshold), classes, threshold), "pairs")
+    more = verified(trees, classes, docs, id_col, text_col, size, threshold)
+    labels = connected(links.union(more), "a", "b")
     joined = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc", F.coalesce("component", "cls").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("doc").alias("component"))
     of_class = joined.join(smallest, "label").select("cls", "label", "component")

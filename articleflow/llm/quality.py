@@ -186,14 +186,14 @@ def train(
     chosen = chosen.withColumn("turn", F.xxhash64("id")).orderBy("turn", "id").limit(sample_rows)
     # one row for each of the ids: repeated documents would give the sample no bound; at most ``sample_rows`` small rows are broadcast
     rows = _inputs(docs, id_col, text_col, metadata).join(F.broadcast(chosen), "id")
-    schema = "id string, turn bigint, label double, feature array<bigint>, value array<double>"
+    schema = "id string, turn bigint, label double, feature array<int>, value array<float>"
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 feature, value, first = features.rows(texts_of(part), _metadata(part, len(metadata)))
                 offsets = pa.array(first, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(feature)), pa.ListArray.from_arrays(offsets, pa.array(value))]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(value, pa.float32()))]
                 yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("turn"), part.column("label"), *lists], ["id", "turn", "label", "feature", "value"])
 
     sample = rows.mapInArrow(featurize, schema).dropDuplicates(["id"]).orderBy("turn", "id").limit(sample_rows).toArrow()

@@ -2,8 +2,9 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pytest
 
-from articleflow.llm.jaccard import CountTree, folded, group_counts, near_duplicates, one_of_each, tree_pairs
+from articleflow.llm.jaccard import CountTree, folded, group_counts, near_duplicates, one_of_each, tree_pairs, within_bound
 
 from . import cases
 
@@ -71,12 +72,14 @@ def test_tree_passes_over_no_pair_within_the_bound():
             assert ((j, i) in found) == fits
 
 
-def test_large_places_are_split_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("leaf", [1, 16])
+def test_large_places_are_split_into_blocks(spark, monkeypatch, leaf):
     monkeypatch.setattr("articleflow.llm.jaccard.TREE_ROWS", 3)
+    monkeypatch.setattr("articleflow.llm.jaccard.LEAF_ROWS", leaf)
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[: 100 - k], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in range(14)]
     rows = spark.createDataFrame([(1, i, len(s), i, group_counts(s)) for i, s in enumerate(sets)], "place long, cls long, n long, label long, counts binary")
-    pairs = {(r.a, r.b) for r in tree_pairs(rows, Fraction(3, 4)).collect()}
+    pairs = {(r.a, r.b) for r in within_bound(tree_pairs(rows.drop("counts"), rows, Fraction(3, 4)), rows, Fraction(3, 4)).collect()}
     points = folded([group_counts(s) for s in sets])
     assert pairs == {(i, j) for j in range(14) for i in range(j) if 7 * np.minimum(points[i], points[j]).sum() >= 3 * (len(sets[i]) + len(sets[j]))}
