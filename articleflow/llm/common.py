@@ -14,10 +14,19 @@ from pyspark.sql import functions as F
 from articleflow.session import materialize, prepare, shared_dir
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Texts reach Python in batches of so many bytes, however long they are; a longer text is a batch of its own.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session, with this package on its workers and small batches."""
+    for key, value in BATCH_BYTES.items():
+        spark.conf.set(key, value)
+    return prepare(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +82,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(batch: pa.RecordBatch, most: int = 1 << 22, name: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 1 << 21, name: str = "text") -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about ``most`` bytes of text, so that work arrays stay small; a longer text is a piece of its own."""
     if not batch.num_rows:
         return

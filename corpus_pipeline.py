@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow.llm import quality
-from articleflow.llm.common import documents, fold, stored, table
+from articleflow.llm.common import documents, fold, ready, stored, table
 from articleflow.llm.contamination import flagged
 from articleflow.llm.jaccard import one_of_each
 from articleflow.llm.lines import dedup_lines
 from articleflow.llm.packing import pack_documents
-from articleflow.session import prepare
 
 METADATA = ("n_chars",)
 
@@ -25,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that another document keeps; a null text stays null."""
-    prepare(spark)
+    ready(spark)
     kept = F.when(F.col("row.text").isNotNull(), F.col("kept"))
     text = {"text": kept, "n_chars": F.length(kept).cast(docs.schema["n_chars"].dataType)}
     return dedup_lines(docs).select(*(text[c].alias(c) if c in text else F.col(f"row.`{c}`") for c in docs.columns))
@@ -33,7 +32,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    prepare(spark)
+    ready(spark)
     return one_of_each(docs)
 
 
@@ -44,7 +43,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequences."""
-    prepare(spark)
+    ready(spark)
     packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
