@@ -14,7 +14,7 @@ _FIELDS = ("title", "url", "body", "summary", "description", "category", "publis
 # The payload is read as the value of a wrapping object: a scalar or an array then has no fields, and what
 # follows the payload's own end is an error instead of being passed over.
 PAYLOAD_SCHEMA = "struct<p struct<" + ", ".join(f"{name} variant" for name in _FIELDS) + ">, _broken string>"
-PAYLOAD_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false"}
+PAYLOAD_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false", "maxStringLen": str(2**31 - 1)}
 
 # What a rejected row is marked with.
 BAD_JSON = "raw payload가 올바른 JSON이 아닙니다 (raw_id=%d)"

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,24 +13,31 @@ def number_rows(df: DataFrame, order: str, out: str, by: Sequence[str] = ()) ->
     """Add ``out``: 1, 2, 3 ... by ``order``, over the table or within each ``by`` group.
 
     ``order`` is a long that is not repeated within a group. Rows are numbered inside blocks of 2**16
-    consecutive order values; how many rows lie before a block comes from counting blocks, and before a run
-    of blocks from counting runs. So no task sorts more than 65,536 rows however large a group is, and the
-    numbers are a function of the data alone: a task that runs again gives the same ones.
+    consecutive order values; how many rows lie before a block comes from counting blocks, runs of 2**16 blocks, and
+    runs of those. A long has room for 2**15 of the last, so no task sorts more than 65,536 rows, however large a
+    group is and however wide its values are spread, and the numbers are a function of the data alone: a task that runs again gives the same ones.
 
     ``df`` is read twice; hand in a stored table when it is costly to compute.
     """
     by = list(by)
-    block = F.shiftright(order, BLOCK_BITS).alias("_block")
-    counts = df.groupBy(*by, block).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_run", F.shiftright("_block", BLOCK_BITS))
-
-    before = lambda keys, column: Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    runs = counts.groupBy(*by, "_run").agg(F.sum("_n").alias("_run_n"))
-    runs = runs.select(
-        *by, "_run", F.coalesce(F.sum("_run_n").over(before(by, "_run")), F.lit(0)).alias("_run_base")
-    )
-    within_run = F.coalesce(F.sum("_n").over(before([*by, "_run"], "_block")), F.lit(0))
-    bases = counts.join(runs, [*by, "_run"]).select(*by, "_block", (F.col("_run_base") + within_run).alias("_base"))
+    counts = df.groupBy(*by, F.shiftright(order, BLOCK_BITS).alias("_level0")).agg(F.count("*").alias("_n0"))
+    levels = [counts]
+    for level in (1, 2):
+        up = F.shiftright(f"_level{level - 1}", BLOCK_BITS).alias(f"_level{level}")
+        levels.append(levels[-1].groupBy(*by, up).agg(F.sum(f"_n{level - 1}").alias(f"_n{level}")))
+
+    def before(level: int) -> Column:
+        keys = [*by, f"_level{level + 1}"] if level < 2 else by
+        ahead = Window.partitionBy(*keys).orderBy(f"_level{level}").rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(f"_n{level}").over(ahead), F.lit(0))
+
+    bases = levels[2].select(*by, "_level2", before(2).alias("_base"))
+    for level in (1, 0):
+        parent = F.shiftright(f"_level{level}", BLOCK_BITS).alias(f"_level{level + 1}")
+        placed = levels[level].select(*by, f"_level{level}", f"_n{level}", parent)
+        own = placed.withColumn("_own", before(level)).join(bases, [*by, f"_level{level + 1}"])
+        bases = own.select(*by, f"_level{level}", (F.col("_base") + F.col("_own")).alias("_base"))
+    bases = bases.withColumnRenamed("_level0", "_block")
 
     position = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(order))
     numbered = df.withColumn("_block", F.shiftright(order, BLOCK_BITS)).join(bases, [*by, "_block"])

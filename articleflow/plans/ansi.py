@@ -347,8 +347,7 @@ SQL: dict[str, str] = {
         category, published_at, collected_at, clean_status, summary, summary_model, summarized_at, original_length::VARCHAR AS original_length,
         summary_length::VARCHAR AS summary_length, content_hash, body FROM e""",
     "export_jsonl": f"WITH {CLEAN} SELECT {EXPORT} FROM art WHERE NOT {some('summary')}",
-    "stream_daily_trend": """SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1
-        HAVING ts::DATE + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 DAY""",
+    "stream_daily_trend": "SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1",
 }
 
 # Article paragraphs: "<p><b>" is left open and so holds all text up to the end of the article.

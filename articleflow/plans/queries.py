@@ -613,26 +613,22 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
 
 
-def _streamed(spark, df: DataFrame) -> DataFrame:
-    """What a stream gives out when it has taken all that is there."""
-    out = shared_dir(spark, "stream")
-    job = df.writeStream.format("parquet").option("checkpointLocation", shared_dir(spark, "stream-log"))
-    job.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
-
-
 @register
 def stream_daily_trend(spark, sf_dir):
-    """The events as a stream: days that the watermark has passed."""
+    """The events as a stream, counted by day."""
     stream = _event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("collected_at"))
-    return _streamed(spark, incremental.daily_trend(stream))
+    out = shared_dir(spark, "stream-days")
+    incremental.stream_daily_trend(stream, out, shared_dir(spark, "stream-log")).awaitTermination()
+    return incremental.daily_trend(spark, out)
 
 
 @register
 def stream_distinct_urls(spark, sf_dir):
     rows = bindings.as_fetched(_event_stream(spark, sf_dir))
-    keys = rows.select("source_name", F.col("url").alias("canonical_url"), "collected_at")
-    return _streamed(spark, incremental.distinct_urls(keys)).select("source_name", "canonical_url")
+    keys = rows.select("source_name", F.col("url").alias("canonical_url"))
+    out = shared_dir(spark, "stream-urls")
+    incremental.stream_distinct_urls(keys, out, shared_dir(spark, "stream-log")).awaitTermination()
+    return incremental.distinct_urls(spark, out)
 
 
 @register

@@ -59,9 +59,5 @@ def materialize(df: DataFrame, path: str | None = None, name: str = "stage") ->
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a Python-heavy stage enough tasks when the input has fewer splits than there are cores.
-
-    Large inputs have many splits already and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out by ``key`` for a Python-heavy stage, over as many tasks as other shuffles have."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

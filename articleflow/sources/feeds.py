@@ -97,19 +97,19 @@ def read_feed_files(spark, paths: str | list[str]) -> DataFrame:
 
 
 def read_large_feed(
-    spark, path: str, *, source_name: str, category: str, source_url: str | None = None, entry_tag: str = "item"
+    spark, path: str, *, source_name: str, category: str, source_no: int, source_url: str | None = None, entry_tag: str = "item"
 ) -> DataFrame:
     """The entries of a feed file too large for one task, read in splits.
 
     Splits know neither the feed's title nor the place of an entry in the file: ``feed_title`` is NULL and
-    ``seq`` numbers entries in the order of the splits.
+    ``seq`` numbers entries in the order of the splits, in the stretch that ``source_no`` (below 2**10) has to itself.
     """
     options = {"rowTag": entry_tag, "attributePrefix": "_", "valueTag": "_VALUE"}
     schema = spark.createDataFrame([], f"_entry {_ENTRY}").schema["_entry"].dataType
     entries = spark.read.format("xml").options(**options).schema(schema).load(path)
     rows = entries.select(
         F.lit(source_name).alias("source_name"), F.lit(category).alias("category"),
-        F.lit(source_url).cast("string").alias("source_url"), F.monotonically_increasing_id().alias("_first_seq"),
+        F.lit(source_url).cast("string").alias("source_url"), (F.lit(source_no << 51) + F.monotonically_increasing_id()).alias("_first_seq"),
         F.lit(False).alias("_is_broken"), F.lit(None).cast("string").alias("feed_title"), F.lit(0).alias("pos"),
         F.struct(*entries.columns).alias("_entry"),
     )
@@ -118,6 +118,7 @@ def read_large_feed(
 
 # Fixed value: the message of a feed that could not be had when no reason is given.
 MISSING_FEED = "HTTP 요청 실패"
+BAD_URL = "the feed URL cannot be split"
 
 
 def collect_feeds(sources: DataFrame, fetched: DataFrame, *, limit: int | None = None) -> DataFrame:
@@ -132,8 +133,8 @@ def collect_feeds(sources: DataFrame, fetched: DataFrame, *, limit: int | None =
     failed = joined.where(F.col("content").isNull()).select(
         "source_name", F.lit(0).alias("attempted"), F.lit(False).alias("ok"),
         F.shiftleft(F.col("source_no").cast("long"), 32).alias("seq"),
-        F.col("_request").alias("url"), "category", "source_url",
-        F.coalesce(F.col("error"), F.lit(MISSING_FEED)).alias("error"),
+        F.coalesce("_request", "source_url").alias("url"), "category", "source_url",
+        F.coalesce(F.when(F.col("_request").isNull(), F.lit(BAD_URL)), F.col("error"), F.lit(MISSING_FEED)).alias("error"),
     )
     docs = joined.where(F.col("content").isNotNull())
     return parse_feeds(docs, seq="source_no", limit=limit).unionByName(failed, allowMissingColumns=True)

@@ -13,7 +13,7 @@ from articleflow.functions import ColumnOrName, as_column
 from articleflow.functions.text import filled
 from articleflow.functions.urls import absolute_url
 from articleflow.schemas import string_struct
-from articleflow.sources.markup import collect, parse_selector
+from articleflow.sources.markup import PageFault, collect, parse_selector
 
 # Link targets that lead to no page.
 SKIPPED_LINKS = ("#", "javascript:", "mailto:")
@@ -26,7 +26,7 @@ FALLBACKS = {
 }
 
 
-@arrow_udf(T.ArrayType(string_struct("href", "url")))
+@arrow_udf(T.ArrayType(string_struct("href", "url", "fault")))
 def _anchors(markups: pa.Array, selectors: pa.Array, bases: pa.Array) -> pa.Array:
     out = []
     for markup, selector, base in zip(markups.to_pylist(), selectors.to_pylist(), bases.to_pylist()):
@@ -34,9 +34,13 @@ def _anchors(markups: pa.Array, selectors: pa.Array, bases: pa.Array) -> pa.Arra
             out.append(None)
             continue
         resolve = lru_cache(maxsize=None)(lambda href: absolute_url(base, href))
-        hrefs = [attrs.get("href") for attrs, _ in collect(markup, {"link": selector})["link"]]
-        out.append([{"href": href, "url": href and resolve(href)} for href in hrefs])
-    return pa.array(out, pa.list_(pa.struct({"href": pa.string(), "url": pa.string()})))
+        try:
+            hrefs = [attrs.get("href") for attrs, _ in collect(markup, {"link": selector})["link"]]
+        except PageFault as problem:
+            out.append([{"href": None, "url": None, "fault": str(problem)}])
+            continue
+        out.append([{"href": href, "url": href and resolve(href), "fault": None} for href in hrefs])
+    return pa.array(out, pa.list_(pa.struct({"href": pa.string(), "url": pa.string(), "fault": pa.string()})))
 
 
 def leads_to_page(href: ColumnOrName) -> Column:
@@ -48,13 +52,11 @@ def leads_to_page(href: ColumnOrName) -> Column:
     return keep
 
 
-def _literal_or_column(value: Column | str | None) -> Column:
-    if isinstance(value, Column):
-        return value
-    if value:
-        for selector in [value] if not value.startswith("http") else []:
-            parse_selector(selector)
-    return F.lit(value).cast("string")
+def _selector(value: Column | str | None) -> Column:
+    """A selector as a column; one that is written in the program is checked at once."""
+    if isinstance(value, str) and value:
+        parse_selector(value)
+    return value if isinstance(value, Column) else F.lit(value).cast("string")
 
 
 def page_links(html: ColumnOrName, selector: Column | str, base: Column | str, limit: int | None = None) -> Column:
@@ -62,7 +64,10 @@ def page_links(html: ColumnOrName, selector: Column | str, base: Column | str, l
 
     All links of a page sit in that page's row, so de-duplication and the limit need no shuffle.
     """
-    found = _anchors(as_column(html), _literal_or_column(selector), _literal_or_column(base))
+    return _targets(_anchors(as_column(html), _selector(selector), base if isinstance(base, Column) else F.lit(base)), limit)
+
+
+def _targets(found: Column, limit: int | None) -> Column:
     kept = F.filter(found, lambda link: leads_to_page(link["href"]) & link["url"].isNotNull())
     urls = F.array_distinct(F.transform(kept, lambda link: link["url"]))
     return urls if limit is None else F.slice(urls, 1, max(0, limit))
@@ -94,6 +99,7 @@ _FIELDS = T.StructType(
         T.StructField("has_meta_published", T.BooleanType()),
         T.StructField("meta_published", T.StringType()),
         T.StructField("meta_date", T.StringType()),
+        T.StructField("fault", T.StringType()),
     ]
 )
 
@@ -108,7 +114,11 @@ def _article_fields(
             out.append(None)
             continue
         chosen = {name: selector for name, selector in zip(("title", "body", "date"), own) if selector}
-        found = collect(markup, FALLBACKS | chosen, repeat)
+        try:
+            found = collect(markup, FALLBACKS | chosen, repeat)
+        except PageFault as problem:
+            out.append({"fault": str(problem)})
+            continue
 
         def first(name):
             return next(iter(found.get(name, ())), (None, None))
@@ -144,7 +154,9 @@ def extract_article(
     *,
     repeat_nested: bool = True,
 ) -> Column:
-    """``struct<title, body, published_raw>`` of an article page; what is not found stays NULL.
+    """``struct<title, body, published_raw, error>`` of an article page; what is not found stays NULL.
+
+    ``error`` says why a page (or a selector from a column) could not be read; the other fields are NULL then.
 
     Title: own selector, then the first ``h1``, then ``<title>``. Body: all matches, blank line between.
     Date: ``datetime``, ``content`` or text of the own selector, then the two usual ``<meta>`` tags.
@@ -153,7 +165,7 @@ def extract_article(
     many such paragraphs ``repeat_nested=False`` keeps the body as long as the page, each text once.
     """
     raw = _article_fields(
-        as_column(html), *[_literal_or_column(s) for s in (title_selector, body_selector, date_selector)], F.lit(repeat_nested)
+        as_column(html), *[_selector(s) for s in (title_selector, body_selector, date_selector)], F.lit(repeat_nested)
     )
     texts = F.filter(raw["bodies"], lambda chunk: chunk != "")
     meta = F.when(raw["has_meta_published"], raw["meta_published"]).otherwise(raw["meta_date"])
@@ -161,6 +173,7 @@ def extract_article(
         F.coalesce(filled(raw["title"]), raw["heading"], raw["page_title"]).alias("title"),
         filled(F.array_join(texts, "\n\n")).alias("body"),
         F.coalesce(filled(raw["datetime"]), filled(raw["content"]), filled(raw["date_text"]), meta).alias("published_raw"),
+        raw["fault"].alias("error"),
     )
 
 
@@ -181,20 +194,22 @@ def crawl(
     fetched = pages.select(F.col(detail_url).alias("_page"), "html", "error")
     lists = sources.join(fetched, F.col("list_url") == F.col("_page"), "left").drop("_page")
     base = F.coalesce(filled("base_url"), F.col("list_url"))
-    found = page_links("html", F.col("article_link_selector"), base, limit)
-    no_list = F.col("html").isNull()
+    lists = lists.withColumn("_found", _anchors(F.col("html"), F.col("article_link_selector"), base))
+    found = _targets(F.col("_found"), limit)
+    fault = F.get(F.filter(F.transform("_found", lambda link: link["fault"]), lambda text: text.isNotNull()), F.lit(0))
+    no_list = F.col("html").isNull() | fault.isNotNull()
     # A missing list page stands as one link without a target.
     listed = lists.withColumns(
         {
             "_links": F.when(no_list, F.array(F.lit(None).cast("string"))).otherwise(found),
-            "_list_error": F.when(no_list, F.coalesce(F.col("error"), F.lit(MISSING_PAGE))),
+            "_list_error": F.when(no_list, F.coalesce(fault, F.col("error"), F.lit(MISSING_PAGE))),
         }
-    ).drop("html", "error")
+    ).drop("html", "error", "_found")
     links = _one_per_link(listed)
     detail = links.join(fetched, F.col("link") == F.col("_page"), "left")
     selectors = [F.col(f"{name}_selector") for name in ("title", "body", "date")]
     article = extract_article("html", *selectors, repeat_nested=repeat_nested)
-    failed_list, failed = F.col("_list_error").isNotNull(), F.col("html").isNull()
+    failed_list, failed = F.col("_list_error").isNotNull(), F.col("html").isNull() | F.col("_article.error").isNotNull()
     return detail.withColumn("_article", article).select(
         "source_name",
         F.when(failed_list, 0).otherwise(1).alias("attempted"),
@@ -206,5 +221,5 @@ def crawl(
         F.when(~failed, F.col("link")).alias("external_id"),
         "category",
         F.col("list_url").alias("source_url"),
-        F.when(failed, F.coalesce("_list_error", "error", F.lit(MISSING_PAGE))).alias("error"),
+        F.when(failed, F.coalesce("_list_error", "_article.error", "error", F.lit(MISSING_PAGE))).alias("error"),
     )

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.functions.text import filled, is_blank
+from articleflow.operators.numbering import number_rows
 from articleflow.schemas import METHOD_SOURCE_TYPE, UNKNOWN
 
 # Source types, what each must have, and the marker of an unfilled example.
@@ -35,9 +36,16 @@ def _problem() -> Column:
 
 
 def source_registry(config: DataFrame, *, text: str = "text") -> DataFrame:
-    """Explode a JSON configuration (``{"sources": {name: {...}}}``) into rows with a ``problem`` column."""
+    """Explode JSON configurations (``{"sources": {name: {...}}}``) into rows with a ``problem`` column.
+
+    ``source_no`` counts the sources of all different configurations from 0.
+    """
     sources = F.from_json(F.col(text), f"struct<sources map<string,{_SOURCE}>>")["sources"]
-    rows = config.select(F.posexplode(sources).alias("source_no", "source_name", "_s"))
+    # Places of one configuration stay together and in order; configurations are ordered by a hash of their text.
+    order = F.shiftleft(F.xxhash64(text).bitwiseAND((1 << 43) - 1), 20)
+    rows = config.select(order.alias("_config"), F.posexplode(sources).alias("_place", "source_name", "_s"))
+    rows = rows.withColumn("_order", F.col("_config") + F.col("_place"))
+    rows = number_rows(rows, "_order", "_number").withColumn("source_no", F.col("_number") - 1)
     fields = rows.select("source_no", "source_name", "_s", "_s.*").withColumn("problem", _problem())
     return fields.withColumn("category", F.coalesce(filled("category"), F.lit(UNKNOWN))).drop("_s")
 

@@ -2,15 +2,23 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from articleflow.operators.cleaning import build_clean_rows, cleanable
 from articleflow.operators.ingest import insert_raw
-from articleflow.operators.merge import merge_upsert, skip_inserts
+from articleflow.operators.merge import (
+    invalid_marks, merge_counts, merge_upsert, skip_inserts, skip_winners, upsert_conflicts, upsert_decisions,
+)
 from articleflow.schemas import CLEAN_ARTICLES, RAW_ARTICLES
 from articleflow.session import materialize
 from articleflow.sources.tables import read_parts, write_part
 
+# Folders beside a streamed clean table.
+REJECTS, CONFLICTS, COUNTS = "-rejects", "-conflicts", "-counts"
+DAY_COUNTS = T.StructType([T.StructField("day", T.DateType()), T.StructField("n", T.LongType())])
+SEEN_URLS = T.StructType([T.StructField("source_name", T.StringType()), T.StructField("canonical_url", T.StringType())])
+
 
 def stream_raw(rows: DataFrame, raw_path: str, checkpoint: str) -> StreamingQuery:
     """Append unseen raw rows (``to_raw_rows`` output), first per source and URL.
@@ -32,6 +40,9 @@ def stream_clean(raw: DataFrame, clean_path: str, checkpoint: str, *, policy: st
 
     ``skip`` only adds rows, so a batch is an append. ``upsert`` changes rows, so a batch writes the table's
     next version (``version=N`` from ``version=N-1``); read the newest with ``latest_version``.
+
+    Beside the table, each batch stores its rejects (``id, status, error_message``, to mark raw rows with), its
+    counts by outcome and, for an upsert, the URLs it left alone: read them with ``batch_rejects`` and so on.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -40,14 +51,35 @@ def stream_clean(raw: DataFrame, clean_path: str, checkpoint: str, *, policy: st
         usable = built.where(F.col("reject_reason").isNull()).drop("reject_reason")
         if policy == "skip":
             target = read_parts(spark, clean_path, CLEAN_ARTICLES, number)
-            write_part(skip_inserts(usable, target), clean_path, number)
+            decided = materialize(skip_winners(usable, target), name="winners")
+            write_part(skip_inserts(usable, target, decided), clean_path, number)
         else:
             target = latest_version(spark, clean_path, number)
-            write_part(merge_upsert(usable, target), clean_path, number)
+            decided = materialize(upsert_decisions(usable, target), name="decisions")
+            write_part(merge_upsert(usable, target, decided), clean_path, number)
+            write_part(upsert_conflicts(usable, decided), clean_path + CONFLICTS, number)
+        write_part(invalid_marks(built), clean_path + REJECTS, number)
+        invalid = built.agg(F.count_if(F.col("reject_reason").isNotNull())).scalar()
+        write_part(merge_counts(usable, target, policy, decided).withColumn("invalid", invalid), clean_path + COUNTS, number)
 
     return _run(raw, merge, checkpoint)
 
 
+def batch_rejects(spark: SparkSession, clean_path: str) -> DataFrame:
+    """Marks for the raw rows that could not be cleaned, of all batches."""
+    return spark.read.parquet(clean_path + REJECTS).drop("part")
+
+
+def batch_conflicts(spark: SparkSession, clean_path: str) -> DataFrame:
+    """What upserts left alone, with the batch it came in."""
+    return spark.read.parquet(clean_path + CONFLICTS)
+
+
+def batch_counts(spark: SparkSession, clean_path: str) -> DataFrame:
+    """Counts by outcome, one row for each batch (``part``)."""
+    return spark.read.parquet(clean_path + COUNTS)
+
+
 def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """The newest complete version of an upsert table, or the newest before ``before``."""
     jvm = spark.sparkContext._jvm
@@ -65,19 +97,36 @@ def latest_version(spark: SparkSession, path: str, before: int | None = None) ->
     return spark.read.schema(CLEAN_ARTICLES).parquet(f"{path}/part={max(versions)}")
 
 
-def daily_trend(stream: DataFrame, *, moment: str = "collected_at", lateness: str = "1 day") -> DataFrame:
-    """Articles per day of a stream; a day is given out once the watermark has passed it."""
-    return (
-        stream.withWatermark(moment, lateness)
-        .groupBy(F.window(moment, "1 day"))
-        .agg(F.count("*").alias("n"))
-        .select(F.to_date("window.start").alias("day"), "n")
-    )
+def stream_daily_trend(stream: DataFrame, path: str, checkpoint: str, *, moment: str = "collected_at") -> StreamingQuery:
+    """Counts per day of each batch, stored under its number: days stay open, so late rows correct them."""
+
+    def count(batch: DataFrame, number: int) -> None:
+        write_part(batch.groupBy(F.to_date(moment).alias("day")).agg(F.count("*").alias("n")), path, number)
+
+    return _run(stream, count, checkpoint)
+
+
+def daily_trend(spark: SparkSession, path: str) -> DataFrame:
+    """Articles per day over all batches so far; rows without a moment are on no day."""
+    parts = read_parts(spark, path, DAY_COUNTS)
+    return parts.where(F.col("day").isNotNull()).groupBy("day").agg(F.sum("n").alias("n"))
+
+
+def stream_distinct_urls(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Sources and URLs not seen in any batch before, kept for good: no watermark forgets them."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        keys = batch.select("source_name", "canonical_url").distinct()
+        seen = read_parts(batch.sparkSession, path, SEEN_URLS, number)
+        same = [keys[c].eqNullSafe(seen[c]) for c in SEEN_URLS.names]
+        write_part(keys.join(seen, same, "left_anti"), path, number)
+
+    return _run(stream, add, checkpoint)
 
 
-def distinct_urls(stream: DataFrame, *, moment: str = "collected_at", lateness: str = "1 day") -> DataFrame:
-    """One row per source and URL, with state that is dropped once the watermark has passed it."""
-    return stream.withWatermark(moment, lateness).dropDuplicatesWithinWatermark(["source_name", "canonical_url"])
+def distinct_urls(spark: SparkSession, path: str) -> DataFrame:
+    """One row per source and URL of all batches so far."""
+    return read_parts(spark, path, SEEN_URLS)
 
 
 def _run(stream: DataFrame, step, checkpoint: str) -> StreamingQuery:

@@ -3,7 +3,10 @@
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from articleflow.operators import ingest
+from articleflow.plans import bindings
 from articleflow.schemas import CLEAN_ARTICLES, RAW_ARTICLES
 from articleflow.sources.tables import read_parts
 from articleflow.streaming import incremental
@@ -67,27 +70,37 @@ def test_clean_stream_upsert(spark, tmp_path):
     assert [r.title for r in incremental.latest_version(spark, table, 1).collect()] == ["a"]
 
 
-def stream_rows(spark, folder, *moments):
-    rows = [("s", url, at) for url, at in moments]
-    spark.createDataFrame(rows, "source_name string, canonical_url string, collected_at timestamp").coalesce(1).write.mode("append").parquet(str(folder))
-
-
-def run_to_table(df, spark, tmp_path, mode="append"):
-    out = str(tmp_path / "out")
-    job = df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).outputMode(mode)
-    job.trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
-
-
-def test_daily_trend(spark, tmp_path):
-    stream_rows(spark, tmp_path / "in", *[(f"u{i}", datetime(2026, 8, 1 + i // 3, 5)) for i in range(12)])
-    stream = spark.readStream.schema("source_name string, canonical_url string, collected_at timestamp").parquet(str(tmp_path / "in"))
-    rows = run_to_table(incremental.daily_trend(stream), spark, tmp_path).orderBy("day").collect()
-    assert [(r.day.day, r.n) for r in rows] == [(1, 3), (2, 3)]
-
-
-def test_distinct_urls(spark, tmp_path):
-    stream_rows(spark, tmp_path / "in", ("a", datetime(2026, 8, 1)), ("a", datetime(2026, 8, 1, 3)), ("b", datetime(2026, 8, 1)))
-    stream = spark.readStream.schema("source_name string, canonical_url string, collected_at timestamp").parquet(str(tmp_path / "in"))
-    rows = run_to_table(incremental.distinct_urls(stream), spark, tmp_path)
-    assert sorted(r.canonical_url for r in rows.collect()) == ["a", "b"]
+def test_clean_stream_keeps_rejects_counts_and_conflicts(spark, tmp_path):
+    inbox, table = tmp_path / "raw", str(tmp_path / "clean")
+    run = lambda: incremental.stream_clean(
+        spark.readStream.schema(RAW_ARTICLES).parquet(str(inbox)), table, str(tmp_path / "log"), policy="upsert"
+    ).awaitTermination()
+    raw_files(spark, inbox, (1, "https://h/1", "a"), (2, "https://h/2", " "))
+    run()
+    raw_files(spark, inbox, (3, "https://h/1", "b"), (4, "https://h/4", ""))
+    run()
+    assert sorted(r.id for r in incremental.batch_rejects(spark, table).collect()) == [2, 4]
+    counts = {r.part: r for r in incremental.batch_counts(spark, table).collect()}
+    assert [(counts[n].inserted, counts[n].updated, counts[n].invalid) for n in (0, 1)] == [(1, 0, 1), (0, 1, 1)]
+    assert incremental.batch_conflicts(spark, table).count() == 0
+
+
+def in_six_files(spark, folder, events):
+    """The events dealt over six files in random order, one micro-batch each."""
+    rows = spark.read.parquet(events)
+    for part in rows.randomSplit([1.0] * 6, seed=3):
+        part.coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_late_rows_change_no_result(spark, tmp_path):
+    events = "/root/testdata/sf0.001/events.parquet"
+    stream = in_six_files(spark, tmp_path / "in", events)
+    moments = stream.select(F.col("ts").cast("timestamp").alias("collected_at"))
+    incremental.stream_daily_trend(moments, str(tmp_path / "days"), str(tmp_path / "log1")).awaitTermination()
+    whole = spark.read.parquet(events).groupBy(F.to_date("ts").alias("day")).count()
+    assert sorted(map(tuple, incremental.daily_trend(spark, str(tmp_path / "days")).collect())) == sorted(map(tuple, whole.collect()))
+    keys = lambda df: bindings.as_fetched(df).select("source_name", F.col("url").alias("canonical_url"))
+    incremental.stream_distinct_urls(keys(stream), str(tmp_path / "urls"), str(tmp_path / "log2")).awaitTermination()
+    found = sorted(map(tuple, incremental.distinct_urls(spark, str(tmp_path / "urls")).collect()))
+    assert found == sorted(map(tuple, keys(spark.read.parquet(events)).distinct().collect()))
