@@ -10,7 +10,7 @@ of what they begin with, which Spark groups at any size. The two halves of the o
    one class alone follows a trigger's bytes, nothing else can be equal to its windows.
 3. Dictionary suffixes: where several classes follow, one of each gives its windows one by one, and these are grouped by their bytes.
 
-Windows whose first trigger is more than half a window away, or that have none, are units of their own.
+Windows whose first trigger is far away, or that have none, are units of their own.
 
 Defined results: null is the empty text; texts under ``length`` bytes lose nothing; rows that repeat an id count as texts of their own, so equal
 rows lose all their repeated strings; texts that repeat an id and differ are told apart by a hash; other columns are not read. Names have 128 bits.
@@ -38,11 +38,12 @@ _VALUES = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uin
 class Parsing:
     length: int = 400
     trigger: int = 16
-    phrase: int = 48
+    phrase: int = 32
 
     @property
     def near(self) -> int:
-        return self.length // 2
+        """How far from the start of a window its first trigger may be; as many bytes as are left name what follows it."""
+        return self.length * 3 // 4
 
     def phrases(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Triggers of all texts, a hash of the phrase from each to the next one's end, and text i's triggers as ``firsts[i]:firsts[i + 1]``."""
@@ -125,6 +126,8 @@ def _names(data: bytes) -> tuple[int, int]:
 def unit_rows(texts: DataFrame, parsing: Parsing) -> DataFrame:
     """(id, version, low, high, after, c1, c2): windows ``low``..``high`` are a unit of class (c1, c2); ``after`` names what follows its trigger.
 
+    Single windows that a text repeats (periodic text without triggers) are given once, and their stretches without a class: these are settled.
+
     ``texts`` has ``repeated``, the numbers of the phrases that occur twice or more.
     """
 
@@ -153,10 +156,18 @@ def unit_rows(texts: DataFrame, parsing: Parsing) -> DataFrame:
                     fresh[1:] = (np.diff(open_at) > 1) | (at[1:] != at[:-1]) | alone[1:] | alone[:-1]
                     begins = np.flatnonzero(fresh)
                     lows, highs = open_at[begins], open_at[np.append(begins[1:], len(open_at)) - 1]
+                    lonely: dict[tuple[int, int], list[int]] = {}
                     for low, high, trigger, single in zip(lows.tolist(), highs.tolist(), first[begins].tolist(), alone[begins].tolist(), strict=True):
                         c1, c2 = _names(data[start + low : start + high + parsing.length])
-                        after = c1 if single else xxhash.xxh3_64_intdigest(data[start + trigger : start + trigger + parsing.near]) - (1 << 63)
+                        if single:
+                            lonely.setdefault((c1, c2), []).append(low)
+                            continue
+                        after = xxhash.xxh3_64_intdigest(data[start + trigger : start + trigger + parsing.length - parsing.near]) - (1 << 63)
                         rows.append((i, low, high, after, c1, c2))
+                    rows += [(i, places[0], places[0], c1, c1, c2) for (c1, c2), places in lonely.items()]
+                    again = np.sort([low for places in lonely.values() if len(places) > 1 for low in places]).astype(np.int64)
+                    for stretch in np.split(again, np.flatnonzero(np.diff(again) > 1) + 1) if len(again) else ():
+                        rows.append((i, int(stretch[0]), int(stretch[-1]), None, None, None))
                 owner, *columns = zip(*rows, strict=True) if rows else [()] * 6
                 keys = [part.column(c).take(pa.array(owner, pa.int64())) for c in ("id", "version")]
                 yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.int64()) for c in columns)], ["id", "version", "low", "high", "after", "c1", "c2"])
@@ -190,8 +201,9 @@ def repeated_ranges(texts: DataFrame, parsing: Parsing) -> DataFrame:
     often = stored(often, "dictionary")
     known = stored(phrases.join(often, "phrase").groupBy("id", "version").agg(F.collect_set("nth").alias("repeated")), "repeated-phrases")
     discard(phrases, often)
-    units = stored(unit_rows(_join(texts, known, "left").select("id", "version", "text", "repeated"), parsing), "units")
+    every = stored(unit_rows(_join(texts, known, "left").select("id", "version", "text", "repeated"), parsing), "units")
     discard(known)
+    settled, units = every.filter("c1 is null").select("id", "version", "low", "high"), every.filter("c1 is not null")
     one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "low", "high")).alias("one")
     classes = stored(units.groupBy("after", "c1", "c2").agg(F.count("*").alias("n"), one), "classes")
     several = classes.groupBy("after").agg(F.count("*").alias("n")).filter("n > 1").select("after")
@@ -199,11 +211,11 @@ def repeated_ranges(texts: DataFrame, parsing: Parsing) -> DataFrame:
     compared = compared.groupBy("id", "version").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     compared = stored(compared, "compared")
     windows = stored(window_rows(_join(texts, compared, "inner").select("id", "version", "text", "ranges"), parsing), "windows")
-    twice = windows.groupBy("c1", "c2").agg(F.count_distinct("id", "version", "low").alias("n")).filter("n > 1").select("c1", "c2")
+    twice = windows.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").select("c1", "c2")
     found = windows.join(twice, ["c1", "c2"]).select("id", "version", "low", F.col("low").alias("high")).distinct()
     whole = units.join(classes.filter("n > 1").select("c1", "c2"), ["c1", "c2"]).select("id", "version", "low", "high").distinct()
-    ranges = stored(whole.union(found), "repeated-ranges")
-    discard(units, classes, compared, windows)
+    ranges = stored(whole.union(found).union(settled), "repeated-ranges")
+    discard(every, classes, compared, windows)
     return ranges
 
 
