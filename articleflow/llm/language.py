@@ -17,7 +17,7 @@ equally likely; rows that repeat an id are scored one by one; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from articleflow.llm.common import slices, stored, texts_of, utf8
+from articleflow.llm.common import discard, slices, stored, texts_of, utf8
 from articleflow.llm.words import find_words, mixed
 
 #: What counts as the tokens before a text, and as its end.
@@ -189,11 +189,13 @@ def trained(docs: DataFrame, model: Model, id_col: str, text_col: str) -> Model:
         rows = texts.mapInArrow(_trainer(model), "block int, met binary, weights binary")
         sums = rows.repartition("block").mapInArrow(_summer(shape), "block int, met binary, weights binary")
         weights = model.weights.copy()
+        sums = stored(sums, "weights")
         for row in sums.collect():  # one model in all
             met, total = np.frombuffer(row["met"], "<f8"), np.frombuffer(row["weights"], "<f8").reshape(-1, shape.classes)
             own = slice(row["block"] * shape.block_rows, row["block"] * shape.block_rows + len(met))
             weights[own] = np.where(met[:, None] > 0, total / np.maximum(met, 1)[:, None], weights[own])
-        model = Model(shape, model.tokens, model.distinct, model.frequent, model.ending_tokens, model.ending_distinct, model.bias, weights)
+        discard(sums)
+        model = replace(model, weights=weights)
     return model
 
 
