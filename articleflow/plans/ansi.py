@@ -398,6 +398,8 @@ SQL["clean_rows"] = f"""WITH {_BUILT}
     CASE WHEN reject_reason IS NULL THEN strftime(TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INT), {ISO}) END AS published_at FROM r"""
 SQL["clean_outcomes"] = f"""WITH {_BUILT} SELECT CASE WHEN reject_reason IS NOT NULL THEN 'invalid' WHEN body IS NULL THEN 'no_body'
     ELSE 'ok' END AS outcome, count(*) AS n FROM r GROUP BY 1"""
+SQL["clean_run"] = f"""WITH {_BUILT} SELECT count(*) AS processed, count(*) FILTER (reject_reason IS NULL) AS inserted, 0::BIGINT AS updated,
+    0::BIGINT AS skipped, count(*) FILTER (reject_reason IS NOT NULL) AS invalid, 0::BIGINT AS conflicts FROM r"""
 SQL["stream_distinct_urls"] = f"WITH {EVENTS} SELECT DISTINCT source_name, canonical_url FROM rows"
 SQL["stream_raw_inserts"] = f"""WITH {EVENTS}, firsts AS (
     SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY source_name, canonical_url ORDER BY place) = 1)

@@ -434,6 +434,13 @@ def clean_outcomes(spark, sf_dir):
     return built.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+@register
+def clean_run(spark, sf_dir):
+    """The counts of a first clean run over all raw documents."""
+    empty = spark.createDataFrame([], CLEAN_ARTICLES)
+    return merge.clean_articles(bindings.raw_documents(spark, sf_dir), empty, policy="skip").stats
+
+
 _MERGED = ("id", "raw_id", "url", "title", "source", "category", "original_length", "summary")
 
 

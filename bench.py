@@ -18,7 +18,8 @@ HEADLINES = (
     "clean_rows", "normalized_documents", "normalized_pages", "normalized_urls", "normalized_dates", "strip_html_pages",
     "extract_articles", "extract_links_all", "crawl_pages", "feed_items", "robots_allowed", "fetch_slots",
     "redacted_documents", "analysis_blocks", "analysis_prompts", "summary_prompts", "summaries", "parsed_analysis",
-    "latest_analysis", "export_csv", "export_jsonl",
+    "latest_analysis", "export_csv", "export_jsonl", "stream_raw_inserts", "stream_clean", "stream_daily_trend", "stream_distinct_urls",
+    "clean_run",
 )
 
 

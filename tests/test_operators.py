@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from articleflow import schemas
 from articleflow.operators import aggregates, analysis, cleaning, completion, ingest, merge, query
@@ -550,3 +551,11 @@ def test_day_layout_prunes(spark, tmp_path, plan_of, articles):
     found = query.query_articles(stored, date_from="2026-08-09", date_to="2026-08-09")
     assert ids(found) == [2, 4]
     assert "PartitionFilters: [isnotnull(effective_day" in plan_of(found)
+
+
+def test_a_very_long_body_is_kept(spark):
+    body = "word " * 5_000_000
+    payload = json.dumps({"title": "t", "url": "https://h/1", "body": body})
+    raw = spark.createDataFrame([(1, None, "src", None, "rss", datetime(2026, 8, 6), "https://h/1", payload, "ok", None)], schemas.RAW_ARTICLES)
+    row = cleaning.build_clean_rows(raw).select("reject_reason", F.length("body").alias("n")).first()
+    assert row.reject_reason is None and row.n == len(body) - 1
