@@ -1,14 +1,41 @@
 """The registered queries once more in plain SQL, on the sample tables, to compare results with."""
 
-from articleflow.functions.prompts import (
-    ANALYSIS_NO_TEXT, ANALYSIS_USER, SUMMARY_BODY_CUT, SUMMARY_NO_BODY, SUMMARY_USER,
+# Fixed values, written out once more so that a wrong text in the package is a difference.
+ANALYSIS_NO_TEXT = '(요약/본문 없음)'
+ANALYSIS_USER = (
+    '다음은 분석 대상 뉴스 목록입니다.\n'
+    '조건: 기간=%s~%s, 카테고리=%s, 기사 수=%d건\n'
+    '\n'
+    '%s\n'
+    '\n'
+    '위 기사들을 종합해 다음을 JSON으로 작성하세요.\n'
+    '- trends: 주요 트렌드 3~5개\n'
+    '- keywords: 핵심 키워드 5~10개\n'
+    '- commonalities_differences: 기사들 간 공통점과 차이점 2~5개\n'
+    '- implications: 시사점 3~5개\n'
 )
-from articleflow.functions.replies import EMPTY_LIST, NO_OBJECT, NOT_AN_OBJECT
-from articleflow.functions.text import BLANKS
-from articleflow.operators.cleaning import BAD_JSON, NO_TITLE
-from articleflow.operators.completion import EMPTY_REPLY
-from articleflow.operators.ingest import NO_TITLE as ITEM_NO_TITLE
-from articleflow.sources.feeds import MISSING_FEED, NO_LINK
+SUMMARY_BODY_CUT = '\n...(이하 생략)'
+SUMMARY_NO_BODY = '(본문 없음 - 제목만으로 요약하지 말고 정보 부족을 명시하세요)'
+SUMMARY_USER = (
+    '다음 뉴스 기사를 한국어 3~5문장으로 요약하세요.\n'
+    '기사에 없는 내용은 추가하지 마세요.\n'
+    '\n'
+    '제목: %s\n'
+    '출처: %s\n'
+    '카테고리: %s\n'
+    '본문:\n'
+    '%s\n'
+)
+EMPTY_LIST = "AI 응답의 '{}'가 비어 있습니다."
+NO_OBJECT = 'AI 응답에서 JSON 객체를 찾지 못했습니다.'
+NOT_AN_OBJECT = 'AI 응답 JSON의 최상위가 객체가 아닙니다.'
+BLANKS = '\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000'
+BAD_JSON = 'raw payload가 올바른 JSON이 아닙니다 (raw_id=%d)'
+NO_TITLE = "필수 필드 'title'이 비어 있습니다 (raw_id=%d)"
+EMPTY_REPLY = '빈 요약'
+ITEM_NO_TITLE = '제목을 찾지 못했습니다'
+MISSING_FEED = 'HTTP 요청 실패'
+NO_LINK = 'RSS 항목 처리 실패: 항목에 link가 없습니다'
 
 ISO = "'%Y-%m-%dT%H:%M:%S+00:00'"
 
