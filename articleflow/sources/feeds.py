@@ -38,15 +38,34 @@ def _entry_url(entry: Column) -> Column:
     return _first(entry["originallink"], written, alternate, entry["id"], entry["guid"], linked)
 
 
+def _escaped(content: Column) -> Column:
+    """Ampersands that begin no XML entity as ``&amp;``; cleaning resolves what HTML entities are left in texts."""
+    return F.regexp_replace(content, "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
+
+
+def _whole_entries(content: Column) -> Column:
+    """A feed of the entries that have a beginning and an end; NULL without any."""
+    items = F.regexp_extract_all(content, F.lit(r"(?s)<item[\s>].*?</item\s*>"), F.lit(0))
+    entries = F.regexp_extract_all(content, F.lit(r"(?s)<entry[\s>].*?</entry\s*>"), F.lit(0))
+    feed = F.when(F.size(items) > 0, F.concat(F.lit("<rss><channel>"), F.array_join(items, ""), F.lit("</channel></rss>")))
+    return feed.when(F.size(entries) > 0, F.concat(F.lit("<feed>"), F.array_join(entries, ""), F.lit("</feed>")))
+
+
 def parse_feeds(docs: DataFrame, *, content: str = "content", seq: str = "doc_no", limit: int | None = None) -> DataFrame:
     """One row per entry tried, and one failed row per document that cannot be read.
 
+    A document that is no well-formed XML is read again with its stray ampersands and HTML entities escaped, and then once more as
+    the entries that are whole in it.
+
     ``docs`` holds whole documents with ``source_name, category, source_url``. ``limit`` cuts the entries of
     each document before they are checked. Parsing, field choice and explosion all run inside the JVM.
     """
-    feed = F.from_xml(as_column(content), FEED_SCHEMA, FEED_OPTIONS)
-    parsed = docs.withColumn("_feed", feed).drop(content)
     broken = F.col("_feed").isNull() | F.col("_feed._broken").isNotNull()
+    parsed = docs.withColumn("_feed", F.from_xml(as_column(content), FEED_SCHEMA, FEED_OPTIONS))
+    for mended in (_escaped(as_column(content)), _whole_entries(_escaped(as_column(content)))):
+        again = F.from_xml(mended, FEED_SCHEMA, FEED_OPTIONS)
+        parsed = parsed.withColumn("_feed", F.when(broken, again).otherwise(F.col("_feed")))
+    parsed = parsed.drop(content)
     entries = F.coalesce(F.col("_feed.channel.item"), F.col("_feed.entry"), F.col("_feed.item"))
     if limit is not None:
         entries = F.slice(entries, 1, max(0, limit))

@@ -284,3 +284,17 @@ def test_request_url_of_a_broken_url(spark):
 def test_source_numbers_do_not_repeat(spark):
     config = spark.createDataFrame([('{"sources":{"a":{"type":"rss"},"b":{"type":"web"}}}',), ('{"sources":{"c":{"type":"rss"}}}',)], "text string")
     assert sorted(r.source_no for r in registry.source_registry(config).collect()) == [0, 1, 2]
+
+
+@pytest.mark.parametrize(
+    "content, want",
+    [
+        ("<rss><channel><item><title>a&nbsp;b & c</title><link>https://h/1?x=1&y=2</link></item></channel></rss>", [(True, "https://h/1?x=1&y=2", "a&nbsp;b & c")]),
+        ("<rss><channel><item><title>a</title><link>https://h/1</link></item><item><title>cut o", [(True, "https://h/1", "a")]),
+        ("<feed><entry><title>a</title><link href='https://h/1'/></entry><entry><title>b & </title><link href='https://h/2'/></entry><ent", [(True, "https://h/1", "a"), (True, "https://h/2", "b &")]),
+        ("no feed & nothing", [(False, "u", None)]),
+    ],
+)
+def test_feeds_as_found_in_the_wild(spark, content, want):
+    docs = spark.createDataFrame([(0, "s", "c", "u", content)], "doc_no int, source_name string, category string, source_url string, content string")
+    assert [(r.ok, r.url, r.title and r.title.strip()) for r in feeds.parse_feeds(docs).orderBy("pos").collect()] == want
