@@ -5,8 +5,8 @@ metadata in bins. Every pair of features interacts through low-rank factors; the
 squares) per factor, so a score takes time linear in the features. The model is fitted on a bounded sample of labelled rows, the first
 ``sample_rows`` in the order of a hash of their ids; all texts are scored, whole.
 
-Defined results: null is the empty text and is scored like any other; without usable labels, or with one class only, all scores are 0.5 or
-the share of that class pulled towards it; a null id is in fold 0; repeated labels of an id count once, as the largest; repeated
+Defined results: null is the empty text and is scored like any other; without usable labels all scores are 0.5, with one class only they
+lean to that class; a null id is in fold 0; repeated labels of an id count once, as the largest; repeated
 documents are scored one by one; labels that are null are not used.
 """
 
