@@ -40,7 +40,7 @@ class Element:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.place = len(parent.children) if parent else 0
 
-    def reached(self, step: str) -> "Iterator[Element]":
+    def reached(self, step: str) -> Iterator["Element"]:
         """The elements a selector step may lead from, to this one."""
         if step == " ":
             above = self.parent
