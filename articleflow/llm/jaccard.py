@@ -41,6 +41,8 @@ COUNTERS, FREQUENT = 1 << 16, 20_000
 LEADERS = 2
 #: Classes in one leaf and in one tree.
 LEAF_ROWS, TREE_ROWS = 16, 512
+#: Documents whose sets are wanted that may be broadcast as ids (16 bytes each), so that texts stay where they are; more are shuffled with the texts.
+BROADCAST_SETS = 500_000
 #: Classes whose rows a task remembers to have given.
 REMEMBERED = 1 << 20
 
@@ -320,7 +322,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", F.col("doc").alias("id")), "cls")
     needed = stored(needed, "needed-sets")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(needed, texts["id"].eqNullSafe(needed["id"])).select("cls", "text")
+    side = F.broadcast(needed) if needed.count() <= BROADCAST_SETS else needed
+    found = texts.join(side, texts["id"].eqNullSafe(needed["id"])).select("cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
