@@ -1,12 +1,14 @@
 """Personal data in texts, and the terms that give it away.
 
 Four fixed kinds of patterns find the protected entities. A corpus tells how much a term reveals: with document counts over all texts, the information of
-an entity e is log(N / n(e)), and what a term t discloses of it is the pointwise mutual information log(N n(t, e) / (n(t) n(e))).
-A term that discloses at least the share ``disclosure`` of an entity's information, in ``support`` documents or more, is treated in the texts that
+an entity e is log(N / n(e)), and what a term t discloses of it is the pointwise mutual information log(P(e | t) / P(e)). P(e | t) is smoothed by
+half a text in which e is as likely as anywhere, so terms and entities of one text count too, but a few texts in all prove nothing.
+A term that discloses at least the share ``disclosure`` of an entity's information is treated in the texts that
 hold the entity: removed if all texts with it hold the entity, generalised otherwise.
 
 Everything is columns of Spark. Positions come from the lengths of what stands between matches. Terms are counted once per document, map-side
-first, as 64-bit hashes; only terms of texts with entities are joined with entities, so the pairs are bounded by the words of those texts.
+first, as 64-bit hashes; only terms of texts with entities are joined with entities, a text's terms in ``SALTS`` parts, and terms that are in
+too many texts to disclose an entity are left out before pairs are counted.
 
 Defined results: null is the empty text and has no spans; positions are code points, ends exclusive; rows that repeat an id and text get the same spans;
 entities and what meets them are counted over different texts, so copies make
@@ -35,6 +37,9 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: What separates terms, and their least length.
 BETWEEN_TERMS = r"[^\p{L}\p{N}]+"
 TERM_CHARS = 4
+#: Texts by which P(e | t) is smoothed, and parts into which the terms of a text are dealt to meet its entities.
+SMOOTHING = 0.5
+SALTS = 16
 
 
 SPAN = "struct<start:bigint,kind_no:int,end:bigint,kind:string,value:string>"
@@ -95,19 +100,18 @@ def _terms(text: str) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, disclosure: float, support: int) -> DataFrame:
+def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, disclosure: float) -> DataFrame:
     """(id, version, spans) of the terms that reveal entities of their text, outside the base spans."""
     total = docs.count()
     held = base.filter(F.size("spans") > 0).select("id", "version", "spans")
     entities = held.select("version", F.explode("spans").alias("span")).select("version", F.xxhash64("span.kind", "span.value").alias("entity")).distinct()
-    counts = entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
+    counts = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
     wanted = stored(entities.join(counts, "entity"), "entities")  # (entity, version, n_e)
-    keys = stored(held.join(wanted.select("version").distinct(), "version", "left_semi"), "texts-with-entities")
-    df = docs.select(F.explode(_terms(text_col)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= support)
+    df = docs.select(F.explode(_terms(text_col)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     df = stored(df, "term-counts")
     bodies = docs.select(F.col(id_col).alias("text_id"), F.xxhash64(text_col).alias("text_version"), F.col(text_col).cast("string").alias("body"))
     same = F.col("text_id").eqNullSafe(F.col("id")) & (F.col("text_version") == F.col("version"))
-    texts = bodies.join(keys, same).dropDuplicates(["text_id", "text_version"]).select("id", "version", "spans", "body")
+    texts = bodies.join(held, same).dropDuplicates(["text_id", "text_version"]).select("id", "version", "spans", "body")
     words = texts.select(
         "id", "version", "spans",
         F.posexplode(F.arrays_zip(F.split("body", r"[\p{L}\p{N}]+", -1).alias("gap"), F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("word"))).alias("pos", "pair"),
@@ -118,12 +122,16 @@ def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str
     inside = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
     words = words.filter((F.length("word") >= TERM_CHARS) & ~inside).withColumn("term", F.xxhash64(F.lower("word"))).drop("spans")
     words = stored(words, "terms-of-texts")
-    seen = words.select("version", "term").distinct().join(df, "term")
-    pairs = seen.join(wanted, "version")
-    met = pairs.groupBy("term", "entity", "n_t", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
+    seen = words.select("version", "term").distinct().join(df, "term").withColumn("salt", F.pmod("term", F.lit(SALTS)))
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     known = F.log(F.lit(float(total)) / F.col("n_e"))
-    told = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    telling = stored(met.filter((told > 0) & (told >= disclosure * known)).select("term", "entity", (F.col("n_t") <= F.col("n_te")).alias("only_there")), "revealing-terms")
+    told = lambda n_te: F.log((n_te * float(total) / F.col("n_e") + SMOOTHING) / (F.col("n_t") + SMOOTHING))
+    tells = lambda n_te: (told(n_te) > 0) & (told(n_te) >= disclosure * known)
+    # no more texts hold both than hold either
+    pairs = seen.join(salted, ["version", "salt"]).filter(tells(F.least("n_t", "n_e"))).select("version", "term", "entity", "n_t", "n_e")
+    pairs = stored(pairs, "terms-and-entities")
+    met = pairs.groupBy("term", "entity", "n_t", "n_e").agg(F.count("*").alias("n_te"))
+    telling = stored(met.filter(tells(F.col("n_te"))).select("term", "entity", (F.col("n_t") <= F.col("n_te")).alias("only_there")), "revealing-terms")
     treated = pairs.select("version", "term", "entity").join(telling, ["term", "entity"]).groupBy("version", "term").agg(F.max("only_there").alias("only_there"))
     kind = F.when(F.col("only_there"), F.lit("removed")).otherwise(F.lit("generalised"))
     number = F.when(F.col("only_there"), F.lit(KINDS.index("removed"))).otherwise(F.lit(KINDS.index("generalised")))
@@ -131,10 +139,10 @@ def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str
     return words.join(treated, ["version", "term"]).groupBy("id", "version").agg(F.collect_list(span).alias("more"))
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8, support: int = 3) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8) -> DataFrame:
     """(id, version, spans): one row per document; spans have start, kind_no, end, kind and value, by start, then kind."""
     base = stored(pattern_spans(docs, id_col, text_col), "pattern-spans")
-    more = revealing_spans(docs, base, id_col, text_col, disclosure, support)
+    more = revealing_spans(docs, base, id_col, text_col, disclosure)
     more = stored(more, "revealing-spans").withColumnsRenamed({"id": "more_id", "version": "more_version"})
     same = F.col("id").eqNullSafe(F.col("more_id")) & (F.col("version") == F.col("more_version"))
     spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more")))

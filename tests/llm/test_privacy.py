@@ -48,6 +48,20 @@ def test_copies_make_no_term_revealing(spark):
     assert all(s.kind in BASE_KINDS for r in found for s in r.spans) and sum(len(r.spans) for r in found) == 5
 
 
+def test_terms_beside_an_entity_of_one_text_go(spark):
+    rows = ["Smithson writes bob@corp.example today"] + [f"{word} writes words today" for word in cases.WORDS[:20]]
+    found = {r.id: [(s.kind, s.value) for s in r.spans] for r in find_personal_data(cases.documents(spark, rows)).collect()}
+    assert found.pop(0) == [("removed", "Smithson"), ("email", "bob@corp.example")]
+    assert not any(found.values())
+
+
+def test_terms_of_a_given_table_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = find_personal_data(docs).collect()
+    assert any(s.kind == "removed" for r in found for s in r.spans) and any(s.kind == "generalised" for r in found for s in r.spans)
+    assert all(any(s.kind in BASE_KINDS for s in r.spans) for r in found if r.spans)
+
+
 def test_awkward_rows_and_no_python(spark, plan_of):
     assert find_personal_data(cases.awkward(spark)).count() == 6
     assert find_personal_data(cases.empty(spark)).count() == 0
