@@ -6,13 +6,13 @@ half a text in which e is as likely as anywhere, so terms and entities of one te
 A term that discloses at least the share ``disclosure`` of an entity's information is treated in the texts that
 hold the entity: removed if all texts with it hold the entity, generalised otherwise.
 
-Everything is columns of Spark. Positions come from the lengths of what stands between matches. Terms are counted once per document, map-side
-first, as 64-bit hashes; only terms of texts with entities are joined with entities, a text's terms in ``SALTS`` parts, and terms that are in
+Everything is columns of Spark. Positions come from the lengths of what stands between matches. Terms are counted once per different text, copies
+and terms summed map-side first, as 64-bit hashes; only terms of texts with entities are joined with entities, a text's terms in ``SALTS`` parts, and terms that are in
 too many texts to disclose an entity are left out before pairs are counted.
 
 Defined results: null is the empty text and has no spans; positions are code points, ends exclusive; rows that repeat an id and text get the same spans;
-entities and what meets them are counted over different texts, so copies make
-no term revealing; a null id is an id like any other; other columns are not read.
+texts, entities, terms and what meets are all counted over different texts, so copies make
+no term revealing and hide none; a null id is an id like any other; other columns are not read.
 """
 
 from __future__ import annotations
@@ -102,12 +102,13 @@ def _terms(text: str) -> Column:
 
 def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, disclosure: float) -> DataFrame:
     """(id, version, spans) of the terms that reveal entities of their text, outside the base spans."""
-    total = docs.count()
+    total = docs.select(F.xxhash64(text_col)).distinct().count()
     held = base.filter(F.size("spans") > 0).select("id", "version", "spans")
     entities = held.select("version", F.explode("spans").alias("span")).select("version", F.xxhash64("span.kind", "span.value").alias("entity")).distinct()
     counts = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
     wanted = stored(entities.join(counts, "entity"), "entities")  # (entity, version, n_e)
-    df = docs.select(F.explode(_terms(text_col)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    df = docs.select(F.xxhash64(text_col).alias("version"), _terms(text_col).alias("terms")).dropDuplicates(["version"])
+    df = df.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     df = stored(df, "term-counts")
     bodies = docs.select(F.col(id_col).alias("text_id"), F.xxhash64(text_col).alias("text_version"), F.col(text_col).cast("string").alias("body"))
     same = F.col("text_id").eqNullSafe(F.col("id")) & (F.col("text_version") == F.col("version"))

@@ -48,6 +48,12 @@ def test_copies_make_no_term_revealing(spark):
     assert all(s.kind in BASE_KINDS for r in found for s in r.spans) and sum(len(r.spans) for r in found) == 5
 
 
+def test_copies_hide_no_term(spark):
+    found = find_personal_data(cases.documents(spark, TALK[:1] * 40 + TALK)).collect()
+    assert {s.value for r in found for s in r.spans if s.kind == "removed"} == {"Smithson"}
+    assert not any(s.kind == "generalised" for r in found for s in r.spans)
+
+
 def test_terms_beside_an_entity_of_one_text_go(spark):
     rows = ["Smithson writes bob@corp.example today"] + [f"{word} writes words today" for word in cases.WORDS[:20]]
     found = {r.id: [(s.kind, s.value) for s in r.spans] for r in find_personal_data(cases.documents(spark, rows)).collect()}
