@@ -1,9 +1,11 @@
 """Documents that hold benchmark items, also with other numbers, names or units.
 
 Numbers, names and units after numbers become typed placeholders that carry their value; what is left, in lower case, is the template. Windows
-of eight template tokens of all documents meet those of the items in a hash join. Windows of one item that lie
+of eight template tokens of all documents meet those of the items in a hash join. White space does not count. A capitalised word that may open a
+sentence is read both as a name and as a word, and windows are also read without names, so lower-case copies meet too. Windows of one item that lie
 in a document at the same shift are one match; a match counts when it has enough windows and when its slots are consistent: over the
-matched stretch, equal values of the item stand for equal values of the document and the other way round.
+matched stretch, equal values of the item stand for equal values of the document and the other way round. That is tried with words that may open a
+sentence as names, then as words, and last with verbatim windows alone.
 
 Everything is columns of Spark. The windows of the items are broadcast only if there are few, otherwise both sides are shuffled.
 
@@ -30,31 +32,74 @@ UNITS = (
 ).split()
 
 _NAME = r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}+)(?!\p{L})"
+#: After the names inside sentences are marked: words that may open a sentence or be names.
+_START = r"(?<![\p{L}\p{N}<])(\p{Lu}\p{Ll}+)(?!\p{L})"
+_BLANKS = r"[\s\p{Z}]+"
 _NUMBER = r"([0-9]+)"
 _UNIT = r"(<n[0-9]*\s+)(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _GAP = r"[^\p{L}\p{N}<]+"
 
 
-def tokens(text: str | Column, values: bool) -> Column:
-    """Template tokens of a text; ``<n``, ``<a`` and ``<u`` stand for numbers, names and units, followed by their value if wanted."""
+def _marked(text: str | Column) -> Column:
+    """Tokens of a text; numbers, names, units and words that may be names begin with ``<n``, ``<a``, ``<u`` and ``<s``, followed by their value."""
     text = F.col(text) if isinstance(text, str) else text
-    kept = lambda group: f"${group}" if values else ""
-    marked = F.translate(F.coalesce(text, F.lit("")), "<", " ")
-    marked = F.regexp_replace(marked, _NAME, f" <a{kept(1)} ")
-    marked = F.regexp_replace(marked, _NUMBER, f" <n{kept(1)} ")
-    marked = F.regexp_replace(F.lower(marked), _UNIT, f"$1<u{kept(2)}")
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "<", " "), _BLANKS, " ")
+    marked = F.regexp_replace(marked, _NAME, " <a$1 ")
+    marked = F.regexp_replace(marked, _START, " <s$1 ")
+    marked = F.regexp_replace(marked, _NUMBER, " <n$1 ")
+    marked = F.regexp_replace(F.lower(marked), _UNIT, "$1<u$2")
     return F.filter(F.split(marked, _GAP), lambda word: word != "")
 
 
-def _template(token: Column) -> Column:
-    return F.when(F.startswith(token, F.lit("<")), F.substring(token, 1, 2)).otherwise(token)
+def _word(token: Column) -> Column:
+    return F.when(F.startswith(token, F.lit("<")), F.substring(token, 3, 1 << 30)).otherwise(token)
+
+
+def _is(token: Column, *kinds: str) -> Column:
+    return F.substring(token, 1, 2).isin(*(f"<{kind}" for kind in kinds))
+
+
+def _read(token: Column, names: str) -> Column:
+    """What a token counts as in a window when these kinds are names and the others are words."""
+    held = F.when(_is(token, "n", "u"), F.substring(token, 1, 2))
+    return (held.when(_is(token, *names), F.lit("<a")) if names else held).otherwise(_word(token))
+
+
+def _way(names: str) -> Column:
+    return F.transform("marked", lambda token: _read(token, names))
+
+
+def tokens(text: str | Column, values: bool) -> Column:
+    """Template tokens of a text; ``<n``, ``<a`` and ``<u`` stand for numbers, names and units, followed by their value if wanted."""
+    return F.transform(_marked(text), lambda t: F.when(_is(t, "s"), _word(t)).otherwise(t) if values else _read(t, "a"))
 
 
 def template_windows(rows: DataFrame, text: str, *keys: str) -> DataFrame:
-    """The keys, ``pos`` and a hash for each window of template tokens."""
-    words = rows.select(*keys, tokens(text, values=False).alias("words")).filter(F.size("words") >= WINDOW)
-    hashes = F.expr(f"transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW})))")
-    return words.select(*keys, F.posexplode(hashes).alias("pos", "hash"))
+    """The keys, ``pos`` and a hash for each window of template tokens in each way to read it."""
+    words = rows.select(*keys, _marked(text).alias("marked")).filter(F.size("marked") >= WINDOW)
+    ways = {f"way{i}": _way(names) for i, names in enumerate(("as", "a", ""))}
+    words = words.select(*keys, *(way.alias(name) for name, way in ways.items()))
+    each = ", ".join(f"xxhash64(slice({name}, i, {WINDOW}))" for name in ways)
+    hashes = F.expr(f"transform(sequence(1, size(way0) - {WINDOW - 1}), i -> array_distinct(array({each})))")
+    return words.select(*keys, F.posexplode(hashes).alias("pos", "hashes")).select(*keys, "pos", F.explode("hashes").alias("hash"))
+
+
+def _judged(names: str, slots: bool) -> Column:
+    """``first`` and ``last`` window of the item in a stretch of ``pairs``, if enough of its windows are equal and its slots are consistent; else null."""
+    same = lambda p: _word(p["item_words"]) == _word(p["doc_words"])
+    both = lambda p, *kinds: _is(p["item_words"], *kinds) & _is(p["doc_words"], *kinds)
+    met = lambda p: both(p, "n") | both(p, "u") | both(p, *names)
+    equal = F.transform("pairs", lambda p: F.coalesce(same(p) | met(p), F.lit(False)) if slots else F.coalesce(same(p), F.lit(False)))
+    places = F.sequence(F.lit(1), F.size("pairs") - (WINDOW - 1))
+    hits = F.filter(places, lambda i: F.forall(F.slice(equal, i, WINDOW), lambda e: e))
+    stretch = F.slice("pairs", F.array_min(hits), F.array_max(hits) - F.array_min(hits) + WINDOW)
+    held = F.filter(stretch, lambda p: met(p) | (_is(p["item_words"], "n", "u", *names) & same(p)))
+    kind = lambda token: F.when(_is(token, "n", "u"), F.substring(token, 1, 2)).otherwise("<a")
+    held = F.array_distinct(F.transform(held, lambda p: F.struct(F.concat(kind(p["item_words"]), _word(p["item_words"])).alias("i"), F.concat(kind(p["item_words"]), _word(p["doc_words"])).alias("d"))))
+    one_to_one = (F.size(F.array_distinct(held["i"])) == F.size(held)) & (F.size(F.array_distinct(held["d"])) == F.size(held))
+    enough = F.size(hits) >= F.col("needed")
+    at = F.struct((F.col("first") + F.array_min(hits) - 1).alias("first"), (F.col("first") + F.array_max(hits) - 1).alias("last"))
+    return F.when(enough & one_to_one if slots else enough, at)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -69,22 +114,21 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         F.min("item_pos").alias("first"), F.max("item_pos").alias("last"), F.count_distinct("item_pos").alias("n")
     )
     same_item = F.col("item").eqNullSafe(F.col("of_item")) & (F.col("item_version") == F.col("of_version"))
-    long_runs = stored(runs.join(needed, same_item).filter("n >= needed").drop("of_item", "of_version", "needed"), "long-runs")
-    item_words = wanted.distinct().select(F.col("item").alias("of_item"), F.col("item_version").alias("of_version"), tokens("item_text", values=True).alias("item_words"))
+    long_runs = stored(runs.join(needed, same_item).filter("n >= needed").drop("of_item", "of_version"), "long-runs")
+    item_words = wanted.distinct().select(F.col("item").alias("of_item"), F.col("item_version").alias("of_version"), _marked("item_text").alias("item_words"))
     with_slots = long_runs.join(item_words, same_item).drop("of_item", "of_version")
     with_slots = with_slots.withColumn("item_words", F.expr(f"slice(item_words, first + 1, last - first + {WINDOW})"))
     has_slots = F.exists("item_words", lambda w: F.startswith(w, F.lit("<")))
-    plain = with_slots.filter(~has_slots).drop("item_words")
+    plain = with_slots.filter(~has_slots).drop("item_words", "needed")
     slotted = stored(with_slots.filter(has_slots), "slotted-runs")
     same_text = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("version") == F.col("of_text"))
     keys = slotted.select(F.col("id").alias("of_id"), F.col("version").alias("of_text")).distinct()
     held = bodies.join(keys, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("version") == F.col("of_text")), "left_semi")
-    held = held.dropDuplicates(["id", "version"]).select(F.col("id").alias("of_id"), F.col("version").alias("of_text"), tokens("body", values=True).alias("words"))
+    held = held.dropDuplicates(["id", "version"]).select(F.col("id").alias("of_id"), F.col("version").alias("of_text"), _marked("body").alias("words"))
     compared = slotted.join(held, same_text).withColumn("doc_words", F.expr(f"slice(words, first + shift + 1, last - first + {WINDOW})"))
-    pairs = F.array_distinct(F.filter(F.arrays_zip("item_words", "doc_words"), lambda p: F.startswith(p["item_words"], F.lit("<")) & (_template(p["item_words"]) == _template(p["doc_words"]))))
-    compared = compared.withColumn("slots", pairs)
-    one_to_one = (F.size(F.array_distinct(F.col("slots.item_words"))) == F.size("slots")) & (F.size(F.array_distinct(F.col("slots.doc_words"))) == F.size("slots"))
-    consistent = compared.filter(one_to_one).select(*plain.columns)
+    compared = compared.withColumn("pairs", F.arrays_zip("item_words", "doc_words"))
+    judged = compared.withColumn("at", F.coalesce(_judged("as", True), _judged("a", True), _judged("a", False))).filter("at is not null")
+    consistent = judged.withColumns({"first": F.col("at.first"), "last": F.col("at.last")}).select(*plain.columns)
     return plain.unionByName(consistent).withColumn("last", F.col("last") + WINDOW)
 
 

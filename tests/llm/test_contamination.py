@@ -44,6 +44,20 @@ def test_awkward_rows_and_no_python(spark, plan_of):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+OPENINGS = "Tom has 5 red apples and gives 2 to a friend. Sue has 3 times as many. Tom eats 2. How many apples are left in all for Sue?"
+CAMP = "in the morning old Alice and young Robert carry 12 boxes of fruit from the farm to the market where they sell them"
+
+
+def test_names_that_open_sentences_other_blanks_and_case(spark):
+    other = OPENINGS.replace("Tom", "Anna").replace("Sue", "Maria").replace("5", "9").replace("3", "4").replace("2", "6")
+    mixed = other.replace("eats 6", "eats 7")
+    wrapped = CAMP.replace(" Alice", "\nAlice").replace(" Robert", "  Robert")
+    rows = [other, mixed, wrapped, CAMP.lower(), CAMP.lower().replace("12", "15"), "\u201c" + other]
+    docs = cases.documents(spark, rows)
+    found = {r.doc_id: r["items"] for r in flagged(docs, items(spark, [(1, OPENINGS), (2, CAMP)])).select("row.doc_id", "items").collect()}
+    assert [found[i] for i in range(len(rows))] == [[1], [], [2], [2], [2], [1]]
+
+
 def test_tokens_carry_their_values(spark):
     row = spark.createDataFrame([("He paid 3.50 dollars to Ann, 5 km away. Then <b>",)], "text string").select(tokens("text", True), tokens("text", False)).first()
     assert row[0] == ["he", "paid", "<n3", "<n50", "<udollars", "to", "<aann", "<n5", "<ukm", "away", "then", "b"]
