@@ -16,6 +16,7 @@ from articleflow.llm.packing import pack_documents
 from articleflow.llm.privacy import BASE_KINDS, find_personal_data
 from articleflow.llm.secrets import find_secrets
 from articleflow.llm.suffixes import remove_repeats
+from articleflow.llm.turns import damaged, repair_digests
 
 
 def _count(spans: str, kind: str) -> Column:
@@ -102,4 +103,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy, "op10_language": op10_language}
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, repaired at least cost."""
+    found = repair_digests(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy, "op10_language": op10_language, "op12_turns": op12_turns}
