@@ -12,6 +12,7 @@ from articleflow.llm.jaccard import near_duplicates
 from articleflow.llm.language import language_scores
 from articleflow.llm.lattice import near_vectors
 from articleflow.llm.lines import dedup_lines
+from articleflow.llm.negatives import hard_negatives
 from articleflow.llm.packing import pack_documents
 from articleflow.llm.privacy import BASE_KINDS, find_personal_data
 from articleflow.llm.secrets import find_secrets
@@ -109,4 +110,11 @@ def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy, "op10_language": op10_language, "op12_turns": op12_turns}
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh vector counts under the next label."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, label=label)
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy, "op10_language": op10_language, "op12_turns": op12_turns, "op13_negatives": op13_negatives}
