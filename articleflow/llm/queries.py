@@ -16,6 +16,7 @@ from articleflow.llm.negatives import hard_negatives
 from articleflow.llm.packing import pack_documents
 from articleflow.llm.privacy import BASE_KINDS, find_personal_data
 from articleflow.llm.secrets import find_secrets
+from articleflow.llm.substrings import drop_repeats
 from articleflow.llm.suffixes import remove_repeats
 from articleflow.llm.turns import damaged, repair_digests
 
@@ -104,6 +105,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts without the words of 20-word windows that also start earlier."""
+    found = drop_repeats(documents(spark, sf_dir), threshold=20)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r["end"] - r["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged conversations, repaired at least cost."""
     found = repair_digests(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
@@ -117,4 +125,4 @@ def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 100 == 0, label=label)
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy, "op10_language": op10_language, "op12_turns": op12_turns, "op13_negatives": op13_negatives}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_lattice": op6_lattice, "op7_contamination": op7_contamination, "op8_jaccard": op8_jaccard, "op9_privacy": op9_privacy, "op10_language": op10_language, "op11_substrings": op11_substrings, "op12_turns": op12_turns, "op13_negatives": op13_negatives}
