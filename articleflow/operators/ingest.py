@@ -62,33 +62,45 @@ def to_raw_rows(
     return rows
 
 
-def first_per_key(rows: DataFrame, keys: tuple[str, ...], order: str, *, last: bool = False) -> DataFrame:
+def first_per_key(rows: DataFrame, keys: tuple[str, ...], *order: str, last: bool = False) -> DataFrame:
     """The first (or last) row per key. Spark prunes to one row per key and task before it shuffles."""
-    sort = F.col(order).desc() if last else F.col(order).asc()
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(sort))
+    sort = [F.col(name).desc() if last else F.col(name).asc() for name in order]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*sort))
     return rows.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
+def _fingerprint() -> Column:
+    """Tells rows apart that share source, URL and ``seq``: versions of one item."""
+    return F.xxhash64("status", "raw_payload", "collected_at")
+
+
 def new_raw_keys(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Which rows to insert: first per (source, URL) in arrival order, unless the table has that key already.
 
-    Payloads are left behind; the result is ``seq`` with the short columns.
+    Payloads are left behind; the result is ``seq`` and a fingerprint (``version``, where there are payloads) with the short columns. ``seq`` may be
+    repeated: of one URL's rows with the same ``seq`` the one of least fingerprint counts.
     """
     short = [name for name in ("seq", "collection_method", "status", *RAW_KEY) if name in rows.columns]
-    firsts = first_per_key(rows.where("storable").select(*short), RAW_KEY, "seq")
+    storable = rows.where("storable")
+    if "raw_payload" in rows.columns:
+        firsts = first_per_key(storable.select(*short, _fingerprint().alias("version")), RAW_KEY, "seq", "version")
+        return firsts.join(existing.select(*RAW_KEY), list(RAW_KEY), "left_anti").select(*short, "version")
+    firsts = first_per_key(storable.select(*short), RAW_KEY, "seq")
     return firsts.join(existing.select(*RAW_KEY), list(RAW_KEY), "left_anti").select(*short)
 
 
 def insert_raw(rows: DataFrame, existing: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """The rows to append to ``raw_articles``, with their ids.
+    """The rows to append to ``raw_articles``, with their ids: one row and one id per key, also where ``seq`` is repeated.
 
     ``keys`` takes ``new_raw_keys`` when they are stored. ``rows`` is best a stored table too: it is read for
     its keys and again for the payloads of the rows that win.
     """
     if keys is None:
         keys = materialize(new_raw_keys(rows, existing), name="new-keys")
-    numbered = assign_ids(keys.select("seq"), existing, "seq")
-    return rows.join(numbered, "seq").select(*RAW_ARTICLES.names)
+    by = ["seq", *RAW_KEY, "version"]
+    numbered = assign_ids(keys.select(*by), existing, "seq", ties=RAW_KEY)
+    # Rows that are the same throughout would all match; the join has them side by side already.
+    return rows.withColumn("version", _fingerprint()).join(numbered, by).dropDuplicates(by).select(*RAW_ARTICLES.names)
 
 
 def retried_errors(rows: DataFrame, existing: DataFrame) -> DataFrame:

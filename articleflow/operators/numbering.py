@@ -9,10 +9,10 @@ from pyspark.sql.window import Window
 BLOCK_BITS = 16
 
 
-def number_rows(df: DataFrame, order: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+def number_rows(df: DataFrame, order: str, out: str, by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
     """Add ``out``: 1, 2, 3 ... by ``order``, over the table or within each ``by`` group.
 
-    ``order`` is a long that is not repeated within a group. Rows are numbered inside blocks of 2**16
+    ``order`` is a long; where it is repeated within a group, ``ties`` must tell the rows apart, or a task that runs again may number them otherwise. Rows are numbered inside blocks of 2**16
     consecutive order values; how many rows lie before a block comes from counting blocks, runs of 2**16 blocks, and
     runs of those. A long has room for 2**15 of the last, so no task sorts more than 65,536 rows, however large a
     group is and however wide its values are spread, and the numbers are a function of the data alone: a task that runs again gives the same ones.
@@ -39,13 +39,13 @@ def number_rows(df: DataFrame, order: str, out: str, by: Sequence[str] = ()) ->
         bases = own.select(*by, f"_level{level}", (F.col("_base") + F.col("_own")).alias("_base"))
     bases = bases.withColumnRenamed("_level0", "_block")
 
-    position = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(order))
+    position = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(order, *ties))
     numbered = df.withColumn("_block", F.shiftright(order, BLOCK_BITS)).join(bases, [*by, "_block"])
     return numbered.select(*[F.col(name) for name in df.columns], (F.col("_base") + position).alias(out))
 
 
-def assign_ids(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
+def assign_ids(new: DataFrame, existing: DataFrame, order: str, ties: Sequence[str] = ()) -> DataFrame:
     """Give new rows the ids after the largest one in ``existing``, in ``order``."""
     last = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = number_rows(new.drop("id"), order, "_number")
+    numbered = number_rows(new.drop("id"), order, "_number", ties=ties)
     return numbered.withColumn("id", last + F.col("_number")).drop("_number")

@@ -4,6 +4,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +60,53 @@ def materialize(df: DataFrame, path: str | None = None, name: str = "stage") ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where there is no such folder."""
+    folder, files = _folder(spark, path)
+    return [entry.getPath().getName() for entry in files.listStatus(folder) if entry.isDirectory()] if files.exists(folder) else []
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    folder, files = _folder(spark, f"{path}/_SUCCESS")
+    return files.exists(folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
+class _Scratch:
+    """Stores tables for one step; ``keep`` stores one that outlives it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str = "step") -> DataFrame:
+        self.paths.append(shared_dir(self.spark, name))
+        return materialize(df, self.paths[-1])
+
+    def keep(self, df: DataFrame, name: str = "step") -> DataFrame:
+        return materialize(df, name=name)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[_Scratch]:
+    """Intermediate tables that are removed when the step is over."""
+    put = _Scratch(spark)
+    try:
+        yield put
+    finally:
+        for path in put.paths:
+            remove(spark, path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal rows out by ``key`` for a Python-heavy stage, over as many tasks as other shuffles have."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

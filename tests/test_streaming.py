@@ -1,6 +1,7 @@
 """Incremental runs: what arrives later is merged, what is replayed changes nothing."""
 
 import json
+import os
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -65,9 +66,9 @@ def test_clean_stream_upsert(spark, tmp_path):
     run()
     raw_files(spark, inbox, (3, "https://h/1", "b"), (4, "https://h/4", "c"))
     run()
-    rows = incremental.latest_version(spark, table).orderBy("id").collect()
+    rows = incremental.upserted(spark, table).orderBy("id").collect()
     assert [(r.id, r.raw_id, r.title) for r in rows] == [(1, 3, "b"), (2, 4, "c")]
-    assert [r.title for r in incremental.latest_version(spark, table, 1).collect()] == ["a"]
+    assert sorted(os.listdir(tmp_path)) == ["clean", "clean-changes", "clean-conflicts", "clean-counts", "clean-rejects", "log", "raw"]
 
 
 def test_clean_stream_keeps_rejects_counts_and_conflicts(spark, tmp_path):
@@ -104,3 +105,41 @@ def test_late_rows_change_no_result(spark, tmp_path):
     incremental.stream_distinct_urls(keys(stream), str(tmp_path / "urls"), str(tmp_path / "log2")).awaitTermination()
     found = sorted(map(tuple, incremental.distinct_urls(spark, str(tmp_path / "urls")).collect()))
     assert found == sorted(map(tuple, keys(spark.read.parquet(events)).distinct().collect()))
+
+
+def test_a_batch_costs_what_is_in_it(spark, tmp_path):
+    """Twelve batches of as many rows, some of them again: a late one reads no more bytes than an early one, and nothing stays behind."""
+    inbox, table = tmp_path / "in", str(tmp_path / "raw")
+    scratch_before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    for batch in range(12):
+        rows = [(batch * 100 + i, f"https://h/{(batch * 50 + i) if i < 50 else i}", f"t{batch}-{i}") for i in range(100)]
+        drop(spark, inbox, *rows)
+    read = []
+    statistics = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    def counting(step):
+        def run(batch, number):
+            before = statistics()
+            step(batch, number)
+            read.append(statistics() - before)
+
+        return run
+
+    real = incremental._run
+    incremental._run = lambda stream, step, *rest: real(stream, counting(step), *rest)
+    try:
+        stream = spark.readStream.schema(COLLECTED).option("maxFilesPerTrigger", 1).parquet(str(inbox))
+        incremental.stream_raw(ingest.to_raw_rows(stream, "rss"), table, str(tmp_path / "log")).awaitTermination()
+    finally:
+        incremental._run = real
+    assert len(read) == 12
+    assert max(read[8:]) < 1.5 * max(read[1:5])
+    stored = read_parts(spark, table, RAW_ARTICLES).collect()
+    first = {}
+    for batch in range(12):
+        for i in range(100):
+            first.setdefault(f"https://h/{(batch * 50 + i) if i < 50 else i}", f"t{batch}-{i}")
+    assert {r.canonical_url: json.loads(r.raw_payload)["title"] for r in stored} == first
+    assert sorted(r.id for r in stored) == list(range(1, len(first) + 1))
+    assert set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == scratch_before
+    assert len(os.listdir(table + incremental.IDS)) == 2
