@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from articleflow.functions.prompts import ANALYSIS_BODY_LIMIT, ANALYSIS_SYSTEM, analysis_block, analysis_prompt
 from articleflow.functions.replies import parse_analysis
 from articleflow.operators.completion import Client, with_completion
+from articleflow.operators.journal import with_journal
 from articleflow.operators.query import article_order, filter_articles
 from articleflow.schemas import ANALYSIS_RUNS
 from articleflow.session import materialize
@@ -79,11 +80,11 @@ def analyze(
     clean: DataFrame, runs: DataFrame, factory: Callable[[], Client], *, model: str | None = None,
     by: tuple[str, ...] = (), date_from: str | None = None, date_to: str | None = None, category: str | None = None,
     limit: int | None = None, max_articles: int = MAX_ARTICLES, max_chars: int = MAX_CHARS,
-    stage_path: str | None = None,
+    stage_path: str | None = None, journal: str | None = None,
 ) -> AnalyzeResult:
     """One model call per group (one in all without ``by``); only valid replies become runs.
 
-    Replies are stored before they are read twice. No matching article gives no call and no run.
+    Replies are stored before they are read twice; in a ``journal`` (a path) they outlive a job that dies. No matching article gives no call and no run.
     """
     blocks = analysis_blocks(
         clean, by=by, limit=limit, max_articles=max_articles, max_chars=max_chars,
@@ -91,13 +92,12 @@ def analyze(
     )
     requests = analysis_requests(blocks, by=by, category=category, date_from=date_from, date_to=date_to)
     keyed = requests.withColumn("_key", F.concat_ws("/", *by) if by else F.lit(""))
-    answered = materialize(
-        with_completion(keyed, factory, system=ANALYSIS_SYSTEM, key="_key", json_mode=True).withColumn(
-            "created_at", F.current_timestamp()
-        ),
-        stage_path,
-        "analysis",
-    )
+    if journal is None:
+        called = with_completion(keyed, factory, system=ANALYSIS_SYSTEM, key="_key", json_mode=True).withColumn("created_at", F.current_timestamp())
+    else:
+        noted = with_journal(keyed, factory, journal, system=ANALYSIS_SYSTEM, key="_key", json_mode=True, model=model or "", per_task=1)
+        called = noted.withColumnRenamed("called_at", "created_at")
+    answered = materialize(called, stage_path, "analysis")
     checked = answered.withColumn("_a", parse_analysis("reply"))
     error = F.coalesce(F.col("error"), F.col("_a.error"))
     run_category = F.col("category") if "category" in by else F.lit(category).cast("string")

@@ -133,20 +133,25 @@ class SummarizeResult:
 def summarize(
     clean: DataFrame, factory: Callable[[], Client], *, model: str = "unknown", mode: str = "unsummarized",
     article_id: int | None = None, limit: int | None = None, force: bool = False,
-    body_limit: int = SUMMARY_BODY_LIMIT, stage_path: str | None = None, stage: bool = True,
+    body_limit: int = SUMMARY_BODY_LIMIT, stage_path: str | None = None, stage: bool = True, journal: str | None = None,
 ) -> SummarizeResult:
-    """Summarize the selected articles; write the result back with ``update_summaries``.
+    """Summarize the selected articles; write the result back with ``update_summaries`` or ``blocks.write_summaries``.
 
-    The outcomes are stored before anything is counted, so every call is made once.
+    The outcomes are stored before anything is counted, so every call is made once. With a ``journal`` (a path) replies are kept as
+    tasks end, and a run that died goes on where it stopped.
     """
     targets = select_targets(clean, mode, article_id=article_id, limit=limit, force=force)
     already = F.lit(False) if force else ~is_blank("summary")
     asked = targets.where(~already).select(
         "id", summary_prompt(body_limit).alias("prompt"), F.coalesce(F.length("body"), F.lit(0)).cast("long").alias("original_length")
     )
-    answered = with_completion(asked, factory, system=SUMMARY_SYSTEM).select(
-        "id", "original_length", "reply", "error", F.current_timestamp().alias("summarized_at")
-    )
+    if journal is None:
+        called = with_completion(asked, factory, system=SUMMARY_SYSTEM).withColumn("called_at", F.current_timestamp())
+    else:
+        from articleflow.operators.journal import with_journal
+
+        called = with_journal(asked, factory, journal, system=SUMMARY_SYSTEM, model=model)
+    answered = called.select("id", "original_length", "reply", "error", F.col("called_at").alias("summarized_at"))
     outcomes = answered.withColumn("outcome", F.when(F.col("error").isNull(), "succeeded").otherwise("failed"))
     if mode == "id" and not force:
         # Only a choice by id can hit an article that has a summary.

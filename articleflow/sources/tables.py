@@ -40,7 +40,7 @@ def write_part(rows: DataFrame, path: str, part: int) -> None:
 
 def read_parts(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
     """An append-only table, or what it held before batch ``before``; empty when nothing was stored."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.LongType())])).parquet(path)
     if before is not None:
@@ -48,7 +48,7 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType, before: int
     return rows.select(*schema.names)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
