@@ -1,11 +1,17 @@
 """Feed documents (RSS 2.0, RSS 1.0, Atom and search results in RSS form) as a table of entries."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from articleflow.functions import ColumnOrName, as_column
 from articleflow.functions.text import filled, is_blank
 from articleflow.functions.urls import request_url
+from articleflow.session import materialize
+from articleflow.sources.fetched import newest_fetch
 
 _ENTRY = (
     "struct<title string, link array<struct<_VALUE string, _href string, _rel string>>, originallink string, "
@@ -21,6 +27,7 @@ FEED_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "a
 # Error texts stored with what could not be read.
 NO_LINK = "RSS 항목 처리 실패: 항목에 link가 없습니다"
 BROKEN_FEED = "RSS 파싱 실패: 알 수 없는 파싱 오류"
+CUT_ENTRY = "RSS 항목 처리 실패: 항목이 온전하지 않습니다"
 
 
 def _first(*candidates: ColumnOrName) -> Column:
@@ -38,56 +45,117 @@ def _entry_url(entry: Column) -> Column:
     return _first(entry["originallink"], written, alternate, entry["id"], entry["guid"], linked)
 
 
+# Namespaces whose elements are read, and the prefix each is read under.
+NAMESPACES = {
+    "http://www.w3.org/2005/Atom": "",
+    "http://purl.org/rss/1.0/": "",
+    "http://www.w3.org/1999/02/22-rdf-syntax-ns#": "rdf:",
+    "http://purl.org/dc/elements/1.1/": "dc:",
+    "http://purl.org/rss/1.0/modules/content/": "content:",
+}
+_ENTRY_TAG = r"<(?:item|entry)(?=[\s>/])"
+
+
+def _without_cdata(content: Column) -> Column:
+    """CDATA sections as escaped text, so that every tag that is left is one; a section that is cut off reaches to the end."""
+    pieces = F.split(content, r"(?=<!\[CDATA\[)|(?<=\]\]>)")
+    inside = lambda piece: F.regexp_replace(piece, r"(?s)^<!\[CDATA\[|\]\]>$", "")
+    marks = lambda text: F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.array_join(F.transform(pieces, lambda piece: F.when(piece.startswith("<![CDATA["), marks(inside(piece))).otherwise(piece)), "")
+
+
+def _declared(content: Column) -> Column:
+    """Prefixes that the root element binds to known namespaces, with the prefixes they are read under: ``array<struct<own, usual>>`` of those that differ."""
+    root = F.regexp_extract(content, r"(?s)<[A-Za-z_][^<>]*>", 0)
+    bound = F.regexp_extract_all(root, F.lit(r"xmlns:[A-Za-z_][\w.\-]*\s*=\s*(?:\"[^\"]*\"|'[^']*')"), F.lit(0))
+    usual = F.create_map(*[F.lit(x) for pair in NAMESPACES.items() for x in pair])
+    parts = F.transform(
+        bound,
+        lambda text: F.struct(
+            F.regexp_extract(text, r"xmlns:([\w.\-]+)", 1).alias("own"), F.element_at(usual, F.regexp_extract(text, "[\"'](.*)[\"']", 1)).alias("usual")
+        ),
+    )
+    return F.filter(parts, lambda p: p["usual"].isNotNull() & (F.concat(p["own"], F.lit(":")) != p["usual"]))
+
+
+def _usual_prefixes(content: Column, declared: Column) -> Column:
+    """Tags under the prefixes that ``FEED_SCHEMA`` knows, whatever prefixes the document has chosen."""
+    rename = lambda text, p: F.regexp_replace(text, F.concat(F.lit("(</?)"), p["own"], F.lit(":(?=[A-Za-z_])")), F.concat(F.lit("$1"), p["usual"]))
+    return F.aggregate(declared, _without_cdata(content), rename)
+
+
 def _escaped(content: Column) -> Column:
     """Ampersands that begin no XML entity as ``&amp;``; cleaning resolves what HTML entities are left in texts."""
     return F.regexp_replace(content, "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
 
 
-def _whole_entries(content: Column) -> Column:
-    """A feed of the entries that have a beginning and an end; NULL without any."""
-    items = F.regexp_extract_all(content, F.lit(r"(?s)<item[\s>].*?</item\s*>"), F.lit(0))
-    entries = F.regexp_extract_all(content, F.lit(r"(?s)<entry[\s>].*?</entry\s*>"), F.lit(0))
-    feed = F.when(F.size(items) > 0, F.concat(F.lit("<rss><channel>"), F.array_join(items, ""), F.lit("</channel></rss>")))
-    return feed.when(F.size(entries) > 0, F.concat(F.lit("<feed>"), F.array_join(entries, ""), F.lit("</feed>")))
+def _pieces(content: Column) -> Column:
+    """A document cut before each of its entries: its head, then one piece for every entry that begins in it."""
+    return F.split(content, f"(?s)(?={_ENTRY_TAG})")
+
+
+def _entry_of(piece: Column) -> Column:
+    """The entry that a piece begins with, parsed on its own; NULL where it is cut off or is no well-formed XML."""
+    whole = F.regexp_extract(piece, r"(?s)^<(item|entry)(?=[\s>]).*?</\1\s*>", 0)
+    parsed = F.from_xml(whole, f"{_ENTRY[:-1]}, _broken string>"[len("struct<") : -1], FEED_OPTIONS)
+    fields = [parsed[f.name].alias(f.name) for f in T._parse_datatype_string(_ENTRY).fields]
+    return F.when((whole != "") & parsed["_broken"].isNull(), F.struct(*fields))
+
+
+def _head_title(head: Column) -> Column:
+    """The title in front of the first entry."""
+    element = F.regexp_extract(head, r"(?s)<title(?=[\s>]).*?</title\s*>", 0)
+    return F.when(element != "", F.from_xml(F.concat(F.lit("<head>"), element, F.lit("</head>")), "title string")["title"])
 
 
 def parse_feeds(docs: DataFrame, *, content: str = "content", seq: str = "doc_no", limit: int | None = None) -> DataFrame:
     """One row per entry tried, and one failed row per document that cannot be read.
 
-    A document that is no well-formed XML is read again with its stray ampersands and HTML entities escaped, and then once more as
-    the entries that are whole in it.
+    Prefixes are resolved to namespaces by the root element. A document that is no well-formed XML is read again with its stray ampersands and
+    HTML entities escaped, and then entry by entry: those that are whole give their items, one that is cut off or broken a failed row in its place, and the title is
+    the one in front of the first entry. Only a document without any entry fails as a whole.
 
     ``docs`` holds whole documents with ``source_name, category, source_url``. ``limit`` cuts the entries of
     each document before they are checked. Parsing, field choice and explosion all run inside the JVM.
     """
+    text = as_column(content)
+    declared = docs.withColumn("_declared", _declared(text))
+    named = declared.withColumn("_text", F.when(F.size("_declared") > 0, _usual_prefixes(text, F.col("_declared"))).otherwise(text)).drop("_declared")
     broken = F.col("_feed").isNull() | F.col("_feed._broken").isNotNull()
-    parsed = docs.withColumn("_feed", F.from_xml(as_column(content), FEED_SCHEMA, FEED_OPTIONS))
-    for mended in (_escaped(as_column(content)), _whole_entries(_escaped(as_column(content)))):
-        again = F.from_xml(mended, FEED_SCHEMA, FEED_OPTIONS)
-        parsed = parsed.withColumn("_feed", F.when(broken, again).otherwise(F.col("_feed")))
-    parsed = parsed.drop(content)
-    entries = F.coalesce(F.col("_feed.channel.item"), F.col("_feed.entry"), F.col("_feed.item"))
+    parsed = named.withColumn("_feed", F.from_xml("_text", FEED_SCHEMA, FEED_OPTIONS))
+    parsed = parsed.withColumn("_feed", F.when(broken, F.from_xml(_escaped(F.col("_text")), FEED_SCHEMA, FEED_OPTIONS)).otherwise(F.col("_feed")))
+    parsed = parsed.withColumn("_pieces", F.when(broken, _pieces(_escaped(_without_cdata(F.col("_text"))))))
+    parsed = parsed.drop(*dict.fromkeys([content, "_text"]))
+
+    as_rows = lambda entries: F.transform(entries, lambda e: F.struct(e.alias("entry"), F.lit(None).cast("string").alias("fault")))
+    whole = as_rows(F.coalesce(F.col("_feed.channel.item"), F.col("_feed.entry"), F.col("_feed.item")))
+    one_by_one = F.transform(
+        F.slice("_pieces", 2, F.greatest(F.size("_pieces") - 1, F.lit(0))),
+        lambda piece: F.struct(_entry_of(piece).alias("entry"), F.when(_entry_of(piece).isNull(), CUT_ENTRY).alias("fault")),
+    )
+    rows = F.when(F.col("_pieces").isNull(), whole).when(F.size("_pieces") > 1, one_by_one)
     if limit is not None:
-        entries = F.slice(entries, 1, max(0, limit))
-    rows = parsed.select(
+        rows = F.slice(rows, 1, max(0, limit))
+    unreadable = F.array(F.struct(F.lit(None).cast(_ENTRY).alias("entry"), F.lit(BROKEN_FEED).alias("fault")))
+    exploded = parsed.select(
         "source_name", "category", "source_url", F.shiftleft(as_column(seq).cast("long"), 32).alias("_first_seq"),
-        broken.alias("_is_broken"),
-        F.coalesce(F.col("_feed.channel.title"), F.col("_feed.title")).alias("feed_title"),
-        F.posexplode(F.when(broken, F.array(F.lit(None).cast(_ENTRY))).otherwise(entries)).alias("pos", "_entry"),
+        F.when(F.col("_pieces").isNull(), F.coalesce(F.col("_feed.channel.title"), F.col("_feed.title"))).otherwise(_head_title(F.col("_pieces")[0])).alias("feed_title"),
+        F.posexplode(F.when(F.size("_pieces") == 1, unreadable).otherwise(rows)).alias("pos", "_row"),
     )
-    return _collected(rows)
+    return _collected(exploded.select("*", F.col("_row.entry").alias("_entry"), F.col("_row.fault").alias("_fault")))
 
 
 def _collected(rows: DataFrame) -> DataFrame:
-    """Entries (``_entry`` at ``pos`` of a document) as collected items."""
+    """Entries (``_entry`` at ``pos`` of a document, or a ``_fault``) as collected items."""
     entry = F.col("_entry")
     url = _entry_url(entry)
-    ok = ~F.col("_is_broken") & url.isNotNull()
+    is_document = F.coalesce(F.col("_fault") == BROKEN_FEED, F.lit(False))
+    ok = F.col("_fault").isNull() & url.isNotNull()
     return rows.select(
         "source_name",
-        F.when(F.col("_is_broken"), 0).otherwise(1).alias("attempted"),
+        F.when(is_document, 0).otherwise(1).alias("attempted"),
         ok.alias("ok"),
-        F.when(~F.col("_is_broken"), F.col("pos")).alias("pos"),
+        F.when(~is_document, F.col("pos")).alias("pos"),
         (F.col("_first_seq") + F.col("pos")).alias("seq"),
         F.coalesce(url, F.col("source_url"), F.lit("")).alias("url"),
         F.when(ok, F.coalesce(_first(entry["title"]), F.lit(""))).alias("title"),
@@ -106,7 +174,7 @@ def _collected(rows: DataFrame) -> DataFrame:
         "category",
         "source_url",
         F.when(ok, F.col("feed_title")).alias("feed_title"),
-        F.when(F.col("_is_broken"), BROKEN_FEED).when(url.isNull(), NO_LINK).alias("error"),
+        F.when(F.col("_fault").isNotNull(), F.col("_fault")).when(url.isNull(), NO_LINK).alias("error"),
     )
 
 
@@ -118,23 +186,53 @@ def read_feed_files(spark, paths: str | list[str]) -> DataFrame:
 def read_large_feed(
     spark, path: str, *, source_name: str, category: str, source_no: int, source_url: str | None = None, entry_tag: str = "item"
 ) -> DataFrame:
-    """The entries of a feed file too large for one task, read in splits.
+    """The entries of a feed file too large for one task, read in splits: the rows that ``parse_feeds`` gives for the same file.
 
-    Splits know neither the feed's title nor the place of an entry in the file: ``feed_title`` is NULL and
-    ``seq`` numbers entries in the order of the splits, in the stretch that ``source_no`` (below 2**10) has to itself.
+    The place of an entry is the number of entries in the splits before its own, which start at lower bytes, plus its place in its split.
+    The title is in front of the first entry and read there, piece by piece. Entries are stored once, so that both passes see the same splits.
+    Prefixes are the usual ones, and a cut last entry is none here.
     """
     options = {"rowTag": entry_tag, "attributePrefix": "_", "valueTag": "_VALUE"}
     schema = spark.createDataFrame([], f"_entry {_ENTRY}").schema["_entry"].dataType
-    entries = spark.read.format("xml").options(**options).schema(schema).load(path)
-    rows = entries.select(
-        F.lit(source_name).alias("source_name"), F.lit(category).alias("category"),
-        F.lit(source_url).cast("string").alias("source_url"), (F.lit(source_no << 51) + F.monotonically_increasing_id()).alias("_first_seq"),
-        F.lit(False).alias("_is_broken"), F.lit(None).cast("string").alias("feed_title"), F.lit(0).alias("pos"),
-        F.struct(*entries.columns).alias("_entry"),
+    read = spark.read.format("xml").options(**options).schema(schema).load(path)
+    entries = materialize(
+        read.select(F.struct(*schema.names).alias("_entry"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at")),
+        name="feed-entries",
+    )
+    # One row per split of the file.
+    splits = entries.groupBy("_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = entries.join(splits.select("_split", "_least", before.alias("_before")), "_split")
+    head = spark.createDataFrame([(_head_of(spark, path, entry_tag),)], "head string")
+    title = head.select(_head_title(_escaped(_without_cdata(F.col("head")))).alias("title")).first()[0]
+    rows = placed.select(
+        F.lit(source_name).alias("source_name"), F.lit(category).alias("category"), F.lit(source_url).cast("string").alias("source_url"),
+        F.lit(source_no << 32).alias("_first_seq"), F.lit(title).cast("string").alias("feed_title"),
+        (F.col("_before") + F.col("_at") - F.col("_least")).cast("int").alias("pos"), "_entry", F.lit(None).cast("string").alias("_fault"),
     )
     return _collected(rows)
 
 
+_HEAD_STEP = 1 << 16
+
+
+def _head_of(spark, path: str, entry_tag: str) -> str:
+    """What stands in front of the first entry of a file."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    found = b""
+    try:
+        while part := bytes(stream.readNBytes(_HEAD_STEP)):
+            found += part
+            begin = re.search(rb"<" + entry_tag.encode() + rb"[\s>/]", found)
+            if begin:
+                return found[: begin.start()].decode("utf-8", "replace")
+    finally:
+        stream.close()
+    return found.decode("utf-8", "replace")
+
+
 # Fixed value: the message of a feed that could not be had when no reason is given.
 MISSING_FEED = "HTTP 요청 실패"
 BAD_URL = "the feed URL cannot be split"
@@ -144,10 +242,10 @@ def collect_feeds(sources: DataFrame, fetched: DataFrame, *, limit: int | None =
     """Entries of every feed source; a source whose document is missing gives one failed row.
 
     ``sources`` is the registry (``source_no, source_name, url, params, category``), ``fetched`` what a
-    fetcher brought back for the request URLs (``url, content, error``).
+    fetcher brought back for the request URLs (``url, content, error``, and ``fetched_at`` where one was fetched more than once: the newest document counts).
     """
     asked = sources.withColumn("_request", request_url("url", "params", limit))
-    got = fetched.select(F.col("url").alias("_request"), "content", "error")
+    got = newest_fetch(fetched, "content").select(F.col("url").alias("_request"), "content", "error")
     joined = asked.join(got, "_request", "left").withColumn("source_url", F.col("url"))
     failed = joined.where(F.col("content").isNull()).select(
         "source_name", F.lit(0).alias("attempted"), F.lit(False).alias("ok"),

@@ -11,9 +11,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from articleflow.functions import ColumnOrName, as_column
 from articleflow.functions.text import filled
-from articleflow.functions.urls import absolute_url
+from articleflow.functions.urls import absolute_url, url_origin
 from articleflow.schemas import string_struct
+from articleflow.session import materialize
+from articleflow.sources.fetched import newest_fetch
 from articleflow.sources.markup import PageFault, collect, parse_selector
+from articleflow.sources.robots import fetch_slots, mark_allowed
 
 # Link targets that lead to no page.
 SKIPPED_LINKS = ("#", "javascript:", "mailto:")
@@ -181,45 +184,93 @@ def extract_article(
 MISSING_PAGE = "HTTP 요청 실패"
 
 
-def crawl(
-    sources: DataFrame, pages: DataFrame, *, limit: int | None = None, detail_url: str = "url", repeat_nested: bool = True
+# Fixed value: the message of a page that its origin does not allow to be read.
+DENIED = "robots.txt가 수집을 허용하지 않습니다: %s"
+_SELECTORS = ("title_selector", "body_selector", "date_selector")
+
+
+def crawl_links(
+    sources: DataFrame, pages: DataFrame, *, limit: int | None = None, detail_url: str = "url", rules: DataFrame | None = None
 ) -> DataFrame:
-    """List page -> links -> article pages for every web source, one row per attempted article.
+    """One row per link of every list page: the columns of ``sources`` with ``pos``, ``link`` and ``list_error``.
 
-    ``sources`` is the registry (``source_no, source_name, list_url, base_url, category`` and the selectors);
-    ``pages`` holds what was fetched (``url, html, error``; ``html`` NULL for a failure). A failing page
-    gives a row with ``ok = false`` and does not touch its neighbours; a failing list page gives a single
-    such row with ``attempted = 0``.
+    A list page that is missing, denied by ``rules`` or can't be read stands as one row without a link. No markup is in the result; store it before it is read twice, or list pages are parsed twice.
     """
-    fetched = pages.select(F.col(detail_url).alias("_page"), "html", "error")
-    lists = sources.join(fetched, F.col("list_url") == F.col("_page"), "left").drop("_page")
+    fetched = newest_fetch(pages, "html", detail_url).select(F.col(detail_url).alias("_page"), "html", "error")
+    asked = sources.withColumn("_allowed", F.lit(True))
+    if rules is not None:
+        asked = mark_allowed(sources, rules, url="list_url").drop("origin", "crawl_delay").withColumnRenamed("allowed", "_allowed")
+    lists = asked.join(fetched, F.col("_allowed") & (F.col("list_url") == F.col("_page")), "left").drop("_page")
     base = F.coalesce(filled("base_url"), F.col("list_url"))
     lists = lists.withColumn("_found", _anchors(F.col("html"), F.col("article_link_selector"), base))
     found = _targets(F.col("_found"), limit)
     fault = F.get(F.filter(F.transform("_found", lambda link: link["fault"]), lambda text: text.isNotNull()), F.lit(0))
     no_list = F.col("html").isNull() | fault.isNotNull()
-    # A missing list page stands as one link without a target.
     listed = lists.withColumns(
         {
             "_links": F.when(no_list, F.array(F.lit(None).cast("string"))).otherwise(found),
-            "_list_error": F.when(no_list, F.coalesce(fault, F.col("error"), F.lit(MISSING_PAGE))),
+            "list_error": F.when(~F.col("_allowed"), F.format_string(DENIED, "list_url")).when(no_list, F.coalesce(fault, F.col("error"), F.lit(MISSING_PAGE))),
         }
-    ).drop("html", "error", "_found")
-    links = _one_per_link(listed)
-    detail = links.join(fetched, F.col("link") == F.col("_page"), "left")
-    selectors = [F.col(f"{name}_selector") for name in ("title", "body", "date")]
-    article = extract_article("html", *selectors, repeat_nested=repeat_nested)
-    failed_list, failed = F.col("_list_error").isNotNull(), F.col("html").isNull() | F.col("_article.error").isNotNull()
-    return detail.withColumn("_article", article).select(
+    ).drop("html", "error", "_found", "_allowed")
+    return _one_per_link(listed).withColumn("seq", F.shiftleft(F.col("source_no").cast("long"), 32) + F.col("pos"))
+
+
+def crawl_frontier(links: DataFrame, rules: DataFrame | None = None, *, delay: float = 1.0) -> DataFrame:
+    """The pages to fetch, each once: ``link``, ``seq`` (of its first mention), ``allowed`` and, for allowed ones, the start slot of its request.
+
+    ``links`` is a stored ``crawl_links``, ``rules`` what ``robots_rules`` gives; without rules everything is allowed. However often a page is linked, robots and
+    slots see it once.
+    """
+    distinct = links.where(F.col("link").isNotNull()).groupBy("link").agg(F.min("seq").alias("seq"))
+    if rules is None:
+        return distinct.withColumns({"origin": url_origin("link"), "allowed": F.lit(True)})
+    marked = materialize(mark_allowed(distinct, rules, url="link"), name="frontier")
+    slots = fetch_slots(marked.where("allowed"), seq="seq", delay=delay)
+    return slots.unionByName(marked.where(~F.col("allowed")), allowMissingColumns=True)
+
+
+def crawl(
+    sources: DataFrame, pages: DataFrame, *, limit: int | None = None, detail_url: str = "url", repeat_nested: bool = True,
+    rules: DataFrame | None = None, links: DataFrame | None = None, frontier: DataFrame | None = None,
+) -> DataFrame:
+    """List page -> links -> article pages for every web source, one row per attempted article.
+
+    ``sources`` is the registry (``source_no, source_name, list_url, base_url, category`` and the selectors);
+    ``pages`` holds what was fetched (``url, html, error``; ``html`` NULL for a failure; the newest by ``fetched_at`` where a URL was fetched more than once). A failing page
+    gives a row with ``ok = false`` and does not touch its neighbours; a failing list page gives a single
+    such row with ``attempted = 0``; a link that the robots ``rules`` of its origin deny is a failed row too, and its page is not read.
+
+    The links of all lists become a frontier of distinct pages. Each is parsed once per set of selectors, and what came of it is joined back to the links.
+    ``links`` and ``frontier`` take stored tables of ``crawl_links`` and ``crawl_frontier``.
+    """
+    if links is None:
+        links = materialize(crawl_links(sources, pages, limit=limit, detail_url=detail_url, rules=rules), name="links")
+    if frontier is None:
+        frontier = crawl_frontier(links, rules)
+    fetched = newest_fetch(pages, "html", detail_url).select(F.col(detail_url).alias("link"), "html", F.col("error").alias("_error"))
+    how = F.struct(*_SELECTORS).alias("_how")
+    wanted = links.where(F.col("link").isNotNull()).select("link", how).distinct().join(frontier.select("link", "allowed"), "link")
+    read = wanted.where("allowed").drop("allowed").join(fetched, "link")
+    article = extract_article("html", *[F.col(f"_how.{name}") for name in _SELECTORS], repeat_nested=repeat_nested)
+    articles = read.select("link", "_how", "_error", F.col("html").isNotNull().alias("_there"), article.alias("_article")).unionByName(
+        wanted.where(~F.col("allowed")).select("link", "_how", F.format_string(DENIED, "link").alias("_error"), F.lit(False).alias("_there")),
+        allowMissingColumns=True,
+    )
+    detail = links.withColumn("_how", how).join(articles, ["link", "_how"], "left")
+    failed_list = F.col("list_error").isNotNull()
+    failed = ~F.coalesce(F.col("_there"), F.lit(False)) | F.col("_article.error").isNotNull()
+    return detail.select(
         "source_name",
         F.when(failed_list, 0).otherwise(1).alias("attempted"),
         (~failed).alias("ok"),
         F.when(~failed_list, F.col("pos")).alias("pos"),
-        (F.shiftleft(F.col("source_no").cast("long"), 32) + F.col("pos")).alias("seq"),
+        "seq",
         F.coalesce("link", "list_url").alias("url"),
-        "_article.title", "_article.body", "_article.published_raw",
+        F.when(~failed, F.col("_article.title")).alias("title"),
+        F.when(~failed, F.col("_article.body")).alias("body"),
+        F.when(~failed, F.col("_article.published_raw")).alias("published_raw"),
         F.when(~failed, F.col("link")).alias("external_id"),
         "category",
         F.col("list_url").alias("source_url"),
-        F.when(failed, F.coalesce("_list_error", "_article.error", "error", F.lit(MISSING_PAGE))).alias("error"),
+        F.when(failed, F.coalesce("list_error", "_article.error", "_error", F.lit(MISSING_PAGE))).alias("error"),
     )

@@ -1,11 +1,13 @@
 """Feeds, pages, registry and robots rules on small documents."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from articleflow.functions import urls
+from articleflow.session import materialize
 from articleflow.sources import feeds, pages, registry, robots
 from articleflow.sources.markup import collect, parse_selector
 
@@ -290,7 +292,7 @@ def test_source_numbers_do_not_repeat(spark):
     "content, want",
     [
         ("<rss><channel><item><title>a&nbsp;b & c</title><link>https://h/1?x=1&y=2</link></item></channel></rss>", [(True, "https://h/1?x=1&y=2", "a&nbsp;b & c")]),
-        ("<rss><channel><item><title>a</title><link>https://h/1</link></item><item><title>cut o", [(True, "https://h/1", "a")]),
+        ("<rss><channel><item><title>a</title><link>https://h/1</link></item><item><title>cut o", [(True, "https://h/1", "a"), (False, "u", None)]),
         ("<feed><entry><title>a</title><link href='https://h/1'/></entry><entry><title>b & </title><link href='https://h/2'/></entry><ent", [(True, "https://h/1", "a"), (True, "https://h/2", "b &")]),
         ("no feed & nothing", [(False, "u", None)]),
     ],
@@ -298,3 +300,90 @@ def test_source_numbers_do_not_repeat(spark):
 def test_feeds_as_found_in_the_wild(spark, content, want):
     docs = spark.createDataFrame([(0, "s", "c", "u", content)], "doc_no int, source_name string, category string, source_url string, content string")
     assert [(r.ok, r.url, r.title and r.title.strip()) for r in feeds.parse_feeds(docs).orderBy("pos").collect()] == want
+
+
+DOC = "doc_no int, source_name string, category string, source_url string, content string"
+
+
+def test_prefixes_are_resolved_by_their_namespaces(spark):
+    atom = """<?xml version="1.0"?><a:feed xmlns:a="http://www.w3.org/2005/Atom" xmlns:d='http://purl.org/dc/elements/1.1/' xmlns:media="http://search.yahoo.com/mrss/">
+      <a:title>news</a:title><a:entry><a:title>one &amp; two</a:title><a:link href="https://h/1"/><d:date>2026-08-01</d:date><media:title>no</media:title>
+      <a:summary><![CDATA[<b>5 < 6</b> <a:x>]]></a:summary></a:entry></a:feed>"""
+    rss1 = """<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:o="http://purl.org/rss/1.0/" xmlns:c="http://purl.org/rss/1.0/modules/content/">
+      <o:channel><o:title>old</o:title></o:channel><o:item><o:title>x</o:title><o:link>https://h/2</o:link><c:encoded>whole</c:encoded></o:item></r:RDF>"""
+    docs = spark.createDataFrame([(0, "s", "c", "u", atom), (1, "t", "c", "u", rss1)], DOC)
+    rows = feeds.parse_feeds(docs).orderBy("seq").collect()
+    assert [(r.ok, r.url, r.title, r.body, r.published_raw, r.feed_title) for r in rows] == [
+        (True, "https://h/1", "one & two", "<b>5 < 6</b> <a:x>", "2026-08-01", "news"), (True, "https://h/2", "x", "whole", None, "old"),
+    ]
+
+
+def test_cut_and_broken_entries_are_rows_in_their_place(spark):
+    item = lambda n: f"<item><title>t{n}</title><link>https://h/{n}</link></item>"
+    cut = f"<rss><channel><title>all &amp; sundry</title>{item(1)}<item><title>odd</b></title></item>{item(2)}<item><title>c</title><link>https://h/3</li"
+    cdata = f"<rss><channel><title>t</title>{item(1)}<item><title>x</title><link>https://h/9</link><description><![CDATA[<item> </item> a & b]]></description></item>{item(2)}<item><![CDATA[never ends <item>"
+    docs = spark.createDataFrame([(0, "s", "c", "u", cut), (1, "t", "c", "u", cdata)], DOC)
+    rows = feeds.parse_feeds(docs).orderBy("seq").collect()
+    bad = feeds.CUT_ENTRY
+    assert [(r.source_name, r.pos, r.attempted, r.ok, r.url, r.feed_title, r.error) for r in rows] == [
+        ("s", 0, 1, True, "https://h/1", "all & sundry", None), ("s", 1, 1, False, "u", None, bad), ("s", 2, 1, True, "https://h/2", "all & sundry", None),
+        ("s", 3, 1, False, "u", None, bad), ("t", 0, 1, True, "https://h/1", "t", None), ("t", 1, 1, True, "https://h/9", "t", None),
+        ("t", 2, 1, True, "https://h/2", "t", None), ("t", 3, 1, False, "u", None, bad),
+    ]
+    assert rows[5].body == "<item> </item> a & b"
+    assert [r.pos for r in feeds.parse_feeds(docs.where("doc_no = 0"), limit=2).collect()] == [0, 1]
+
+
+def test_large_feed_over_many_splits_equals_the_whole(spark, tmp_path):
+    items = "".join(f"<item><title>t {n} &amp; {n}</title><link>{'' if n % 9 == 4 else f'https://h/{n}'}</link><description>{'word ' * (n % 40)}</description></item>\n" for n in range(600))
+    text = f"<rss><channel><title>big &amp; <![CDATA[<old>]]></title><description>{'d' * 70000}</description>\n{items}</channel></rss>"
+    (tmp_path / "big.xml").write_text(text, encoding="utf-8")
+    docs = spark.createDataFrame([(3, "s", "c", "u", text)], DOC)
+    small = {"spark.sql.files.maxPartitionBytes": "9000", "spark.sql.files.openCostInBytes": "0"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        large = feeds.read_large_feed(spark, str(tmp_path / "big.xml"), source_name="s", category="c", source_no=3, source_url="u")
+        got = sorted(map(tuple, large.collect()), key=lambda r: r[4])
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    whole = feeds.parse_feeds(docs)
+    assert large.columns == whole.columns
+    assert got == sorted(map(tuple, whole.collect()), key=lambda r: r[4]) and len(got) == 600
+
+
+def test_documents_fetched_twice_count_once(spark):
+    sources = spark.createDataFrame([(0, "a", "https://h.test/f", "AI", None), (1, "b", "https://h.test/f", "AI", None)], "source_no int, source_name string, url string, category string, params map<string,string>")
+    old = RSS.replace("https://press.test/2", "https://press.test/old")
+    fetched = spark.createDataFrame(
+        [("https://h.test/f", old, None, 1), ("https://h.test/f", RSS, None, 2), ("https://h.test/f", None, "HTTP 500", 3), ("https://h.test/f", RSS, None, 2)],
+        "url string, content string, error string, fetched_at int",
+    ).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    rows = feeds.collect_feeds(sources, fetched, limit=9).collect()
+    assert sorted(r.seq for r in rows) == [0, 1, 2, 3, 1 << 32, (1 << 32) + 1, (1 << 32) + 2, (1 << 32) + 3]
+    assert "https://press.test/old" not in {r.url for r in rows}
+
+
+def test_a_page_linked_from_many_lists_is_parsed_once(spark, plan_of, tmp_path):
+    names = "source_no int, source_name string, list_url string, base_url string, category string, article_link_selector string, title_selector string, body_selector string, date_selector string"
+    sources = spark.createDataFrame([(n, f"s{n}", f"https://h.test/l{n}", None, "IT", "a", "h1", "p", None) for n in range(200)], names)
+    lists = [(f"https://h.test/l{n}", '<a href="/hot">x</a><a href="/secret/1">y</a>', None, 1) for n in range(200)]
+    details = [("https://h.test/hot", "<h1>old</h1>", None, 1), ("https://h.test/hot", "<h1>hot</h1>", None, 2), ("https://h.test/secret/1", "<h1>no</h1>", None, 1)]
+    fetched = spark.createDataFrame(lists + details, "url string, html string, error string, fetched_at int")
+    rules = robots.robots_rules(spark.createDataFrame([("https://h.test", 200, "User-agent: *\nDisallow: /secret\nDisallow: /l7\nCrawl-delay: 3")], "origin string, status int, body string"), "agent")
+    links = materialize(pages.crawl_links(sources, fetched, rules=rules))
+    frontier = materialize(pages.crawl_frontier(links, rules))
+    assert [(r.link, r.allowed, r.slot_seconds) for r in frontier.orderBy("link").collect()] == [("https://h.test/hot", True, 0.0), ("https://h.test/secret/1", False, None)]
+    found = pages.crawl(sources, fetched, rules=rules, links=links, frontier=frontier)
+    rows = found.collect()
+    denied_lists = {r.source_name for r in rows if r.attempted == 0}
+    assert denied_lists == {"s7"} | {f"s7{n}" for n in range(10)}
+    assert len(rows) == 189 * 2 + 11 and len({r.seq for r in rows}) == len(rows)
+    assert {(r.ok, r.title, r.error) for r in rows if r.url.endswith("/hot")} == {(True, "hot", None)}
+    assert {(r.ok, r.title, r.error) for r in rows if "secret" in r.url} == {(False, None, pages.DENIED % "https://h.test/secret/1")}
+    # Markup is parsed in one place, where a page is one row, below the join with the links; that one reads no markup.
+    parsed = re.findall(r"ArrowEvalPython.*", plan_of(found))
+    assert len({re.sub(r"#\d+", "", line) for line in parsed}) == 1 and "_article_fields" in parsed[0]
+    once = F.col("link").isNotNull()
+    assert links.where(once).select("link", "title_selector", "body_selector", "date_selector").distinct().count() == 2
