@@ -35,6 +35,8 @@ NO_TITLE = "필수 필드 'title'이 비어 있습니다 (raw_id=%d)"
 EMPTY_REPLY = '빈 요약'
 ITEM_NO_TITLE = '제목을 찾지 못했습니다'
 MISSING_FEED = 'HTTP 요청 실패'
+DENIED = 'robots.txt가 수집을 허용하지 않습니다: '
+CUT_ENTRY = 'RSS 항목 처리 실패: 항목이 온전하지 않습니다'
 NO_LINK = 'RSS 항목 처리 실패: 항목에 link가 없습니다'
 
 ISO = "'%Y-%m-%dT%H:%M:%S+00:00'"
@@ -118,7 +120,10 @@ EVENTS = f"""rows AS (
   SELECT event_id AS seq, 's' || (user_id % 8) AS source_name, event_type AS kind,
          'https://s' || (user_id % 8) || '.example.com/item/' || (props::JSON ->> '$.k') || '/' || event_type AS canonical_url,
          CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'partial' ELSE 'ok' END AS status,
-         event_id + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END * (1::BIGINT << 61) AS place
+         event_id + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END * (1::BIGINT << 61) AS place,
+         CASE WHEN event_type = 'error' THEN json_object('url', canonical_url, 'error', 'HTTP 503') ELSE
+           json_object('source', source_name, 'url', canonical_url, 'title', CASE WHEN event_type = 'signup' THEN '' ELSE event_type END, 'body', props::VARCHAR,
+             'published_at', strftime(ts, '%Y-%m-%d'), 'category', 'events', 'external_id', event_id::VARCHAR) END::VARCHAR AS raw_payload
   FROM events), incoming AS (
   SELECT *, row_number() OVER (PARTITION BY source_name, canonical_url ORDER BY place) AS nth FROM rows
   WHERE kind <> 'purchase'), fresh AS (
@@ -134,11 +139,14 @@ FETCH_STATS = f"""{EVENTS}, seen AS (
 # The merge of all documents into the labelled ones.
 SHARED = "'https://example.com/' || lang || '/' || md5(text)"
 MERGE = f"""{LABELS}, batch AS (
-  SELECT doc_id AS raw_id, split_part(text, chr(10), 1) AS title, {SHARED} AS url, source, lang AS category,
-         length(text) AS original_length FROM documents), old AS (
-  SELECT doc_id AS id, doc_id AS raw_id, 'stored' AS title,
+  SELECT doc_id AS raw_id, split_part(text, chr(10), 1) AS title, text AS body, {SHARED} AS url, source, lang AS category,
+         TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INT) AS published_at, TIMESTAMP '2024-01-15' + to_days((doc_id % 20)::INT) AS collected_at,
+         md5(text) AS content_hash, 'ok' AS clean_status, length(text) AS original_length FROM documents), old AS (
+  SELECT doc_id AS id, doc_id AS raw_id, 'stored' AS title, 'old ' || text AS body,
          CASE WHEN toxic = 1 THEN 'https://example.com/old/' || doc_id ELSE {SHARED} END AS url, 'archive' AS source,
-         lang AS category, 50::BIGINT AS original_length, CASE WHEN quality = 1 THEN 'kept summary' END AS summary
+         lang AS category, NULL::TIMESTAMP AS published_at, TIMESTAMP '2023-12-01' + to_days((doc_id % 20)::INT) AS collected_at,
+         NULL::VARCHAR AS content_hash, 'ok' AS clean_status, length(text) + 4 AS original_length, CASE WHEN quality = 1 THEN 'kept summary' END AS summary,
+         CASE WHEN quality = 1 THEN 'sample-model' END AS summary_model, CASE WHEN quality = 1 THEN 12 END AS summary_length
   FROM documents JOIN lab USING (doc_id)), target AS (
   SELECT * FROM old QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1)"""
 SKIPPED = f"""{MERGE}, unseen AS (
@@ -156,7 +164,18 @@ UPSERT = f"""{MERGE}, hits AS (
   SELECT url, n, first_raw, last_raw,
          CASE WHEN low <> high OR (low IS NOT NULL AND nth = 1 AND m2 IS NULL AND first_match > first_raw) THEN 'conflict'
               WHEN low IS NOT NULL AND nth = 1 THEN 'update' ELSE 'insert' END AS action, low FROM ranked)"""
-MERGED = "raw_id, url, title, source, category, original_length, summary"
+CONTENT = ("raw_id", "title", "body", "url", "source", "category", "published_at", "collected_at", "content_hash", "clean_status", "original_length")
+
+
+def merged(alias: str, summaries: str, pick: str = "{0}.{1}") -> str:
+    """The fifteen columns beside the id, moments as text."""
+    picked = [(c, pick.format(alias, c)) for c in CONTENT]
+    shown = [f"strftime({v}, {ISO}) AS {c}" if c.endswith("_at") else f"{v} AS {c}" for c, v in picked]
+    return ", ".join(shown) + f", {summaries}"
+
+
+KEPT_SUMMARY = "t.summary, t.summary_model, NULL::VARCHAR AS summarized_at, t.summary_length"
+NO_SUMMARY = "NULL, NULL, NULL, NULL"
 
 # Analysis requests.
 BLOCKS = """numbered AS (
@@ -211,7 +230,7 @@ TURNS = """turns AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
          'https://talk.example.com/' || conv_id || '/' || turn || '?utm_source=feed' AS link,
          trim(text, E' \\n\\t') AS body FROM conversations)"""
-WORDS = "list_filter({}, lambda w: w <> '')"
+TRIMMED = f"list_filter(list_transform({{}}, lambda w: trim(w, '{BLANKS}')), lambda w: w <> '')"
 
 SQL: dict[str, str] = {
     "report_metrics": f"""WITH {CLEAN}, m AS (SELECT {QUALITY}, (SELECT count(*) FROM documents) AS raw_count FROM art WHERE {IN_RANGE})
@@ -260,7 +279,7 @@ SQL: dict[str, str] = {
     "raw_inserts": f"""WITH {EVENTS} SELECT (SELECT max(seq) + 1 FROM rows WHERE kind = 'purchase') + row_number() OVER (ORDER BY place) AS id,
         source_name, canonical_url, status,
         CASE status WHEN 'error' THEN 'HTTP 503' WHEN 'partial' THEN '{ITEM_NO_TITLE}' END AS error_message,
-        CASE WHEN status <> 'error' THEN seq::VARCHAR END AS external_id FROM fresh""",
+        CASE WHEN status <> 'error' THEN seq::VARCHAR END AS external_id, raw_payload FROM fresh""",
     "fetch_run_stats": f"WITH {FETCH_STATS} SELECT * FROM stats",
     "recent_runs": f"""WITH {FETCH_STATS} SELECT row_number() OVER (ORDER BY source_name) AS id, source_name, attempted_count,
         success_count, failure_count, duplicate_count FROM stats ORDER BY id DESC LIMIT 3""",
@@ -277,11 +296,6 @@ SQL: dict[str, str] = {
         SELECT 'talk-' || conv_id AS source_name, 1 AS attempted, turn <> 2 AS ok, CASE WHEN turn <> 2 THEN link ELSE feed END AS url,
                CASE WHEN turn = 2 THEN '{NO_LINK}' END AS error FROM turns JOIN docs USING (conv_id) WHERE NOT gone
         UNION ALL SELECT 'talk-' || conv_id, 0, false, feed || '?display=30&q=talk', '{MISSING_FEED}' FROM docs WHERE gone""",
-    "crawl_pages": f"""WITH firsts AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
-        listed AS (SELECT page_id // 50 AS chunk, url, min(page_id) AS place FROM pages GROUP BY 1, 2)
-        SELECT 'index-' || chunk AS source_name, (row_number() OVER (PARTITION BY chunk ORDER BY place) - 1)::INT AS pos,
-          url LIKE 'https%' AS ok, url, CASE WHEN url LIKE 'https%' THEN {H1} END AS title,
-          CASE WHEN url NOT LIKE 'https%' THEN 'HTTP 503' END AS error FROM listed JOIN firsts USING (url)""",
     "registry_match": f"""SELECT page_id, {HOST} AS source_name, CASE WHEN {HOST} NOT LIKE 'blog.%' THEN 'news' END AS category,
         CASE WHEN {HOST} LIKE 'blog.%' THEN 'unknown source' WHEN {HOST} LIKE 'www.%' THEN 'source is of type rss' END AS problem FROM pages""",
     "source_registry": """WITH c AS (SELECT *, 'c' || c_custkey AS name, CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'rss'
@@ -311,23 +325,21 @@ SQL: dict[str, str] = {
     "normalized_dates": f"""SELECT o_orderkey, strftime(CASE o_orderpriority WHEN '2-HIGH' THEN o_orderdate - INTERVAL 9 HOUR
           WHEN '3-MEDIUM' THEN date_trunc('minute', o_orderdate) WHEN '4-NOT SPECIFIED' THEN o_orderdate + INTERVAL 150 MINUTE
           ELSE date_trunc('day', o_orderdate) END, {ISO}) AS moment FROM orders""",
-    "merge_skip": f"""WITH {SKIPPED} SELECT id, {MERGED} FROM target UNION ALL
-        SELECT (SELECT max(id) FROM target) + row_number() OVER (ORDER BY raw_id), raw_id, url, title, source, category, original_length, NULL FROM fresh""",
+    "merge_skip": f"""WITH {SKIPPED} SELECT t.id, {merged('t', KEPT_SUMMARY)} FROM target t UNION ALL
+        SELECT (SELECT max(id) FROM target) + row_number() OVER (ORDER BY raw_id), {merged('f', NO_SUMMARY)} FROM fresh f""",
     "merge_decisions": f"""WITH {UPSERT} SELECT url, n, first_raw, last_raw, action, CASE WHEN action = 'update' THEN low END AS target_id FROM decided""",
     "merge_upsert": f"""WITH {UPSERT}, changed AS (
           SELECT d.low AS id, b.* FROM decided d JOIN batch b ON b.raw_id = d.last_raw WHERE d.action = 'update')
-        SELECT t.id, coalesce(c.raw_id, t.raw_id) AS raw_id, coalesce(c.url, t.url) AS url, coalesce(c.title, t.title) AS title,
-          coalesce(c.source, t.source) AS source, coalesce(c.category, t.category) AS category,
-          coalesce(c.original_length, t.original_length) AS original_length, t.summary FROM target t LEFT JOIN changed c ON c.id = t.id
-        UNION ALL SELECT (SELECT max(id) FROM target) + row_number() OVER (ORDER BY first_raw), b.raw_id, b.url, b.title, b.source,
-          b.category, b.original_length, NULL FROM decided d JOIN batch b ON b.raw_id = d.last_raw WHERE d.action = 'insert'""",
+        SELECT t.id, {merged('c', KEPT_SUMMARY, 'CASE WHEN c.id IS NULL THEN t.{1} ELSE {0}.{1} END')} FROM target t LEFT JOIN changed c ON c.id = t.id
+        UNION ALL SELECT (SELECT max(id) FROM target) + row_number() OVER (ORDER BY first_raw), {merged('b', NO_SUMMARY)}
+        FROM decided d JOIN batch b ON b.raw_id = d.last_raw WHERE d.action = 'insert'""",
     "merge_stats": f"""SELECT *, 0::BIGINT AS updated, total - inserted AS skipped, 0::BIGINT AS conflicts, 'skip' AS policy FROM (
         WITH {SKIPPED} SELECT (SELECT count(*) FROM fresh) AS inserted, (SELECT count(*) FROM batch) AS total)""",
     "orphans": """SELECT doc_id AS id, 'https://' || source || '.example.com/' || lang || '/' || doc_id AS url FROM documents d
         WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
     "raw_status_update": f"""WITH {LABELS} SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'invalid' WHEN doc_id % 23 = 0 THEN 'partial' ELSE 'ok' END AS status,
         CASE WHEN toxic = 1 THEN 'toxic' END AS error_message FROM documents LEFT JOIN lab USING (doc_id)""",
-    "summary_update": f"""WITH {CLEAN}, new AS (SELECT doc_id AS id, substr(text, 1, 60) AS s, n_chars FROM documents JOIN lab USING (doc_id) WHERE quality = 0)
+    "summary_update": f"""WITH {CLEAN}, new AS (SELECT doc_id AS id, text AS s, n_chars FROM documents JOIN lab USING (doc_id) WHERE quality = 0)
         SELECT id, coalesce(s, summary) AS summary, CASE WHEN s IS NOT NULL THEN 'm2' ELSE summary_model END AS summary_model,
           CASE WHEN s IS NOT NULL THEN length(s) ELSE summary_length END AS summary_length,
           CASE WHEN s IS NOT NULL THEN n_chars ELSE original_length END AS original_length,
@@ -353,9 +365,9 @@ SQL: dict[str, str] = {
         CASE WHEN error IS NULL THEN answer END AS reply, error, original_length FROM answered""",
     "summarize_stats": f"""WITH {CLEAN}, {OUTCOMES} SELECT count(*) AS attempted, count(*) FILTER (error IS NULL) AS succeeded,
         count(error) AS failed, 0::BIGINT AS skipped FROM answered""",
-    "parsed_analysis": f"""WITH w AS (SELECT conv_id, turn, string_split(split_part(text, chr(10), 1), ' ') AS words FROM conversations), l AS (
-          SELECT conv_id, turn, {WORDS.format('words[1:2]')} AS t, {WORDS.format('words[1:3]')} AS k,
-                 CASE WHEN turn = 5 THEN [] ELSE {WORDS.format('words[2:2]')} END AS i FROM w), checked AS (
+    "parsed_analysis": f"""WITH l AS (
+          SELECT conv_id, turn, {TRIMMED.format('string_split(text, chr(10))')} AS t, {TRIMMED.format("string_split(text, ' ')")} AS k,
+                 CASE WHEN turn = 5 THEN [] ELSE {TRIMMED.format('[text]')} END AS i FROM conversations), checked AS (
           SELECT *, CASE WHEN turn = 3 THEN '{NO_OBJECT}' WHEN turn = 4 THEN '{NOT_AN_OBJECT}'
             WHEN len(t) = 0 THEN '{EMPTY_LIST.format("trends").replace("'", "''")}' WHEN len(k) = 0 THEN '{EMPTY_LIST.format("keywords").replace("'", "''")}'
             WHEN len(i) = 0 THEN '{EMPTY_LIST.format("implications").replace("'", "''")}' END AS error FROM l)
@@ -409,6 +421,7 @@ SQL["merge_stats"] = f"""WITH {SKIPPED}, s AS (SELECT (SELECT count(*) FROM fres
 
 _RAW_TITLE = f"CASE WHEN doc_id % 13 = 0 THEN '' ELSE {squeezed('split_part(text, chr(10), 1)')} END"
 _RAW_BODY = squeezed("CASE WHEN lang IN ('de', 'es') THEN ' ' || text || chr(10) ELSE text END")
+_FOLDED = "trim(regexp_replace(replace(lower(title || chr(10) || coalesce(body, '')), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 _BUILT = f"""r AS (
     SELECT doc_id AS raw_id, CASE WHEN doc_id % 17 = 0 OR doc_id % 19 = 0 THEN replace('{BAD_JSON}', '%d', doc_id::VARCHAR)
         WHEN {_RAW_TITLE} = '' THEN replace('{NO_TITLE.replace("'", "''")}', '%d', doc_id::VARCHAR) END AS reject_reason,
@@ -422,6 +435,7 @@ SQL["clean_rows"] = f"""WITH {_BUILT}
     CASE WHEN reject_reason IS NULL THEN category END AS category,
     CASE WHEN reject_reason IS NULL THEN CASE WHEN body IS NULL THEN 'no_body' ELSE 'ok' END END AS clean_status,
     CASE WHEN reject_reason IS NULL THEN coalesce(length(body), 0) END AS original_length,
+    CASE WHEN reject_reason IS NULL THEN sha256({_FOLDED}) END AS content_hash,
     CASE WHEN reject_reason IS NULL THEN strftime(TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INT), {ISO}) END AS published_at FROM r"""
 SQL["clean_outcomes"] = f"""WITH {_BUILT} SELECT CASE WHEN reject_reason IS NOT NULL THEN 'invalid' WHEN body IS NULL THEN 'no_body'
     ELSE 'ok' END AS outcome, count(*) AS n FROM r GROUP BY 1"""
@@ -431,6 +445,80 @@ SQL["stream_distinct_urls"] = f"WITH {EVENTS} SELECT DISTINCT source_name, canon
 SQL["stream_raw_inserts"] = f"""WITH {EVENTS}, firsts AS (
     SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY source_name, canonical_url ORDER BY place) = 1)
   SELECT row_number() OVER (ORDER BY place) AS id, source_name, canonical_url, status,
-    CASE WHEN status <> 'error' THEN seq::VARCHAR END AS external_id FROM firsts"""
-SQL["stream_clean"] = f"""WITH {_BUILT} SELECT row_number() OVER (ORDER BY raw_id) AS id, raw_id, url, title, category,
+    CASE WHEN status <> 'error' THEN seq::VARCHAR END AS external_id, raw_payload FROM firsts"""
+SQL["stream_clean"] = f"""WITH {_BUILT} SELECT row_number() OVER (ORDER BY raw_id) AS id, raw_id, url, title, body, category,
+    CASE WHEN body IS NULL THEN 'no_body' ELSE 'ok' END AS clean_status FROM r WHERE reject_reason IS NULL"""
+
+SQL["merge_upsert_blocks"], SQL["merge_skip_blocks"] = SQL["merge_upsert"], SQL["merge_skip"]
+SQL["summary_update_blocks"], SQL["raw_status_blocks"] = SQL["summary_update"], SQL["raw_status_update"]
+SQL["stream_upsert"] = f"""WITH {_BUILT} SELECT raw_id + 10000000 AS raw_id, url, title, body, category,
     CASE WHEN body IS NULL THEN 'no_body' ELSE 'ok' END AS clean_status FROM r WHERE reject_reason IS NULL"""
+SQL["clean_rerun"] = f"""WITH {_BUILT}, c AS (SELECT count(*) AS processed, count(*) FILTER (reject_reason IS NULL) AS known FROM r)
+  SELECT processed, 0::BIGINT AS inserted, CASE policy WHEN 'upsert' THEN known ELSE 0 END AS updated, CASE policy WHEN 'skip' THEN known ELSE 0 END AS skipped,
+    processed - known AS invalid, 0::BIGINT AS conflicts, policy FROM c, (VALUES ('skip'), ('upsert')) p(policy)"""
+SQL["clean_limited"] = f"""WITH {_BUILT} SELECT raw_id, reject_reason, CASE WHEN reject_reason IS NULL THEN title END AS title FROM r ORDER BY raw_id LIMIT 100"""
+
+_CRAWL = f"""{ARTICLES}, {ROBOTS}, firsts AS (
+    SELECT a.page_id, a.url, title, body, allowed, origin, crawl_delay FROM articles a JOIN allowed USING (page_id)
+    QUALIFY row_number() OVER (PARTITION BY a.url ORDER BY page_id) = 1), listed AS (
+    SELECT page_id // 50 AS chunk, url, row_number() OVER (PARTITION BY page_id // 50 ORDER BY min(page_id)) - 1 AS pos FROM pages GROUP BY 1, 2)"""
+
+
+def crawled(fault: str) -> str:
+    return f"""WITH {_CRAWL}, found AS (SELECT *, {fault} AS error FROM listed JOIN firsts USING (url))
+  SELECT 'index-' || chunk AS source_name, pos::INT AS pos, error IS NULL AS ok, url, CASE WHEN error IS NULL THEN title END AS title,
+    CASE WHEN error IS NULL THEN body END AS body, NULL::VARCHAR AS published_raw, CASE WHEN error IS NULL THEN url END AS external_id,
+    'https://index.example.com/' || chunk AS source_url, error FROM found"""
+
+
+SQL["crawl_pages"] = crawled("CASE WHEN url NOT LIKE 'https%' THEN 'HTTP 503' END")
+SQL["crawl_allowed"] = crawled(f"CASE WHEN NOT allowed THEN '{DENIED}' || url WHEN url NOT LIKE 'https%' THEN 'HTTP 503' END")
+SQL["crawl_slots"] = f"""WITH {_CRAWL}, frontier AS (SELECT url, min(chunk * 4294967296 + pos) AS seq FROM listed GROUP BY url)
+  SELECT url AS link, origin, allowed, CASE WHEN allowed THEN (row_number() OVER (PARTITION BY origin, allowed ORDER BY seq) - 1)
+    * greatest(1.0, coalesce(crawl_delay, 0.0)) END AS slot_seconds FROM frontier JOIN firsts USING (url)"""
+
+_TALK_ROW = f"""CASE WHEN {{bad}} OR turn = 2 THEN 'https://talk.example.com/feed/' || conv_id ELSE link END AS url,
+    CASE WHEN NOT ({{bad}}) AND turn <> 2 THEN role END AS title, CASE WHEN NOT ({{bad}}) AND turn <> 2 THEN nullif(body, '') END AS body"""
+_BAD = "(conv_id % 3 = 1 AND pos = last) OR (conv_id % 3 = 2 AND turn = 1)"
+SQL["feed_items_mended"] = f"""WITH {TURNS}, t AS (SELECT *, max(pos) OVER (PARTITION BY conv_id) AS last FROM turns)
+  SELECT 'talk-' || conv_id AS source_name, pos::INT AS pos, 1 AS attempted, NOT ({_BAD}) AND turn <> 2 AS ok, {_TALK_ROW.format(bad=_BAD)},
+    CASE WHEN NOT ({_BAD}) AND turn <> 2 THEN CASE WHEN conv_id % 3 = 0 THEN '2024-01-0' || turn ELSE 'Mon, 01 Jan 2024 0' || turn || ':00:00 +0900' END END AS published_raw,
+    CASE WHEN NOT ({_BAD}) AND turn <> 2 THEN 'talk ' || conv_id END AS feed_title,
+    CASE WHEN {_BAD} THEN '{CUT_ENTRY}' WHEN turn = 2 THEN '{NO_LINK}' END AS error FROM t"""
+SQL["feed_large"] = f"""WITH {TURNS}, t AS (SELECT * EXCLUDE (pos), row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM turns)
+  SELECT pos::INT AS pos, 5 * 4294967296 + pos AS seq, turn <> 2 AS ok, CASE WHEN turn = 2 THEN 'https://talk.example.com/feed' ELSE link END AS url,
+    CASE WHEN turn <> 2 THEN role END AS title, CASE WHEN turn <> 2 THEN nullif(body, '') END AS body,
+    CASE WHEN turn <> 2 THEN 'Mon, 01 Jan 2024 0' || turn || ':00:00 +0900' END AS published_raw, CASE WHEN turn <> 2 THEN 'all talks' END AS feed_title,
+    CASE WHEN turn = 2 THEN '{NO_LINK}' END AS error FROM t"""
+SQL["raw_inserts_refetched"] = f"""WITH {TURNS}, r AS (
+    SELECT 'talk-' || conv_id AS source_name, conv_id * 4294967296 + pos + CASE WHEN turn = 2 THEN 1 ELSE 0 END * (1::BIGINT << 61) AS place,
+      CASE WHEN turn = 2 THEN 'https://talk.example.com/feed/' || conv_id ELSE 'https://talk.example.com/' || conv_id || '/' || turn END AS canonical_url,
+      turn = 2 AS failed, CASE WHEN turn = 2 THEN json_object('url', 'https://talk.example.com/feed/' || conv_id, 'error', '{NO_LINK}') ELSE
+        json_object('source', 'talk-' || conv_id, 'url', link, 'title', role, 'body', nullif(body, ''),
+          'published_at', 'Mon, 01 Jan 2024 0' || turn || ':00:00 +0900', 'category', 'talk', 'external_id', link, 'feed_title', 'talk ' || conv_id) END::VARCHAR AS raw_payload FROM turns)
+  SELECT row_number() OVER (ORDER BY place) AS id, source_name, canonical_url, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status,
+    CASE WHEN failed THEN '{NO_LINK}' END AS error_message, raw_payload FROM r"""
+
+SQL["summaries_journal"] = f"""WITH {CLEAN}, {OUTCOMES} SELECT id, CASE WHEN error IS NULL THEN 'succeeded' ELSE 'failed' END AS outcome,
+    CASE WHEN error IS NULL THEN answer END AS reply, error, original_length, (SELECT count(*) FROM answered WHERE error IS NULL) AS calls FROM answered"""
+SQL["summarize_by_id"] = f"""WITH {CLEAN}, one AS (SELECT min(id) AS id FROM art WHERE summary IS NOT NULL), o AS (
+    SELECT id, {present('body')} AND (title = '' OR {present('title')}) AS good FROM art JOIN one USING (id))
+  SELECT false AS forced, id, 'skipped' AS outcome, 0::BIGINT AS attempted, 0::BIGINT AS succeeded, 1::BIGINT AS skipped FROM o
+  UNION ALL SELECT true, id, CASE WHEN good THEN 'succeeded' ELSE 'failed' END, 1, good::BIGINT, 0 FROM o"""
+_ASKED = f"""{CLEAN}, {blocks('PARTITION BY category')}, asked AS (
+    SELECT category, count(*) AS article_count, min(id) FILTER (number = 1) AS first,
+      {filled_in(ANALYSIS_USER, "'전체'", "'전체'", "category", "count(*)", "string_agg(block, chr(10) || chr(10) ORDER BY number)")} AS prompt
+    FROM summed WHERE running_length <= 20000 OR number = 1 GROUP BY category)"""
+SQL["analyze"] = f"""WITH {_ASKED} SELECT (SELECT max(id) FROM art WHERE published_at IS NOT NULL) + row_number() OVER (ORDER BY a.category) AS id,
+    NULL::VARCHAR AS date_from, a.category, article_count, 'analyst' AS model, trim(coalesce(nullif(title, ''), '(제목 없음)'), '{BLANKS}') AS trends, a.category AS keywords,
+    '' AS commonalities_differences, length(prompt)::VARCHAR AS implications
+  FROM asked a JOIN art ON art.id = first WHERE a.category NOT IN ('es', 'fr')"""
+SQL["analyze_failures"] = f"""WITH {_ASKED} SELECT category, article_count,
+    CASE category WHEN 'es' THEN 'no answer' ELSE '{EMPTY_LIST.format("trends").replace("'", "''")}' END AS error FROM asked WHERE category IN ('es', 'fr')"""
+SQL["report_build"] = f"""WITH {RUNS}, m AS (SELECT {QUALITY}, (SELECT count(*) FROM documents) AS raw_count FROM art WHERE {IN_RANGE}), r AS (SELECT *, {RATES} FROM m)
+  SELECT 'count' AS part, NULL::BIGINT AS place, name, n, NULL::VARCHAR AS share FROM (UNPIVOT m ON clean_count, body_count, summarized_count, raw_count INTO NAME name VALUE n)
+  UNION ALL SELECT 'rate', NULL, name, NULL, printf('%.1f%%', rate * 100) FROM (UNPIVOT (SELECT clean_rate, body_rate, summary_rate FROM r) ON clean_rate, body_rate, summary_rate INTO NAME name VALUE rate)
+  UNION ALL SELECT * FROM (SELECT 'source', row_number() OVER (ORDER BY count(*) DESC, source) AS place, source, count(*), NULL FROM art WHERE {IN_RANGE} GROUP BY source ORDER BY place LIMIT 3)
+  UNION ALL SELECT * FROM (SELECT 'category', row_number() OVER (ORDER BY count(*) DESC, category) AS place, category, count(*), NULL FROM art WHERE {IN_RANGE} GROUP BY category ORDER BY place LIMIT 3)
+  UNION ALL SELECT 'day', NULL, strftime(collected_at, '%Y-%m-%d'), count(*), NULL FROM art WHERE {IN_RANGE} GROUP BY collected_at
+  UNION ALL SELECT * FROM (SELECT 'analysis', NULL, category, id, NULL FROM runs ORDER BY id DESC LIMIT 1)"""

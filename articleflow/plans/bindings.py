@@ -91,7 +91,7 @@ def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc.alias("id"),
         doc.alias("raw_id"),
         F.lit("stored").alias("title"),
-        F.substring("text", 1, 50).alias("body"),
+        F.concat(F.lit("old "), "text").alias("body"),
         F.when(F.col("toxic") == 1, old_url).otherwise(shared_url()).alias("url"),
         F.lit("archive").alias("source"),
         F.col("lang").alias("category"),
@@ -102,7 +102,7 @@ def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("quality") == 1, "kept summary").alias("summary"),
         F.when(F.col("quality") == 1, "sample-model").alias("summary_model"),
         F.lit(None).cast("timestamp").alias("summarized_at"),
-        F.lit(50).cast("long").alias("original_length"),
+        (F.length("text") + 4).cast("long").alias("original_length"),
         F.when(F.col("quality") == 1, F.lit(12)).cast("long").alias("summary_length"),
     )
     return materialize(first_per_key(rows, ("url",), "id"), name="merge-target")
@@ -188,30 +188,68 @@ def as_fetched(events: DataFrame) -> DataFrame:
     )
 
 
-def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as a feed document whose items are its turns.
+TALK = "https://talk.example.com/"
 
-    A conversation has a handful of turns, so an assembled document stays small.
-    """
+
+def _escaped_text() -> Column:
     escaped = F.col("text")
     for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         escaped = F.replace(escaped, F.lit(mark), F.lit(name))
-    link = F.concat(F.lit("https://talk.example.com/"), "conv_id", F.lit("/"), "turn", F.lit("?utm_source=feed"))
-    item = F.concat(
-        F.lit("<item><title>"), "role", F.lit("</title><link>"), F.when(F.col("turn") != 2, link).otherwise(""),
-        F.lit("</link><pubDate>Mon, 01 Jan 2024 0"), "turn", F.lit(":00:00 +0900</pubDate><description>"), escaped,
+    return escaped
+
+
+def _item(title: Column | str = "role") -> Column:
+    link = F.concat(F.lit(TALK), "conv_id", F.lit("/"), "turn", F.lit("?utm_source=feed"))
+    return F.concat(
+        F.lit("<item><title>"), title, F.lit("</title><link>"), F.when(F.col("turn") != 2, link).otherwise(""),
+        F.lit("</link><pubDate>Mon, 01 Jan 2024 0"), "turn", F.lit(":00:00 +0900</pubDate><description>"), _escaped_text(),
         F.lit("</description></item>"),
     )
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", item.alias("item"))
+
+
+def _documents_of(turns: DataFrame, content) -> DataFrame:
+    """One document per conversation out of its items, in order of turns. A conversation has a handful of turns, so a document stays small."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("turn", "item"))), lambda entry: entry["item"])
-    return turns.groupBy("conv_id").agg(items.alias("_items")).select(
+    return turns.groupBy("conv_id").agg(F.array_join(items, "").alias("_items")).select(
         F.col("conv_id").alias("doc_no"), F.concat(F.lit("talk-"), "conv_id").alias("source_name"), F.lit("talk").alias("category"),
-        F.concat(F.lit("https://talk.example.com/feed/"), "conv_id").alias("source_url"),
-        F.concat(
-            F.lit("<rss version='2.0'><channel><title>talk "), "conv_id", F.lit("</title>"),
-            F.array_join("_items", ""), F.lit("</channel></rss>"),
-        ).alias("content"),
+        F.concat(F.lit(TALK + "feed/"), "conv_id").alias("source_url"), content.alias("content"),
+    )
+
+
+def _rss() -> Column:
+    return F.concat(F.lit("<rss version='2.0'><channel><title>talk "), "conv_id", F.lit("</title>"), "_items", F.lit("</channel></rss>"))
+
+
+def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a feed document whose items are its turns."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", _item().alias("item"))
+    return _documents_of(turns, _rss())
+
+
+def odd_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as feeds that are written as they should not be: Atom under prefixes of its own, cut off in the last item, broken in the second."""
+    kind = F.col("conv_id") % 3
+    link = F.concat(F.lit("<a:link href='" + TALK), "conv_id", F.lit("/"), "turn", F.lit("?utm_source=feed'/>"))
+    entry = F.concat(
+        F.lit("<a:entry><a:title>"), "role", F.lit("</a:title>"), F.when(F.col("turn") != 2, link).otherwise(""), F.lit("<d:date>2024-01-0"), "turn",
+        F.lit("</d:date><a:summary>"), _escaped_text(), F.lit("</a:summary></a:entry>"),
+    )
+    broken = F.when((kind == 2) & (F.col("turn") == 1), _item(F.concat("role", F.lit("</b>")))).otherwise(_item())
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(kind == 0, entry).otherwise(broken).alias("item"))
+    names = "xmlns:a='http://www.w3.org/2005/Atom' xmlns:d=\"http://purl.org/dc/elements/1.1/\""
+    atom = F.concat(F.lit(f"<a:feed {names}><a:title>talk "), "conv_id", F.lit("</a:title>"), "_items", F.lit("</a:feed>"))
+    cut = F.left(_rss(), F.length(_rss()) - len("ription></item></channel></rss>"))
+    return _documents_of(turns, F.when(kind == 0, atom).when(kind == 1, cut).otherwise(_rss()))
+
+
+def large_feed(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """All turns as the items of one feed below ``path``, whose parts in the order of their names are the document."""
+    turns = table(spark, sf_dir, "conversations").select(F.lit(1).alias("place"), "conv_id", "turn", _item().alias("value"))
+    edges = spark.createDataFrame(
+        [(0, None, None, "<rss version='2.0'><channel><title>all talks</title>"), (2, None, None, "</channel></rss>")], "place int, conv_id long, turn long, value string"
     )
+    turns.unionByName(edges).orderBy("place", "conv_id", "turn").select("value").write.text(path)
+    return path
 
 
 INDEX_SIZE = 50
@@ -253,11 +291,10 @@ def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn wrapped as a model reply: plain, fenced, inside prose, or broken, by turn."""
-    words = F.split(F.substring_index("text", "\n", 1), " ")
     lists = {
-        "trends": F.slice(words, 1, 2),
-        "keywords": F.slice(words, 1, 3),
-        "implications": F.when(F.col("turn") == 5, F.array().cast("array<string>")).otherwise(F.slice(words, 2, 1)),
+        "trends": F.split("text", "\n"),
+        "keywords": F.split("text", " "),
+        "implications": F.when(F.col("turn") == 5, F.array().cast("array<string>")).otherwise(F.array("text")),
     }
     reply = F.to_json(F.struct(*[value.alias(name) for name, value in lists.items()]))
     turn = F.col("turn")

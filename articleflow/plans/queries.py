@@ -1,7 +1,9 @@
 """The registered queries: every operator on the sample tables, each over whole tables and whole texts."""
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,13 @@ from articleflow.functions.prompts import summary_prompt
 from articleflow.functions.replies import decode_list, encode_list, parse_analysis
 from articleflow.functions.text import content_hash, http_error, normalize_text, redact, strip_html
 from articleflow.functions.urls import is_tracking_param, normalize_url, query_params, request_url, url_host, url_origin
-from articleflow.operators import aggregates, analysis, cleaning, completion, ingest, merge, query
+from articleflow.operators import aggregates, analysis, blocks, cleaning, completion, ingest, merge, query
+from articleflow.operators.journal import read_journal
 from articleflow.plans import bindings
 from articleflow.session import materialize, shared_dir, spread
 from articleflow.schemas import CLEAN_ARTICLES, RAW_ARTICLES
 from articleflow.sources import exports, feeds, registry, robots, tables
-from articleflow.sources.pages import crawl, extract_article, extract_links
+from articleflow.sources.pages import crawl, crawl_frontier, crawl_links, extract_article, extract_links
 from articleflow.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +27,8 @@ QUERIES: dict[str, Query] = {}
 
 REPORT_RANGE = {"date_from": "2024-01-05", "date_to": "2024-01-25"}
 KEYWORD, WILDCARD = "THE", "e_e%TI"
+# Ids of a block of stored tables.
+BLOCK_WIDTH = 4096
 
 
 def register(function: Query) -> Query:
@@ -64,6 +69,26 @@ def report_with_analysis(spark, sf_dir):
     return attached.select("clean_count", "raw_count", F.col("analysis.id").alias("run_id"), F.array_join("analysis.keywords", ", ").alias("keywords"))
 
 
+@register
+def report_build(spark, sf_dir):
+    """All tables of a report as one list: counts and rates, top sources and categories, days, the attached analysis."""
+    runs = bindings.analysis_runs(spark, sf_dir)
+    report = aggregates.build_report(_clean(spark, sf_dir), _raw(spark, sf_dir), runs, top_n=3, **REPORT_RANGE)
+    none = lambda kind: F.lit(None).cast(kind)
+    listed = lambda rows, part, name: rows.select(F.lit(part).alias("part"), "place", F.col(name).alias("name"), "n", none("string").alias("share"))
+    counts = report.metrics.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("clean_count", "body_count", "summarized_count", "raw_count")])).alias("_c"))
+    rates = report.metrics.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("rate")) for c in ("clean_rate", "body_rate", "summary_rate")])).alias("_c"))
+    parts = [
+        counts.select(F.lit("count").alias("part"), none("bigint").alias("place"), "_c.name", "_c.n", none("string").alias("share")),
+        rates.select(F.lit("rate").alias("part"), none("bigint").alias("place"), "_c.name", none("bigint").alias("n"), aggregates.format_percent("_c.rate").alias("share")),
+        listed(report.top_sources, "source", "source"),
+        listed(report.top_categories, "category", "category"),
+        report.daily.select(F.lit("day").alias("part"), none("bigint").alias("place"), F.date_format("day", "yyyy-MM-dd").alias("name"), "n", none("string").alias("share")),
+        report.analysis.select(F.lit("analysis").alias("part"), none("bigint").alias("place"), F.col("category").alias("name"), F.col("id").alias("n"), none("string").alias("share")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register
 def category_counts(spark, sf_dir):
     return aggregates.category_counts(_clean(spark, sf_dir, False))
@@ -230,7 +255,24 @@ def _event_rows(spark, sf_dir):
 def raw_inserts(spark, sf_dir):
     rows, stored = _event_rows(spark, sf_dir)
     existing = stored.withColumn("id", F.col("seq") + 1)
-    return ingest.insert_raw(rows, existing).select("id", *ingest.RAW_KEY, "status", "error_message", "external_id")
+    return ingest.insert_raw(rows, existing).select("id", *ingest.RAW_KEY, "status", "error_message", "external_id", "raw_payload")
+
+
+@register
+def raw_inserts_refetched(spark, sf_dir):
+    """Feeds that were fetched several times, stored from the newest documents: one row and one id per entry."""
+    docs = bindings.feed_documents(spark, sf_dir)
+    sources = docs.select(
+        F.col("doc_no").alias("source_no"), "source_name", "category", F.col("source_url").alias("url"), F.lit(None).cast("map<string,string>").alias("params")
+    )
+    at = lambda day: F.to_timestamp(F.lit(f"2024-02-0{day}")).alias("fetched_at")
+    nothing = F.lit(None).cast("string")
+    newest = docs.select(F.col("source_url").alias("url"), "content", nothing.alias("error"), at(2))
+    older = docs.select(F.col("source_url").alias("url"), F.replace("content", F.lit("<title>"), F.lit("<title>old ")).alias("content"), nothing.alias("error"), at(1))
+    failed = docs.select(F.col("source_url").alias("url"), nothing.alias("content"), F.lit("HTTP 503").alias("error"), at(3))
+    items = feeds.collect_feeds(sources, older.unionAll(newest).unionAll(newest).unionAll(failed))
+    rows = materialize(ingest.to_raw_rows(items, "rss", F.to_timestamp(F.lit("2024-02-02")), extra=("feed_title",)), name="feed-rows")
+    return ingest.insert_raw(rows, spark.createDataFrame([], RAW_ARTICLES)).select("id", *ingest.RAW_KEY, "status", "error_message", "raw_payload")
 
 
 @register
@@ -259,6 +301,21 @@ def feed_items_limited(spark, sf_dir):
     return items.groupBy("ok").agg(F.sum("attempted").alias("attempted"), F.count("error").alias("errors"))
 
 
+@register
+def feed_items_mended(spark, sf_dir):
+    """Feeds under prefixes of their own, cut off, or broken in an entry."""
+    items = feeds.parse_feeds(bindings.odd_feeds(spark, sf_dir))
+    return items.select("source_name", "pos", "attempted", "ok", "url", "title", "body", "published_raw", "feed_title", "error")
+
+
+@register
+def feed_large(spark, sf_dir):
+    """All turns as the items of one feed, written in parts and read in splits."""
+    path = bindings.large_feed(spark, sf_dir, shared_dir(spark, "large-feed"))
+    rows = feeds.read_large_feed(spark, path, source_name="talks", category="talk", source_no=5, source_url="https://talk.example.com/feed")
+    return rows.select("pos", "seq", "ok", "url", "title", "body", "published_raw", "feed_title", "error")
+
+
 @register
 def feed_collect(spark, sf_dir):
     """Feed sources for every conversation; documents of the first turns only were fetched."""
@@ -274,15 +331,36 @@ def feed_collect(spark, sf_dir):
     return feeds.collect_feeds(sources, fetched, limit=30).select("source_name", "attempted", "ok", "url", "error")
 
 
-@register
-def crawl_pages(spark, sf_dir):
+def _crawl_inputs(spark, sf_dir):
     index = bindings.index_pages(spark, sf_dir)
     found = ingest.first_per_key(bindings.pages(spark, sf_dir), ("url",), "page_id")
     # Plain-http pages could not be fetched.
     fetched = found.select("url", F.when(F.col("url").startswith("https"), F.col("html")).alias("html"))
     listed = index.select(F.col("list_url").alias("url"), "html")
     stored = fetched.unionByName(listed).withColumn("error", F.when(F.col("html").isNull(), "HTTP 503"))
-    return crawl(index.drop("html"), stored).select("source_name", "pos", "ok", "url", "title", "error")
+    return index.drop("html"), stored
+
+
+_CRAWLED = ("source_name", "pos", "ok", "url", "title", "body", "published_raw", "external_id", "source_url", "error")
+
+
+@register
+def crawl_pages(spark, sf_dir):
+    return crawl(*_crawl_inputs(spark, sf_dir)).select(*_CRAWLED)
+
+
+@register
+def crawl_allowed(spark, sf_dir):
+    """The crawl as the robots files of the pages' origins allow it."""
+    return crawl(*_crawl_inputs(spark, sf_dir), rules=bindings.page_rules(spark, sf_dir)).select(*_CRAWLED)
+
+
+@register
+def crawl_slots(spark, sf_dir):
+    """The distinct pages of the crawl with their permissions and request slots."""
+    sources, stored = _crawl_inputs(spark, sf_dir)
+    links = materialize(crawl_links(sources, stored), name="links")
+    return crawl_frontier(links, bindings.page_rules(spark, sf_dir)).select("link", "origin", "allowed", "slot_seconds")
 
 
 @register
@@ -419,7 +497,7 @@ def clean_rows(spark, sf_dir):
     raw = spread(cleaning.cleanable(bindings.raw_documents(spark, sf_dir)), "id")
     built = cleaning.build_clean_rows(raw)
     usable = F.col("reject_reason").isNull()
-    shown = ("title", "body", "url", "source", "category", "clean_status", "original_length")
+    shown = ("title", "body", "url", "source", "category", "clean_status", "original_length", "content_hash")
     return built.select(
         "raw_id", "reject_reason", *[F.when(usable, F.col(name)).alias(name) for name in shown],
         F.when(usable, to_iso("published_at")).alias("published_at"),
@@ -441,17 +519,53 @@ def clean_run(spark, sf_dir):
     return merge.clean_articles(bindings.raw_documents(spark, sf_dir), empty, policy="skip").stats
 
 
-_MERGED = ("id", "raw_id", "url", "title", "source", "category", "original_length", "summary")
+@register
+def clean_rerun(spark, sf_dir):
+    """The counts of a second run under either policy: everything is there already."""
+    raw = bindings.raw_documents(spark, sf_dir)
+    first = materialize(merge.clean_articles(raw, spark.createDataFrame([], CLEAN_ARTICLES)).clean, name="first-run")
+    runs = [merge.clean_articles(raw, first, policy=policy).stats.withColumn("policy", F.lit(policy)) for policy in ("skip", "upsert")]
+    return runs[0].unionByName(runs[1])
+
+
+@register
+def clean_limited(spark, sf_dir):
+    """A cleaning run over the first hundred usable raw rows."""
+    built = cleaning.build_clean_rows(cleaning.cleanable(bindings.raw_documents(spark, sf_dir), 100))
+    return built.select("raw_id", "reject_reason", F.when(F.col("reject_reason").isNull(), F.col("title")).alias("title"))
+
+
+def _shown(rows):
+    """All sixteen columns, moments as text."""
+    moments = ("published_at", "collected_at", "summarized_at")
+    return rows.select(*[to_iso(name).alias(name) if name in moments else F.col(name) for name in CLEAN_ARTICLES.names])
 
 
 @register
 def merge_skip(spark, sf_dir):
-    return merge.merge_skip(bindings.merge_batch(spark, sf_dir), bindings.merge_target(spark, sf_dir)).select(*_MERGED)
+    return _shown(merge.merge_skip(bindings.merge_batch(spark, sf_dir), bindings.merge_target(spark, sf_dir)))
 
 
 @register
 def merge_upsert(spark, sf_dir):
-    return merge.merge_upsert(bindings.merge_batch(spark, sf_dir), bindings.merge_target(spark, sf_dir)).select(*_MERGED)
+    return _shown(merge.merge_upsert(bindings.merge_batch(spark, sf_dir), bindings.merge_target(spark, sf_dir)))
+
+
+def _merged_in_blocks(spark, sf_dir, policy):
+    table = blocks.store(bindings.merge_target(spark, sf_dir), shared_dir(spark, "clean-blocks"), width=BLOCK_WIDTH)
+    blocks.merge(table, materialize(bindings.merge_batch(spark, sf_dir), name="batch"), policy=policy)
+    return _shown(table.read())
+
+
+@register
+def merge_upsert_blocks(spark, sf_dir):
+    """The upsert on a stored table of which it rewrites the touched blocks."""
+    return _merged_in_blocks(spark, sf_dir, "upsert")
+
+
+@register
+def merge_skip_blocks(spark, sf_dir):
+    return _merged_in_blocks(spark, sf_dir, "skip")
 
 
 @register
@@ -473,25 +587,47 @@ def orphans(spark, sf_dir):
     return merge.orphans(_clean(spark, sf_dir, False), raw).select("id", "url")
 
 
-@register
-def raw_status_update(spark, sf_dir):
-    marks = bindings.labels(spark, sf_dir).where(F.col("toxic") == 1).select(
+def _toxic_marks(spark, sf_dir):
+    return bindings.labels(spark, sf_dir).where(F.col("toxic") == 1).select(
         F.col("doc_id").alias("id"), F.lit("invalid").alias("status"), F.lit("toxic").alias("error_message")
     )
-    return merge.update_raw_status(bindings.raw_documents(spark, sf_dir), marks).select("id", "status", "error_message")
 
 
 @register
-def summary_update(spark, sf_dir):
+def raw_status_update(spark, sf_dir):
+    return merge.update_raw_status(bindings.raw_documents(spark, sf_dir), _toxic_marks(spark, sf_dir)).select("id", "status", "error_message")
+
+
+@register
+def raw_status_blocks(spark, sf_dir):
+    table = blocks.store(bindings.raw_documents(spark, sf_dir), shared_dir(spark, "raw-blocks"), width=BLOCK_WIDTH)
+    blocks.write_status(table, materialize(_toxic_marks(spark, sf_dir), name="marks"))
+    return table.read().select("id", "status", "error_message")
+
+
+def _new_summaries(spark, sf_dir):
     labelled = bindings.labels(spark, sf_dir).where(F.col("quality") == 0)
     docs = bindings.table(spark, sf_dir, "documents").join(labelled, "doc_id")
-    new = docs.select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("summary"), F.lit("m2").alias("summary_model"),
+    return docs.select(
+        F.col("doc_id").alias("id"), F.col("text").alias("summary"), F.lit("m2").alias("summary_model"),
         F.to_timestamp(F.lit("2024-03-01")).alias("summarized_at"), F.col("n_chars").alias("original_length"),
     )
-    return merge.update_summaries(_clean(spark, sf_dir), new).select(
-        "id", "summary", "summary_model", "summary_length", "original_length", to_iso("summarized_at").alias("summarized_at")
-    )
+
+
+def _summarized(rows):
+    return rows.select("id", "summary", "summary_model", "summary_length", "original_length", to_iso("summarized_at").alias("summarized_at"))
+
+
+@register
+def summary_update(spark, sf_dir):
+    return _summarized(merge.update_summaries(_clean(spark, sf_dir), _new_summaries(spark, sf_dir)))
+
+
+@register
+def summary_update_blocks(spark, sf_dir):
+    table = blocks.store(_clean(spark, sf_dir), shared_dir(spark, "clean-blocks"), width=BLOCK_WIDTH)
+    blocks.write_summaries(table, materialize(_new_summaries(spark, sf_dir), name="new-summaries"))
+    return _summarized(table.read())
 
 
 @register
@@ -558,13 +694,64 @@ def summarize_stats(spark, sf_dir):
     return completion.summarize(_clean(spark, sf_dir), _client, stage=False).stats
 
 
+@register
+def summaries_journal(spark, sf_dir):
+    """The English articles first, then all, by way of one journal: ``calls`` shows that no call was made twice."""
+    path, clean = shared_dir(spark, "journal"), _clean(spark, sf_dir)
+    completion.summarize(clean.where("category = 'en' AND title <> ''"), _client, mode="all", journal=path)
+    result = completion.summarize(clean, _client, mode="all", journal=path)
+    done = read_journal(spark, path).where(F.col("error").isNull()).agg(F.count("*")).scalar()
+    return result.outcomes.select("id", "outcome", "reply", "error", "original_length").withColumn("calls", done)
+
+
+@register
+def summarize_by_id(spark, sf_dir):
+    """One article that has a summary: skipped, or summarized again when forced."""
+    clean = _clean(spark, sf_dir)
+    row_id = clean.where("summary IS NOT NULL").agg(F.min("id")).first()[0]
+    runs = []
+    for force in (False, True):
+        result = completion.summarize(clean, _client, mode="id", article_id=row_id, force=force)
+        counts = [result.stats.select(name).scalar().alias(name) for name in ("attempted", "succeeded", "skipped")]
+        runs.append(result.outcomes.select(F.lit(force).alias("forced"), "id", "outcome", *counts))
+    return runs[0].unionByName(runs[1])
+
+
+def _analyst(system: str, prompt: str) -> str:
+    """A stand-in model: says what it was asked about; it has no answer for Spanish articles and none that holds for French ones."""
+    asked = prompt.split("카테고리=", 1)[1].split(",", 1)[0]
+    if asked == "es":
+        raise completion.ModelError("no answer")
+    first = prompt.split("제목: ", 1)[1].split("\n", 1)[0]
+    trends = [] if asked == "fr" else [first]
+    return "```json\n" + json.dumps({"trends": trends, "keywords": [asked, " "], "implications": str(len(prompt))}, ensure_ascii=False) + "\n```"
+
+
+def _analyzed(spark, sf_dir, **options):
+    runs = bindings.analysis_runs(spark, sf_dir)
+    return analysis.analyze(_clean(spark, sf_dir), runs, lambda: completion.HandlerClient(_analyst), model="analyst", by=BY_CATEGORY, **options)
+
+
+@register
+def analyze(spark, sf_dir):
+    """One call per category: valid replies become runs after the stored ones."""
+    found = _analyzed(spark, sf_dir).runs
+    lists = [F.array_join(name, "|").alias(name) for name in ("trends", "keywords", "commonalities_differences", "implications")]
+    return found.select("id", "date_from", "category", "article_count", "model", *lists)
+
+
+@register
+def analyze_failures(spark, sf_dir):
+    found = _analyzed(spark, sf_dir, journal=shared_dir(spark, "journal")).failures
+    return found.select("category", "article_count", "error")
+
+
 @register
 def parsed_analysis(spark, sf_dir):
     replies = bindings.model_replies(spark, sf_dir).withColumn("_a", parse_analysis("reply"))
     return replies.select(
         "conv_id", "turn", F.array_join("_a.trends", "|").alias("trends"), F.array_join("_a.keywords", "|").alias("keywords"),
-        F.array_join("_a.implications", "|").alias("implications"),
-        F.regexp_replace("_a.error", ": Expecting.*", "").alias("error"),
+        F.array_join("_a.implications", "|").alias("implications"), F.col("_a.error").alias("error"),
     )
 
 
@@ -644,7 +831,7 @@ def stream_raw_inserts(spark, sf_dir):
     rows = ingest.to_raw_rows(bindings.as_fetched(_event_stream(spark, sf_dir)), "rss", F.col("collected_at"))
     out = shared_dir(spark, "stream-raw")
     incremental.stream_raw(rows, out, shared_dir(spark, "stream-log")).awaitTermination()
-    return tables.read_parts(spark, out, RAW_ARTICLES).select("id", *ingest.RAW_KEY, "status", "external_id")
+    return tables.read_parts(spark, out, RAW_ARTICLES).select("id", *ingest.RAW_KEY, "status", "external_id", "raw_payload")
 
 
 @register
@@ -654,4 +841,16 @@ def stream_clean(spark, sf_dir):
     bindings.raw_documents(spark, sf_dir).write.parquet(inbox)
     stream = spark.readStream.schema(RAW_ARTICLES).parquet(inbox)
     incremental.stream_clean(stream, out, shared_dir(spark, "stream-log")).awaitTermination()
-    return tables.read_parts(spark, out, CLEAN_ARTICLES).select("id", "raw_id", "url", "title", "category", "clean_status")
+    return tables.read_parts(spark, out, CLEAN_ARTICLES).select("id", "raw_id", "url", "title", "body", "category", "clean_status")
+
+
+@register
+def stream_upsert(spark, sf_dir):
+    """Raw documents twice, under other ids the second time: every article is written anew in its block."""
+    inbox, out, log = shared_dir(spark, "raw-inbox"), shared_dir(spark, "stream-clean"), shared_dir(spark, "stream-log")
+    for more in (0, 10_000_000):
+        raw = bindings.raw_documents(spark, sf_dir)
+        raw.withColumn("id", F.col("id") + more).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(RAW_ARTICLES).parquet(inbox)
+        incremental.stream_clean(stream, out, log, policy="upsert").awaitTermination()
+    return incremental.upserted(spark, out).select("raw_id", "url", "title", "body", "category", "clean_status")

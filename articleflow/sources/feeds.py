@@ -186,9 +186,10 @@ def read_feed_files(spark, paths: str | list[str]) -> DataFrame:
 def read_large_feed(
     spark, path: str, *, source_name: str, category: str, source_no: int, source_url: str | None = None, entry_tag: str = "item"
 ) -> DataFrame:
-    """The entries of a feed file too large for one task, read in splits: the rows that ``parse_feeds`` gives for the same file.
+    """The entries of a feed too large for one task, read in splits: the rows that ``parse_feeds`` gives for the same document.
 
-    The place of an entry is the number of entries in the splits before its own, which start at lower bytes, plus its place in its split.
+    ``path`` is a file, or a folder of parts that are the document in the order of their names, each cut between entries. The place of an entry is the number of entries
+    in the splits before its own, plus its place in its split.
     The title is in front of the first entry and read there, piece by piece. Entries are stored once, so that both passes see the same splits.
     Prefixes are the usual ones, and a cut last entry is none here.
     """
@@ -196,10 +197,10 @@ def read_large_feed(
     schema = spark.createDataFrame([], f"_entry {_ENTRY}").schema["_entry"].dataType
     read = spark.read.format("xml").options(**options).schema(schema).load(path)
     entries = materialize(
-        read.select(F.struct(*schema.names).alias("_entry"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at")),
+        read.select(F.struct(*schema.names).alias("_entry"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at")),
         name="feed-entries",
     )
-    # One row per split of the file.
+    # One row per split.
     splits = entries.groupBy("_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = entries.join(splits.select("_split", "_least", before.alias("_before")), "_split")
@@ -217,10 +218,14 @@ _HEAD_STEP = 1 << 16
 
 
 def _head_of(spark, path: str, entry_tag: str) -> str:
-    """What stands in front of the first entry of a file."""
+    """What stands in front of the first entry of a file, or of the first part of a folder."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(place).isDirectory():
+        parts = [entry.getPath() for entry in files.listStatus(place) if entry.isFile() and not entry.getPath().getName().startswith(("_", "."))]
+        place = min(parts, key=lambda part: part.getName())
+    stream = files.open(place)
     found = b""
     try:
         while part := bytes(stream.readNBytes(_HEAD_STEP)):
