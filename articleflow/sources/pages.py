@@ -1,7 +1,5 @@
 """HTML pages as tables: link lists, article fields and the two-level crawl that joins them."""
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from articleflow.functions import ColumnOrName, as_column
 from articleflow.functions.text import filled
-from articleflow.functions.urls import absolute_url, url_origin
+from articleflow.functions.urls import resolve_urls, url_origin
 from articleflow.schemas import string_struct
 from articleflow.session import materialize
 from articleflow.sources.fetched import newest_fetch
@@ -29,21 +27,18 @@ FALLBACKS = {
 }
 
 
-@arrow_udf(T.ArrayType(string_struct("href", "url", "fault")))
-def _anchors(markups: pa.Array, selectors: pa.Array, bases: pa.Array) -> pa.Array:
+@arrow_udf(T.ArrayType(string_struct("href", "fault")))
+def _anchors(markups: pa.Array, selectors: pa.Array) -> pa.Array:
     out = []
-    for markup, selector, base in zip(markups.to_pylist(), selectors.to_pylist(), bases.to_pylist()):
+    for markup, selector in zip(markups.to_pylist(), selectors.to_pylist()):
         if markup is None or not selector:
             out.append(None)
             continue
-        resolve = lru_cache(maxsize=None)(lambda href: absolute_url(base, href))
         try:
-            hrefs = [attrs.get("href") for attrs, _ in collect(markup, {"link": selector})["link"]]
+            out.append([{"href": attrs.get("href"), "fault": None} for attrs, _ in collect(markup, {"link": selector})["link"]])
         except PageFault as problem:
-            out.append([{"href": None, "url": None, "fault": str(problem)}])
-            continue
-        out.append([{"href": href, "url": href and resolve(href), "fault": None} for href in hrefs])
-    return pa.array(out, pa.list_(pa.struct({"href": pa.string(), "url": pa.string(), "fault": pa.string()})))
+            out.append([{"href": None, "fault": str(problem)}])
+    return pa.array(out, pa.list_(pa.struct({"href": pa.string(), "fault": pa.string()})))
 
 
 def leads_to_page(href: ColumnOrName) -> Column:
@@ -67,12 +62,12 @@ def page_links(html: ColumnOrName, selector: Column | str, base: Column | str, l
 
     All links of a page sit in that page's row, so de-duplication and the limit need no shuffle.
     """
-    return _targets(_anchors(as_column(html), _selector(selector), base if isinstance(base, Column) else F.lit(base)), limit)
+    return _targets(_anchors(as_column(html), _selector(selector)), base if isinstance(base, Column) else F.lit(base), limit)
 
 
-def _targets(found: Column, limit: int | None) -> Column:
-    kept = F.filter(found, lambda link: leads_to_page(link["href"]) & link["url"].isNotNull())
-    urls = F.array_distinct(F.transform(kept, lambda link: link["url"]))
+def _targets(found: Column, base: Column, limit: int | None) -> Column:
+    hrefs = F.filter(F.transform(found, lambda link: link["href"]), leads_to_page)
+    urls = F.array_distinct(F.filter(resolve_urls(base, hrefs), lambda url: url.isNotNull()))
     return urls if limit is None else F.slice(urls, 1, max(0, limit))
 
 
@@ -202,8 +197,8 @@ def crawl_links(
         asked = mark_allowed(sources, rules, url="list_url").drop("origin", "crawl_delay").withColumnRenamed("allowed", "_allowed")
     lists = asked.join(fetched, F.col("_allowed") & (F.col("list_url") == F.col("_page")), "left").drop("_page")
     base = F.coalesce(filled("base_url"), F.col("list_url"))
-    lists = lists.withColumn("_found", _anchors(F.col("html"), F.col("article_link_selector"), base))
-    found = _targets(F.col("_found"), limit)
+    lists = lists.withColumn("_found", _anchors(F.col("html"), F.col("article_link_selector"))).withColumn("_base", base)
+    found = _targets(F.col("_found"), F.col("_base"), limit)
     fault = F.get(F.filter(F.transform("_found", lambda link: link["fault"]), lambda text: text.isNotNull()), F.lit(0))
     no_list = F.col("html").isNull() | fault.isNotNull()
     listed = lists.withColumns(
@@ -211,7 +206,7 @@ def crawl_links(
             "_links": F.when(no_list, F.array(F.lit(None).cast("string"))).otherwise(found),
             "list_error": F.when(~F.col("_allowed"), F.format_string(DENIED, "list_url")).when(no_list, F.coalesce(fault, F.col("error"), F.lit(MISSING_PAGE))),
         }
-    ).drop("html", "error", "_found", "_allowed")
+    ).drop("html", "error", "_found", "_base", "_allowed")
     return _one_per_link(listed).withColumn("seq", F.shiftleft(F.col("source_no").cast("long"), 32) + F.col("pos"))
 
 

@@ -1,57 +1,53 @@
 """Crawl permission and pacing: robots rules matched against URLs, and a start slot for every request."""
 
-from collections.abc import Iterable
-from urllib.parse import unquote
-from urllib.robotparser import RobotFileParser
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from articleflow.functions import ColumnOrName, as_column
-from articleflow.functions.urls import url_origin
+from articleflow.functions.urls import percent_decoded, url_origin
 from articleflow.operators.numbering import number_rows
 
-_RULES = T.StructType(
-    [
-        T.StructField(
-            "rules",
-            T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("allow", T.BooleanType())])),
-        ),
-        T.StructField("crawl_delay", T.DoubleType()),
-    ]
-)
-
-
-def _rules_for(text: str, agent: str) -> dict:
-    """The rules, in file order, of the group of one robots text that speaks to the agent."""
-    parser = RobotFileParser()
-    parser.parse(text.splitlines())
-    groups: Iterable = [*parser.entries, parser.default_entry]
-    group = next((g for g in groups if g is not None and (g is parser.default_entry or g.applies_to(agent))), None)
-    lines = group.rulelines if group else []
-    return {
-        "rules": [{"path": unquote(line.path), "allow": line.allowance} for line in lines],
-        "crawl_delay": None if group is None or group.delay is None else float(group.delay),
-    }
-
-
-@arrow_udf(_RULES)
-def _parse_rules(texts: pa.Array, agents: pa.Array) -> pa.Array:
-    pairs = zip(texts.to_pylist(), agents.to_pylist())
-    return pa.array([None if text is None else _rules_for(text, agent) for text, agent in pairs], to_arrow_type(_RULES))
+_LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_BLANK = r"[ \t\n\x0b\f\r\x1c-\x1f\x85\xa0]"
 
 
 def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
-    """``origin, rules, crawl_delay`` out of fetched robots files (``origin, status, body``).
+    """``origin, rules, crawl_delay`` out of fetched robots files (``origin, status, body``), one row per origin.
 
-    One row per origin goes in and comes out; a file that was not answered with 200 has no rules.
+    A file that was not answered with 200 has no rules. Lines become rows: neighbouring user-agent lines open a group, an empty line closes it, and rules
+    outside of groups count for nothing. The first group that names the agent speaks, or else the first one for all (``*``); its rules keep the order of the file.
     """
     text = F.when(F.col("status") == 200, F.col("body"))
-    return robots.withColumn("_r", _parse_rules(text, F.lit(agent))).select("origin", "_r.rules", "_r.crawl_delay")
+    lines = robots.select("origin", F.posexplode(F.split(text, _LINE_ENDS)).alias("place", "line"))
+    said = F.regexp_replace(F.regexp_replace("line", "#.*", ""), f"^{_BLANK}+|{_BLANK}+$", "")
+    key = F.lower(F.regexp_replace(F.substring_index(said, ":", 1), f"{_BLANK}+$", ""))
+    value = percent_decoded(F.regexp_replace(F.regexp_extract(said, "^[^:]*:(.*)$", 1), f"^{_BLANK}+", ""))
+    read = lines.select("origin", "place", F.when(F.col("line") == "", "blank").when(said.contains(":"), key).alias("key"), value.alias("value"))
+    is_delay = (F.col("key") == "crawl-delay") & F.col("value").rlike("^[0-9]+$")
+    kind = F.when(F.col("key") == "user-agent", "agent").when(F.col("key") == "blank", "blank").when(F.col("key").isin("allow", "disallow") | is_delay, "rule")
+    tokens = read.withColumn("kind", kind).where(F.col("kind").isNotNull())
+
+    in_file = Window.partitionBy("origin").orderBy("place")
+    opens = (F.col("kind") == "agent") & ~F.coalesce(F.lag("kind").over(in_file) == "agent", F.lit(False))
+    inside = F.last(F.when(F.col("kind") != "rule", F.col("kind") == "agent"), ignorenulls=True).over(in_file)
+    grouped = tokens.withColumns({"group": F.sum(opens.cast("int")).over(in_file), "inside": inside}).where((F.col("kind") != "blank") & F.col("inside"))
+
+    path, allow = F.col("value"), (F.col("key") == "allow") | (F.col("value") == "")
+    rule = F.when(F.col("key").isin("allow", "disallow"), F.struct("place", path.alias("path"), allow.alias("allow")))
+    delay = F.max_by(F.col("value").cast("double"), F.when(F.col("key") == "crawl-delay", F.col("place")))
+    groups = grouped.groupBy("origin", "group").agg(
+        F.collect_list(F.when(F.col("kind") == "agent", F.lower("value"))).alias("agents"), F.array_sort(F.collect_list(rule)).alias("rules"),
+        delay.alias("crawl_delay"), F.count_if(F.col("kind") == "rule").alias("n"),
+    )
+    token = F.lit(agent.split("/")[0].lower())
+    for_all = F.array_contains("agents", "*")
+    named = ~for_all & F.exists("agents", lambda name: token.contains(name))
+    heard = groups.where((F.col("n") > 0) & (for_all | named)).groupBy("origin").agg(
+        F.min_by(F.struct("rules", "crawl_delay"), F.struct(for_all, "group")).alias("_g")
+    )
+    rules = F.transform("_g.rules", lambda r: F.struct(r["path"].alias("path"), r["allow"].alias("allow")))
+    return robots.select("origin").join(heard.select("origin", rules.alias("rules"), "_g.crawl_delay"), "origin", "left")
 
 
 def robots_path(url: ColumnOrName) -> Column:

@@ -1,5 +1,7 @@
 """Golden values of the scalar functions."""
 
+from urllib.parse import parse_qsl, urlencode, urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +138,32 @@ def test_resolve_url(spark):
     assert [r[0] for r in rows.select(urls.resolve_url("b", "h")).collect()] == ["https://h/a/c", "https://h/x", "https://o/y", None]
 
 
+def test_links_resolve_as_the_standard_library_does(spark):
+    bases = ["https://h/a/b", "https://h/a/", "https://h", "http://H.x:80/a/b/c?q=1#f", "https://h/a/../b/./c/", "https://h//x//y", "", "mailto:x", "ftp://h/d/e"]
+    hrefs = ["c", "/x", "https://o/y", "../up", "../../../far", "./here", ".", "..", "?only=1", "#frag", "//other/p?q#f", "a//b", "x/./y/../z", "http:same", "tel:1", "", "a b", "é/ü", "?", "x/", " pad", "https://[bad", "/a/./b/../c/.."]
+    pairs = [(b, h) for b in bases for h in hrefs]
+
+    def want(base, href):
+        try:
+            return urljoin(base, href) if href else None
+        except ValueError:
+            return None
+
+    rows = spark.createDataFrame([(i, b, h) for i, (b, h) in enumerate(pairs)], "i int, b string, h string").select("i", urls.resolve_url("b", "h").alias("u")).collect()
+    got = {r.i: r.u for r in rows}
+    wrong = [(b, h, got[i], want(b, h)) for i, (b, h) in enumerate(pairs) if got[i] != want(b, h)]
+    assert wrong == []
+
+
+def test_queries_are_read_and_written_as_the_standard_library_does(spark):
+    queries = ["a=1&b=%41%zz+x", "%E2%82%AC=%e2%82%ac&=v&n", "q=a%2Bb&q=%", "a=~*-._!&b=\u4e2d", "x=1=2&&y", "utm_a=1&z=%26&Ref=2&ref_x=3", "b=2&a=1&a=0&B=1"]
+    got = column(spark, [f"https://h/p?{q}" for q in queries], urls.normalize_url)
+    kept = lambda q: sorted(p for p in parse_qsl(q, keep_blank_values=True) if p[0].lower() not in urls.TRACKING_NAMES and not p[0].lower().startswith("utm_"))
+    assert got == [f"https://h/p?{urlencode(kept(q))}" for q in queries]
+    asked = column(spark, [f"https://h/p?{q}#f" for q in queries], lambda c: urls.request_url(c, {"a": "new é", "zz": "1"}))
+    assert asked == [f"https://h/p?{urlencode(dict(parse_qsl(q, keep_blank_values=True)) | {'a': 'new é', 'zz': '1'})}#f" for q in queries]
+
+
 @pytest.mark.parametrize(
     "url, params, limit, want",
     [

@@ -2,6 +2,7 @@
 
 import json
 import re
+from urllib.robotparser import RobotFileParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -387,3 +388,23 @@ def test_a_page_linked_from_many_lists_is_parsed_once(spark, plan_of, tmp_path):
     assert len({re.sub(r"#\d+", "", line) for line in parsed}) == 1 and "_article_fields" in parsed[0]
     once = F.col("link").isNotNull()
     assert links.where(once).select("link", "title_selector", "body_selector", "date_selector").distinct().count() == 2
+
+
+def test_robots_groups_as_the_standard_library_reads_them(spark):
+    texts = [
+        "User-agent: a\nUser-agent: *\nDisallow: /x\n\nUser-agent: bot\nDisallow: /y\nAllow: /y/z",
+        "Disallow: /lost\nUser-agent: bot\n\nDisallow: /too\nUser-agent: bot\n# note\nCrawl-delay: 7\nDisallow:",
+        "User-agent: BOT # me\nAllow: /a%20b\nDisallow: /a\r\nUser-agent: other\nDisallow: /",
+        "User-agent: *\nCrawl-delay: x\nDisallow: /p\nUser-agent: *\nDisallow: /q",
+        "User-agent: nobody\nDisallow: /", "", "User-agent: bo\nSitemap: https://h/s\nDisallow: /c+d\nCrawl-delay: 2\nCrawl-delay: 3",
+    ]
+    paths = ["/", "/x", "/y", "/y/z", "/lost", "/too", "/a%20b", "/a", "/p/1", "/q", "/c+d", "/s"]
+    files = spark.createDataFrame([(f"https://h{i}", 200, t) for i, t in enumerate(texts)], "origin string, status int, body string")
+    asked = spark.createDataFrame([(f"https://h{i}{p}",) for i in range(len(texts)) for p in paths], "url string")
+    got = {r.url: (r.allowed, r.crawl_delay) for r in robots.mark_allowed(asked, robots.robots_rules(files, "My-Bot/1.0")).collect()}
+    for i, text in enumerate(texts):
+        parser = RobotFileParser()
+        parser.parse(text.splitlines())
+        for path in paths:
+            assert got[f"https://h{i}{path}"][0] == parser.can_fetch("My-Bot/1.0", f"https://h{i}{path}"), (i, path)
+    assert [got[f"https://h{i}/"][1] for i in (0, 1, 3, 6)] == [None, 7.0, None, 3.0]
