@@ -16,6 +16,10 @@ _FIELDS = ("title", "url", "body", "summary", "description", "category", "publis
 PAYLOAD_SCHEMA = "struct<p struct<" + ", ".join(f"{name} variant" for name in _FIELDS) + ">, _broken string>"
 PAYLOAD_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false", "maxStringLen": str(2**31 - 1)}
 
+#: A VARIANT holds 128 MiB; payloads of more bytes than this are read field by field as text instead, with the same outcome.
+LARGE = 1 << 26
+_AS = {"text": "string", "number": "double", "flag": "boolean", "list": "array<string>", "object": "map<string,string>"}
+
 # What a rejected row is marked with.
 BAD_JSON = "raw payload가 올바른 JSON이 아닙니다 (raw_id=%d)"
 BAD_TYPE = "텍스트가 아닌 필드가 있습니다 (raw_id=%d)"
@@ -35,6 +39,20 @@ def _describe(value: Column) -> Column:
     )
 
 
+def _read_as(wrapped: Column, kind: str) -> Column:
+    schema = "struct<p struct<" + ", ".join(f"{name} {_AS[kind]}" for name in _FIELDS) + ">, _broken string>"
+    return F.from_json(wrapped, schema, PAYLOAD_OPTIONS)
+
+
+def _describe_large(name: str) -> Column:
+    """The same of a field of a large payload: what it can be read as tells its type."""
+    text, number, flag, items, fields = (F.col(f"_{kind}.p.{name}") for kind in _AS)
+    other = number.isNotNull() | flag.isNotNull() | items.isNotNull() | fields.isNotNull()
+    empty = (F.coalesce(number, F.lit(1.0)) == 0) | ~F.coalesce(flag, F.lit(True)) | (F.size(items) == 0) | (F.size(fields) == 0)
+    present = text.isNotNull() & F.when(other, ~F.coalesce(empty, F.lit(False))).otherwise(text != "")
+    return F.struct(F.when(~other, text).alias("text"), text.alias("written"), present.alias("present"), (present & other).alias("misfit"))
+
+
 def _first_present(fields: Column, *names: str) -> Column:
     """The first of the named fields that holds something, or NULL.
 
@@ -49,16 +67,22 @@ def build_clean_rows(raw: DataFrame) -> DataFrame:
     JSON is parsed in the JVM; all normalizers run in one Python stage, which a body enters and leaves once.
     """
     wrapped = F.concat(F.lit('{"p":'), "raw_payload", F.lit("}"))
-    payload = F.from_json(wrapped, PAYLOAD_SCHEMA, PAYLOAD_OPTIONS)
-    parsed = raw.select("id", "canonical_url", "source_name", "collected_at", payload.alias("_w"))
-    described = parsed.withColumn("_f", F.transform(F.array(*[F.col(f"_w.p.{name}") for name in _FIELDS]), _describe))
+    large = F.octet_length("raw_payload") > LARGE
+    payload = F.when(~large, F.from_json(wrapped, PAYLOAD_SCHEMA, PAYLOAD_OPTIONS))
+    parsed = raw.select(
+        "id", "canonical_url", "source_name", "collected_at", large.alias("_large"), payload.alias("_w"),
+        *[F.when(large, _read_as(wrapped, kind)).alias(f"_{kind}") for kind in _AS],
+    )
+    small = F.transform(F.array(*[F.col(f"_w.p.{name}") for name in _FIELDS]), _describe)
+    described = parsed.withColumn("_f", F.when(F.col("_large"), F.array(*[_describe_large(name) for name in _FIELDS])).otherwise(small))
+    bad_json = F.when(F.col("_large"), F.col("_text.p").isNull() | F.col("_text._broken").isNotNull()).otherwise(F.col("_w.p").isNull() | F.col("_w._broken").isNotNull())
     roles = {
         "_title": ("title",), "_url": ("url",), "_body": ("body", "summary", "description"), "_category": ("category",),
         "_published": ("published_at", "published"), "_source": ("source",),
     }
     picked = described.select(
         "id", "canonical_url", "source_name", "collected_at",
-        (F.col("_w.p").isNull() | F.col("_w._broken").isNotNull()).alias("_bad_json"),
+        bad_json.alias("_bad_json"),
         *[_first_present(F.col("_f"), *names).alias(role) for role, names in roles.items()],
     )
     misfits = [F.coalesce(F.col(f"{role}.misfit"), F.lit(False)) for role in ("_title", "_url", "_body", "_category")]

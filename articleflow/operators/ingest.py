@@ -70,8 +70,8 @@ def first_per_key(rows: DataFrame, keys: tuple[str, ...], *order: str, last: boo
 
 
 def _fingerprint() -> Column:
-    """Tells rows apart that share source, URL and ``seq``: versions of one item."""
-    return F.xxhash64("status", "raw_payload", "collected_at")
+    """Tells rows apart that share source, URL and ``seq``: versions of one item. The moment of collection is no part of it; it may be that of the query."""
+    return F.xxhash64("status", "raw_payload")
 
 
 def new_raw_keys(rows: DataFrame, existing: DataFrame) -> DataFrame:
