@@ -20,7 +20,7 @@ from articleflow.operators.merge import (
 )
 from articleflow.operators.numbering import number_rows
 from articleflow.schemas import CLEAN_ARTICLES, CONTENT_COLUMNS, DUPLICATE_POLICIES, SUMMARY_COLUMNS
-from articleflow.session import folders, is_complete, materialize, remove, scratch, shared_dir
+from articleflow.session import folders, freed_shuffles, is_complete, materialize, remove, scratch, shared_dir
 
 WIDTH = 1 << 20
 BLOCK = "block"
@@ -66,7 +66,8 @@ class BlockTable:
     def replace(self, rows: DataFrame) -> None:
         """Put ``rows`` in the place of all blocks they fall in. The rebalance hint gives sound files, of large blocks several."""
         placed = rows.select(*self.schema.names).withColumn(BLOCK, self.block_of())
-        placed.hint("rebalance", BLOCK).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BLOCK).parquet(self.path)
+        with freed_shuffles(self.spark):
+            placed.hint("rebalance", BLOCK).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BLOCK).parquet(self.path)
 
     def change(self, ids: DataFrame, step: Callable[[DataFrame], DataFrame]) -> list[int]:
         """Rewrite the blocks that ``ids`` fall in with what ``step`` makes of their rows; ids of blocks that aren't there yet may come with it.
@@ -112,7 +113,7 @@ def merge(table: BlockTable, batch: DataFrame, *, policy: str = "upsert", run: s
     """Merge cleaned rows into a stored table; its other blocks are neither read for their texts nor written.
 
     ``run`` names a run that may be repeated: its decisions are kept beside the table (``path-changes``) until the next run of that kind.
-    A stored summary is kept, as in ``merge_upsert``. ``batch`` is read several times, so hand in a stored table.
+    A stored summary is kept, as in ``merge_upsert``. ``batch`` is read several times, so hand in a stored table where it is costly to compute.
     """
     if policy not in DUPLICATE_POLICIES:
         raise ValueError(f"duplicate policy must be one of {DUPLICATE_POLICIES}: {policy!r}")

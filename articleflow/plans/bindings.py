@@ -79,7 +79,7 @@ def merge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merge_target(spark: SparkSession, sf_dir: str, *, stored: bool = True) -> DataFrame:
     """Labelled documents as the stored table: an older text, and an older URL where the label says toxic.
 
     The merges read their table several times, so it is stored, as it would be.
@@ -105,7 +105,8 @@ def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.length("text") + 4).cast("long").alias("original_length"),
         F.when(F.col("quality") == 1, F.lit(12)).cast("long").alias("summary_length"),
     )
-    return materialize(first_per_key(rows, ("url",), "id"), name="merge-target")
+    firsts = first_per_key(rows, ("url",), "id")
+    return materialize(firsts, name="merge-target") if stored else firsts
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -552,8 +552,8 @@ def merge_upsert(spark, sf_dir):
 
 
 def _merged_in_blocks(spark, sf_dir, policy):
-    table = blocks.store(bindings.merge_target(spark, sf_dir), shared_dir(spark, "clean-blocks"), width=BLOCK_WIDTH)
-    blocks.merge(table, materialize(bindings.merge_batch(spark, sf_dir), name="batch"), policy=policy)
+    table = blocks.store(bindings.merge_target(spark, sf_dir, stored=False), shared_dir(spark, "clean-blocks"), width=BLOCK_WIDTH)
+    blocks.merge(table, bindings.merge_batch(spark, sf_dir), policy=policy)
     return _shown(table.read())
 
 

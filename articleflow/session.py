@@ -82,6 +82,20 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(folder, True)
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go as soon as it is written."""
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 class _Scratch:
     """Stores tables for one step; ``keep`` stores one that outlives it."""
 
@@ -90,7 +104,8 @@ class _Scratch:
 
     def __call__(self, df: DataFrame, name: str = "step") -> DataFrame:
         self.paths.append(shared_dir(self.spark, name))
-        return materialize(df, self.paths[-1])
+        with freed_shuffles(self.spark):
+            return materialize(df, self.paths[-1])
 
     def keep(self, df: DataFrame, name: str = "step") -> DataFrame:
         return materialize(df, name=name)
