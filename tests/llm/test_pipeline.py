@@ -50,7 +50,7 @@ def test_stages_stand_awkward_rows_and_keep_other_columns(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
