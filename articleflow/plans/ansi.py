@@ -522,3 +522,4 @@ SQL["report_build"] = f"""WITH {RUNS}, m AS (SELECT {QUALITY}, (SELECT count(*)
   UNION ALL SELECT * FROM (SELECT 'category', row_number() OVER (ORDER BY count(*) DESC, category) AS place, category, count(*), NULL FROM art WHERE {IN_RANGE} GROUP BY category ORDER BY place LIMIT 3)
   UNION ALL SELECT 'day', NULL, strftime(collected_at, '%Y-%m-%d'), count(*), NULL FROM art WHERE {IN_RANGE} GROUP BY collected_at
   UNION ALL SELECT * FROM (SELECT 'analysis', NULL, category, id, NULL FROM runs ORDER BY id DESC LIMIT 1)"""
+SQL["export_ordered"] = SQL["export_rows"]

@@ -802,6 +802,14 @@ def export_jsonl(spark, sf_dir):
     return exports.read_jsonl_export(spark, path, view.schema)
 
 
+@register
+def export_ordered(spark, sf_dir):
+    """All articles as JSON lines in one order over several parts."""
+    clean, path = _clean(spark, sf_dir), shared_dir(spark, "ordered")
+    exports.write_ordered(clean, "jsonl", path)
+    return exports.read_jsonl_export(spark, path, exports.export_view(clean).schema)
+
+
 def _event_stream(spark, sf_dir) -> DataFrame:
     schema = bindings.table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")

@@ -586,3 +586,21 @@ def test_insert_with_repeated_seq_gives_one_row_and_id_per_key(spark):
         got = sorted((r.id, r.canonical_url, json.loads(r.raw_payload)["title"]) for r in ingest.insert_raw(rows.repartition(partitions), spark.createDataFrame([], schemas.RAW_ARTICLES)).collect())
         assert [(i, u) for i, u, _ in got] == [(1, "https://h/1"), (2, "https://h/2"), (3, "https://h/3")]
         assert got[0][2] in ("new", "old") and got[1][2] == "x"
+
+
+@pytest.mark.parametrize("fmt", ["csv", "jsonl"])
+def test_ordered_parts_are_the_file_of_one_task(spark, tmp_path, fmt):
+    clean = clean_table(spark, *[dict(row, id=90 - i) for i, row in enumerate(EXPORTED * 8)]).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        exports.write_ordered(clean, fmt, str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(p for p in (tmp_path / "parts").iterdir() if p.name.startswith("part-"))
+    one = exports.export_view(query.query_articles(clean)).coalesce(1)
+    (exports.write_csv if fmt == "csv" else exports.write_jsonl)(one, str(tmp_path / "one"))
+    whole = b"".join(p.read_bytes() for p in (tmp_path / "one").iterdir() if p.name.startswith("part-"))
+    assert len(parts) > 1 and b"".join(p.read_bytes() for p in parts) == whole
+    exports.write_ordered(clean.limit(0), fmt, str(tmp_path / "none"))
+    left = b"".join(p.read_bytes() for p in (tmp_path / "none").iterdir() if p.name.startswith("part-")).decode()
+    assert left.startswith("\ufeffid,title") and left.count("\n") == 1 if fmt == "csv" else left == ""
