@@ -35,8 +35,9 @@ class BlockTable:
     schema: T.StructType = CLEAN_ARTICLES
     width: int = WIDTH
 
-    def block_of(self, row_id: Column | str = "id") -> Column:
-        return F.floor(F.col(row_id) / self.width).cast("long") if isinstance(row_id, str) else F.floor(row_id / self.width).cast("long")
+    def block_of(self) -> Column:
+        """The block of a row's id."""
+        return F.expr(f"id div {self.width}").cast("long").alias(BLOCK)
 
     def blocks(self) -> list[int]:
         """The blocks that are stored."""
