@@ -10,7 +10,9 @@ sentence as names, then as words, and last with verbatim windows alone.
 Everything is columns of Spark. The windows of the items are broadcast only if there are few, otherwise both sides are shuffled.
 
 Defined results: null or empty texts hold nothing and null or short items (under eight tokens) are not searched; rows that repeat an id are judged
-row by row; a repeated item gives one match for each of its ids; null item ids stay apart from all others; other columns are not read.
+row by row; a repeated item gives one match for each of its ids; null item ids stay apart from all others; other columns are not read. An empty
+table of documents gives no rows, one of items no leaks. Whole texts are read, however long; a text must fit a task as an array of its tokens.
+Matches of one item at several shifts are all given; ties between ways to read a match go to the first that is consistent.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ UNITS = (
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees"
 ).split()
 
-_NAME = r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}+)(?!\p{L})"
-#: After the names inside sentences are marked: words that may open a sentence or be names.
-_START = r"(?<![\p{L}\p{N}<])(\p{Lu}\p{Ll}+)(?!\p{L})"
-_BLANKS = r"[\s\p{Z}]+"
+#: A capitalised word; the look ahead comes first, so that other places are passed by quickly.
+_CAPITAL = r"(?=\p{Lu})(?<![\p{L}\p{N}<])(\p{Lu}\p{Ll}+)(?!\p{L})"
+#: One that is marked stands inside a sentence, and so is a name, after a small letter, a digit, a comma or a semicolon and one blank.
+_INSIDE = r" <s(?<=[\p{Ll}\p{N},;] {1,2} <s)"
+#: White space other than one plain blank.
+_BLANKS = r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+"
 _NUMBER = r"([0-9]+)"
 _UNIT = r"(<n[0-9]*\s+)(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _GAP = r"[^\p{L}\p{N}<]+"
@@ -43,9 +47,9 @@ _GAP = r"[^\p{L}\p{N}<]+"
 def _marked(text: str | Column) -> Column:
     """Tokens of a text; numbers, names, units and words that may be names begin with ``<n``, ``<a``, ``<u`` and ``<s``, followed by their value."""
     text = F.col(text) if isinstance(text, str) else text
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "<", " "), _BLANKS, " ")
-    marked = F.regexp_replace(marked, _NAME, " <a$1 ")
-    marked = F.regexp_replace(marked, _START, " <s$1 ")
+    marked = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("<"), F.lit(" ")), _BLANKS, " ")
+    marked = F.regexp_replace(marked, _CAPITAL, " <s$1 ")
+    marked = F.regexp_replace(marked, _INSIDE, " <a")
     marked = F.regexp_replace(marked, _NUMBER, " <n$1 ")
     marked = F.regexp_replace(F.lower(marked), _UNIT, "$1<u$2")
     return F.filter(F.split(marked, _GAP), lambda word: word != "")
@@ -65,23 +69,29 @@ def _read(token: Column, names: str) -> Column:
     return (held.when(_is(token, *names), F.lit("<a")) if names else held).otherwise(_word(token))
 
 
-def _way(names: str) -> Column:
-    return F.transform("marked", lambda token: _read(token, names))
-
-
 def tokens(text: str | Column, values: bool) -> Column:
     """Template tokens of a text; ``<n``, ``<a`` and ``<u`` stand for numbers, names and units, followed by their value if wanted."""
     return F.transform(_marked(text), lambda t: F.when(_is(t, "s"), _word(t)).otherwise(t) if values else _read(t, "a"))
 
 
 def template_windows(rows: DataFrame, text: str, *keys: str) -> DataFrame:
-    """The keys, ``pos`` and a hash for each window of template tokens in each way to read it."""
-    words = rows.select(*keys, _marked(text).alias("marked")).filter(F.size("marked") >= WINDOW)
-    ways = {f"way{i}": _way(names) for i, names in enumerate(("as", "a", ""))}
-    words = words.select(*keys, *(way.alias(name) for name, way in ways.items()))
-    each = ", ".join(f"xxhash64(slice({name}, i, {WINDOW}))" for name in ways)
-    hashes = F.expr(f"transform(sequence(1, size(way0) - {WINDOW - 1}), i -> array_distinct(array({each})))")
-    return words.select(*keys, F.posexplode(hashes).alias("pos", "hashes")).select(*keys, "pos", F.explode("hashes").alias("hash"))
+    """The keys, ``pos`` and a hash for each window of template tokens in each way to read it.
+
+    Tokens are hashed once; a window's hash is put together by doubling, from those of its halves. Each step is a projection of its own that is used
+    more than once, and no filter reads it, so that Spark works it out once.
+    """
+    ways = ["as", "a", ""]
+    held = [f"way{i}" for i in range(len(ways))]
+    hashed = lambda names: lambda t: F.when(F.startswith(t, F.lit("<")), F.xxhash64(_read(t, names))).otherwise(F.xxhash64(t))
+    steps = rows.select(*keys, _marked(text).alias("marked"))
+    steps = steps.select(*keys, *(F.transform("marked", hashed(names)).alias(way) for way, names in zip(held, ways, strict=True)))
+    size = 1
+    while size < WINDOW:
+        steps = steps.select(*keys, *(F.zip_with(way, F.slice(way, size + 1, F.size(way)), lambda x, y: F.xxhash64(x, y)).alias(way) for way in held))
+        size *= 2
+    whole = F.slice(F.arrays_zip(*held), F.lit(1), F.greatest(F.size(held[0]) - (WINDOW - 1), F.lit(0)))
+    windows = steps.select(*keys, F.posexplode_outer(whole).alias("pos", "window")).filter("pos is not null")
+    return windows.select(*keys, "pos", F.explode(F.array_distinct(F.array(*(F.col(f"window.{way}") for way in held)))).alias("hash"))
 
 
 def _judged(names: str, slots: bool) -> Column:
@@ -109,7 +119,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     side = F.broadcast(item_windows) if item_windows.count() <= BROADCAST_WINDOWS else item_windows
     bodies = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("string").alias("body"))
     met = template_windows(bodies, "body", "id", "version").join(side, "hash")
-    needed = item_windows.groupBy(F.col("item").alias("of_item"), F.col("item_version").alias("of_version")).agg(F.greatest(F.lit(1), F.least(F.count("*") - 1, F.lit(LEAST_WINDOWS))).alias("needed"))
+    needed = item_windows.groupBy(F.col("item").alias("of_item"), F.col("item_version").alias("of_version")).agg(F.greatest(F.lit(1), F.least(F.count_distinct("item_pos") - 1, F.lit(LEAST_WINDOWS))).alias("needed"))
     runs = met.groupBy("id", "version", "item", "item_version", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.min("item_pos").alias("first"), F.max("item_pos").alias("last"), F.count_distinct("item_pos").alias("n")
     )

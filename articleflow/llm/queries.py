@@ -80,9 +80,9 @@ def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold benchmark items, verbatim or with other numbers, names and units; clean documents have no row."""
-    found = flagged(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).filter("is_leak")
-    return found.select(F.col("row.doc_id").alias("doc_id"), F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"), "longest")
+    """Every document, and which benchmark items it holds, verbatim or with other numbers, names and units."""
+    found = flagged(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "is_leak", F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"), "longest")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
