@@ -33,13 +33,13 @@ UNITS = (
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees"
 ).split()
 
-#: A capitalised word; the look ahead comes first, so that other places are passed by quickly.
-_CAPITAL = r"(?=\p{Lu})(?<![\p{L}\p{N}<])(\p{Lu}\p{Ll}+)(?!\p{L})"
+#: A capitalised word or a number; the look ahead comes first, so that other places are passed by quickly.
+_SLOT = r"(?=\p{Lu})(?<![\p{L}\p{N}<])(\p{Lu}\p{Ll}+)(?!\p{L})|([0-9]+)"
+_NUMBER = r" <s(?=[0-9])"
 #: One that is marked stands inside a sentence, and so is a name, after a small letter, a digit, a comma or a semicolon and one blank.
 _INSIDE = r" <s(?<=[\p{Ll}\p{N},;] {1,2} <s)"
 #: White space other than one plain blank.
 _BLANKS = r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+"
-_NUMBER = r"([0-9]+)"
 _UNIT = r"(<n[0-9]*\s+)(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _GAP = r"[^\p{L}\p{N}<]+"
 
@@ -48,9 +48,9 @@ def _marked(text: str | Column) -> Column:
     """Tokens of a text; numbers, names, units and words that may be names begin with ``<n``, ``<a``, ``<u`` and ``<s``, followed by their value."""
     text = F.col(text) if isinstance(text, str) else text
     marked = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("<"), F.lit(" ")), _BLANKS, " ")
-    marked = F.regexp_replace(marked, _CAPITAL, " <s$1 ")
+    marked = F.regexp_replace(marked, _SLOT, " <s$1$2 ")
+    marked = F.regexp_replace(marked, _NUMBER, " <n")
     marked = F.regexp_replace(marked, _INSIDE, " <a")
-    marked = F.regexp_replace(marked, _NUMBER, " <n$1 ")
     marked = F.regexp_replace(F.lower(marked), _UNIT, "$1<u$2")
     return F.filter(F.split(marked, _GAP), lambda word: word != "")
 
