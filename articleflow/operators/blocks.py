@@ -97,8 +97,8 @@ class MergeOutcome:
     conflicts: DataFrame | None
 
 
-def _decide(batch: DataFrame, keys: DataFrame, policy: str, last_id: int) -> DataFrame:
-    """``upsert_decisions`` (or the like for ``skip``) with the ``id`` that each inserted or updated row gets."""
+def decide(batch: DataFrame, keys: DataFrame, policy: str, last_id: int) -> DataFrame:
+    """``upsert_decisions`` (or the like for ``skip``) with the ``id`` that each inserted or updated row gets; ``keys`` are ``id, raw_id, url`` of the table."""
     with scratch(batch.sparkSession) as put:
         if policy == "skip":
             new = put(skip_winners(batch, keys), "winners").select(F.col("raw_id").alias("first_raw"), F.col("raw_id").alias("last_raw"), F.lit("insert").alias("action"))
@@ -123,7 +123,7 @@ def merge(table: BlockTable, batch: DataFrame, *, policy: str = "upsert", run: s
     if kept is not None and is_complete(spark, kept):
         decided = spark.read.parquet(kept)
     else:
-        decided = _decide(batch, table.read().select("id", "raw_id", "url"), policy, table.last_id())
+        decided = decide(batch, table.read().select("id", "raw_id", "url"), policy, table.last_id())
         if kept is not None:
             decided = materialize(decided, kept)
             for other in folders(spark, f"{table.path}-changes"):

@@ -523,3 +523,11 @@ SQL["report_build"] = f"""WITH {RUNS}, m AS (SELECT {QUALITY}, (SELECT count(*)
   UNION ALL SELECT 'day', NULL, strftime(collected_at, '%Y-%m-%d'), count(*), NULL FROM art WHERE {IN_RANGE} GROUP BY collected_at
   UNION ALL SELECT * FROM (SELECT 'analysis', NULL, category, id, NULL FROM runs ORDER BY id DESC LIMIT 1)"""
 SQL["export_ordered"] = SQL["export_rows"]
+
+SQL["list_page_deep"] = f"""WITH {CLEAN}, placed AS (SELECT *, row_number() OVER (ORDER BY eff DESC, id DESC) - 1 AS place FROM art)
+  SELECT {LIST} FROM placed WHERE place // 20 = (SELECT count(*) // 2 // 20 FROM documents)"""
+SQL["report_changes"] = " UNION ALL ".join(
+    f"""SELECT category, source, substr(collected_at, 1, 10)::DATE AS day, count(*) AS clean_count, count(*) FILTER (trim(body) <> '') AS body_count,
+  count(*) FILTER (trim(summary) <> '') AS summarized_count, '{policy}' AS policy FROM ({SQL["merge_" + policy]}) GROUP BY 1, 2, 3"""
+    for policy in ("skip", "upsert")
+)

@@ -13,7 +13,7 @@ from articleflow.functions.prompts import summary_prompt
 from articleflow.functions.replies import decode_list, encode_list, parse_analysis
 from articleflow.functions.text import content_hash, http_error, normalize_text, redact, strip_html
 from articleflow.functions.urls import is_tracking_param, normalize_url, query_params, request_url, url_host, url_origin
-from articleflow.operators import aggregates, analysis, blocks, cleaning, completion, ingest, merge, query
+from articleflow.operators import aggregates, analysis, blocks, changes, cleaning, completion, ingest, merge, paging, query
 from articleflow.operators.journal import read_journal
 from articleflow.plans import bindings
 from articleflow.session import materialize, shared_dir, spread
@@ -201,6 +201,15 @@ def list_page_after(spark, sf_dir):
     return query.list_page_after(_clean(spark, sf_dir), at, 500, 20)
 
 
+@register
+def list_page_deep(spark, sf_dir):
+    """The page in the middle of the whole listing, found by way of a stored directory."""
+    rows = _clean(spark, sf_dir)
+    directory = materialize(paging.page_directory(rows, BLOCK_WIDTH), name="directory")
+    total = directory.agg(F.sum("n")).first()[0]
+    return paging.deep_page(rows, directory, total // 2 // 20 + 1, 20, BLOCK_WIDTH)
+
+
 @register
 def page_count(spark, sf_dir):
     return query.page_count(_clean(spark, sf_dir, False), 20, category="en")
@@ -568,6 +577,21 @@ def merge_skip_blocks(spark, sf_dir):
     return _merged_in_blocks(spark, sf_dir, "skip")
 
 
+@register
+def report_changes(spark, sf_dir):
+    """The report's counts after a merge under either policy, out of signed counts; the table's bodies are read before the merge only."""
+    target, batch = bindings.merge_target(spark, sf_dir), bindings.merge_batch(spark, sf_dir)
+    keys, last_id = target.select("id", "raw_id", "url"), target.agg(F.max("id")).first()[0] or 0
+
+    def followed(policy):
+        report = changes.ChangingReport(spark, shared_dir(spark, "report-changes"), BLOCK_WIDTH)
+        report.begin(target)
+        report.follow_merge(blocks.decide(batch, keys, policy, last_id), batch, policy)
+        return report.cube().withColumn("policy", F.lit(policy))
+
+    return followed("skip").unionByName(followed("upsert"))
+
+
 @register
 def merge_decisions(spark, sf_dir):
     return merge.upsert_decisions(bindings.merge_batch(spark, sf_dir), bindings.merge_target(spark, sf_dir))
