@@ -1,6 +1,12 @@
+import math
+import random
 import re
+import string
+from collections import Counter
 
-from articleflow.llm.secrets import find_secrets
+import pytest
+
+from articleflow.llm.secrets import ALLOWED_SHAPES, ALLOWED_WORDS, CLASSES, KINDS, SecretScan, find_secrets
 
 from . import cases
 
@@ -27,7 +33,75 @@ def test_base_spans_equal_brute_force_and_entropy_adds_spans(spark):
         assert [(s.kind, s.start, s.end) for s in found[i] if not s.kind.startswith("entropy")] == base(text or "")
         assert all(s.value == text[s.start : s.end] for s in found[i])
     added = {i: [(s.kind, s.value) for s in spans if s.kind.startswith("entropy")] for i, spans in found.items()}
-    assert {i - len(cases.texts()): v for i, v in added.items() if v} == {4: [("entropy_base64", "zX9+kQ2vB7mN4pL8wR1tY6uI3oP5aS0d")]}
+    assert {i - len(cases.texts()): v for i, v in added.items() if v} == {
+        4: [("entropy_base64", "zX9+kQ2vB7mN4pL8wR1tY6uI3oP5aS0d")], 9: [("entropy_base64", "zX9kQ2vB7mN4pL8wR1tY6uI3oP5aS0d")]
+    }
+
+
+def entropy(window):
+    return -sum(c / len(window) * math.log2(c / len(window)) for c in Counter(window).values())
+
+
+def all_spans(text):
+    """Every window counted anew, every span compared with every other."""
+    spans = base(text)
+    for kind in CLASSES:
+        found = []
+        for run in kind.run.finditer(text):
+            words = [m.span() for m in ALLOWED_WORDS.finditer(run[0])]
+            for a in range(len(run[0]) - kind.window + 1):
+                b = a + kind.window
+                window = run[0][a:b]
+                allowed = any(x < b and a < y for x, y in words) or any(p.fullmatch(window) for p in ALLOWED_SHAPES)
+                if entropy(window) < kind.bits - 1e-9 or allowed:
+                    continue
+                a0, b0 = a + run.start(), b + run.start()
+                if found and found[-1][2] >= a0 and found[-1][1] >= run.start():
+                    found[-1] = (kind.kind, found[-1][1], b0)
+                else:
+                    found.append((kind.kind, a0, b0))
+        spans += [s for s in found if not any(x <= s[1] and s[2] <= y for _, x, y in spans)]
+    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+ALPHABETS = {
+    "entropy_hex": "0123456789abcdef", "entropy_lower": string.ascii_lowercase + string.digits,
+    "entropy_upper": string.ascii_uppercase + string.digits, "entropy_base64": string.ascii_letters + string.digits + "+/",
+}
+
+
+def test_spans_equal_windows_counted_anew():
+    dice, scan = random.Random(5), SecretScan()
+    pieces = SECRETS + ["changeme", "0123456789", " ", "-", "secret=", "dist-packages/python3/", "AKIA", "\U0001f600"]
+    for _ in range(600):
+        key = lambda: "".join(dice.choices(ALPHABETS[dice.choice(list(ALPHABETS))], k=dice.randrange(40)))
+        text = "".join(dice.choice(pieces)[:80] if dice.random() < 0.3 else key() + dice.choice(["", " ", "x"]) for _ in range(dice.randrange(8)))
+        assert scan.spans(text) == all_spans(text)
+
+
+@pytest.mark.parametrize("kind", ALPHABETS)
+def test_limits_are_those_of_random_strings(kind):
+    dice, limit = random.Random(7), next(c for c in CLASSES if c.kind == kind)
+    windows = ["".join(dice.choices(ALPHABETS[kind], k=limit.window)) for _ in range(5000)]
+    assert 0.93 <= sum(entropy(w) >= limit.bits for w in windows) / 5000 <= 0.98
+    scan = SecretScan()
+    # Of 16 characters in mixed case some have no digit or the shape of a name: 84% are found.
+    for length, share in ((16, 0.8), (24, 0.95), (32, 0.98)):
+        keys = ["".join(dice.choices(ALPHABETS[kind], k=length)) for _ in range(500)]
+        assert sum(bool(scan.spans(f"key {key} end")) for key in keys) / 500 >= share
+
+
+def test_names_paths_and_numbers_are_no_secrets():
+    harmless = [
+        "https://src1.example.com/en/2024/some-article-title-2024", "/usr/local/lib/python3/dist-packages/module_name", "test_case_number12_of_module",
+        "2024-01-01T00:00:00 2024-01-01-2024-12-31", "00441632960961004416329609", "id 123e4567-e89b-12d3-a456-426614174000", "Internationalization2024",
+    ]
+    assert not any(SecretScan().spans(text) for text in harmless)
+
+
+def test_texts_of_many_keys_take_no_square_of_them():
+    text = "token=abcdef0123 zX9kQ2vB7mN4pL8wR1tY6uI3oP5aS0d " * 20000
+    assert len(SecretScan().spans(text)) == 40000
 
 
 def test_secrets_of_awkward_rows(spark):
