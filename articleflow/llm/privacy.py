@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import stored
+from articleflow.llm.common import discard, stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "removed", "generalised")
@@ -105,16 +105,22 @@ def _terms(text: str) -> Column:
 
 
 def _word_places(words: DataFrame, held: DataFrame) -> DataFrame:
-    """(id, version, span, first, last): the words that each span touches, by running counts of word ends up to its start and word starts before its end."""
-    event = lambda at, order, ends, starts, span, side: F.struct(at.cast("bigint").alias("at"), F.lit(order).alias("order"), F.lit(ends).alias("ends"), F.lit(starts).alias("starts"), span.alias("span"), F.lit(side).alias("side"))
+    """(id, version, span, first, last): the words that each span touches, by what is known of the words that start before its start and before its end.
+
+    Words do not overlap, so all of them but the last one have ended by then.
+    """
     none = F.lit(None).cast(SPAN)
-    of_words = words.select("id", "version", F.explode(F.array(event(F.col("start"), 1, 0, 1, none, ""), event(F.col("end"), 0, 1, 0, none, ""))).alias("e"))
     spans = held.select("id", "version", F.explode("spans").alias("span"))
-    of_spans = spans.select("id", "version", F.explode(F.array(event(F.col("span.start"), 1, 0, 0, F.col("span"), "start"), event(F.col("span.end"), 0, 0, 0, F.col("span"), "end"))).alias("e"))
-    upto = Window.partitionBy("id", "version").orderBy("at", "order")
-    counted = of_words.unionByName(of_spans).select("id", "version", "e.*").withColumns({"ended": F.sum("ends").over(upto), "begun": F.sum("starts").over(upto)})
-    places = counted.filter(F.col("side") != "").groupBy("id", "version", "span")
-    return places.agg(F.max(F.when(F.col("side") == "start", F.col("ended"))).alias("first"), (F.max(F.when(F.col("side") == "end", F.col("begun"))) - 1).alias("last"))
+    sides = F.explode(F.array(F.struct(F.col("span.start").alias("at"), F.lit(True).alias("is_start")), F.struct(F.col("span.end").alias("at"), F.lit(False).alias("is_start"))))
+    of_spans = spans.select("id", "version", "span", sides.alias("side")).select("id", "version", F.col("side.at").alias("at"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("bigint").alias("end"), "span", F.col("side.is_start").alias("is_start"))
+    of_words = words.select("id", "version", F.col("start").alias("at"), "pos", "end", none.alias("span"), F.lit(None).cast("boolean").alias("is_start"))
+    # A side comes before a word that starts there: its pos is NULL.
+    upto = Window.partitionBy("id", "version").orderBy("at", F.asc_nulls_first("pos"))
+    known = of_words.unionByName(of_spans).withColumns({"before": F.max("pos").over(upto), "ended": F.max("end").over(upto)}).filter(F.col("span").isNotNull())
+    last = F.coalesce("before", F.lit(-1))
+    first = last + F.when(F.col("ended") > F.col("at"), 0).otherwise(1)
+    places = known.groupBy("id", "version", "span")
+    return places.agg(F.max(F.when(F.col("is_start"), first)).alias("first"), F.max(F.when(~F.col("is_start"), last)).alias("last"))
 
 
 def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, disclosure: float) -> DataFrame:
@@ -133,9 +139,10 @@ def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str
         "id", "version",
         F.posexplode(F.arrays_zip(F.split("body", r"[\p{L}\p{N}]+", -1).alias("gap"), F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("word"))).alias("pos", "pair"),
     ).filter("pair.word is not null")
+    words = words.select("id", "version", "pos", F.col("pair.word").alias("word"), F.length("pair.gap").alias("gap"))
     ahead = Window.partitionBy("id", "version").orderBy("pos")
-    words = words.withColumn("end", F.sum(F.length("pair.gap") + F.length("pair.word")).over(ahead))
-    words = stored(words.select("id", "version", "pos", F.col("pair.word").alias("word"), (F.col("end") - F.length("pair.word")).alias("start"), "end"), "words-of-texts")
+    words = words.withColumn("end", F.sum(F.col("gap") + F.length("word")).over(ahead))
+    words = stored(words.select("id", "version", "pos", "word", (F.col("end") - F.length("word")).alias("start"), "end"), "words-of-texts")
     places = _word_places(words, held.dropDuplicates(["id", "version"]))
     near = F.explode(F.sequence(F.col("first") - NEAR, F.col("last") + NEAR)).alias("pos")
     around = places.select("id", "version", F.xxhash64("span.kind", "span.value").alias("entity"), "first", "last", near)
@@ -146,24 +153,29 @@ def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str
     terms = words.filter(F.length("word") >= TERM_CHARS).withColumn("term", F.xxhash64(F.lower("word")))
     here = F.col("id").eqNullSafe(F.col("near_id")) & (F.col("version") == F.col("near_version")) & (F.col("pos") == F.col("near_pos"))
     meets = stored(terms.join(around, here).select("id", "version", "pos", "word", "start", "end", "term", "entity", "distance"), "terms-near-entities")
+    discard(words)
     known = F.log(F.lit(float(total)) / F.col("n_e"))
     told = F.log((F.col("n_te") * float(total) / F.col("n_e") + SMOOTHING) / (F.col("n_t") + SMOOTHING))
     pairs = meets.groupBy("version", "term", "entity").agg(F.min("distance").alias("distance"))
     met = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_te"), F.min("distance").alias("distance"))
     met = met.filter((F.col("n_te") >= SUPPORT) | (F.col("distance") <= BESIDE)).join(counts, "entity").join(df, "term")
     telling = met.filter((told > 0) & (told >= disclosure * known)).select("term", "entity", (F.col("n_t") <= F.col("n_te")).alias("only_there"))
-    treated = meets.join(stored(telling, "revealing-terms"), ["term", "entity"]).groupBy("id", "version", "word", "start", "end").agg(F.max("only_there").alias("only_there"))
+    telling = stored(telling, "revealing-terms")
+    discard(counts, df)
+    treated = meets.join(telling, ["term", "entity"]).groupBy("id", "version", "word", "start", "end").agg(F.max("only_there").alias("only_there"))
     kind = F.when(F.col("only_there"), F.lit("removed")).otherwise(F.lit("generalised"))
     number = F.when(F.col("only_there"), F.lit(KINDS.index("removed"))).otherwise(F.lit(KINDS.index("generalised")))
     span = F.struct(F.col("start").cast("bigint").alias("start"), number.alias("kind_no"), F.col("end").cast("bigint").alias("end"), kind.alias("kind"), F.col("word").alias("value"))
-    return treated.groupBy("id", "version").agg(F.collect_list(span).alias("more"))
+    more = stored(treated.groupBy("id", "version").agg(F.collect_list(span).alias("more")), "revealing-spans")
+    discard(meets, telling)
+    return more
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8) -> DataFrame:
     """(id, version, spans): one row per document; spans have start, kind_no, end, kind and value, by start, then kind."""
     base = stored(pattern_spans(docs, id_col, text_col), "pattern-spans")
     more = revealing_spans(docs, base, id_col, text_col, disclosure)
-    more = stored(more, "revealing-spans").withColumnsRenamed({"id": "more_id", "version": "more_version"})
+    more = more.withColumnsRenamed({"id": "more_id", "version": "more_version"})
     same = F.col("id").eqNullSafe(F.col("more_id")) & (F.col("version") == F.col("more_version"))
     spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more")))
     return base.join(more, same, "left").select("id", "version", spans.alias("spans"))
