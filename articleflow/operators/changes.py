@@ -33,12 +33,12 @@ FACTS = T.StructType(
 COUNTS = ("clean_count", "body_count", "summarized_count")
 
 
-def facts(articles: DataFrame, key: str = "id") -> DataFrame:
-    """What a report counts of an article; articles of a batch have no summary yet."""
+def facts(articles: DataFrame, key: str = "id", *extra: str) -> DataFrame:
+    """What a report counts of an article, beside ``extra`` columns; articles of a batch have no summary yet."""
     summary = ~is_blank("summary") if "summary" in articles.columns else F.lit(False)
     day = F.to_date(F.coalesce("collected_at", "published_at"))
     return articles.select(
-        F.col(key).cast("long").alias(key), filled("category").alias("category"), filled("source").alias("source"), day.alias("day"),
+        F.col(key).cast("long").alias(key), *extra, filled("category").alias("category"), filled("source").alias("source"), day.alias("day"),
         F.to_date(effective_at()).alias("effective_day"), (~is_blank("body")).alias("has_body"), summary.alias("has_summary"),
     )
 
@@ -62,7 +62,11 @@ class ChangingReport:
 
     def begin(self, clean: DataFrame) -> None:
         """Take the facts of a table as it is; the only pass over its texts."""
-        self._facts.replace(facts(clean))
+        self.begin_with(facts(clean))
+
+    def begin_with(self, known: DataFrame) -> None:
+        """``begin`` from facts that are there already."""
+        self._facts.replace(known)
         self._write(_summed(self._facts.read(), F.lit(1)), "counts/run=begin")
 
     def follow_merge(self, decisions: DataFrame, batch: DataFrame, run: str) -> None:

@@ -80,14 +80,20 @@ def merge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_target(spark: SparkSession, sf_dir: str, *, stored: bool = True) -> DataFrame:
-    """Labelled documents as the stored table: an older text, and an older URL where the label says toxic.
+    """Labelled documents as the stored table, one per URL.
 
     The merges read their table several times, so it is stored, as it would be.
     """
+    firsts = first_per_key(older_articles(spark, sf_dir), ("url",), "id")
+    return materialize(firsts, name="merge-target") if stored else firsts
+
+
+def older_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as older articles: an older text, and an older URL where the label says toxic."""
     doc = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").join(labels(spark, sf_dir), "doc_id")
     old_url = F.concat(F.lit("https://example.com/old/"), doc)
-    rows = docs.select(
+    return docs.select(
         doc.alias("id"),
         doc.alias("raw_id"),
         F.lit("stored").alias("title"),
@@ -105,8 +111,6 @@ def merge_target(spark: SparkSession, sf_dir: str, *, stored: bool = True) -> Da
         (F.length("text") + 4).cast("long").alias("original_length"),
         F.when(F.col("quality") == 1, F.lit(12)).cast("long").alias("summary_length"),
     )
-    firsts = first_per_key(rows, ("url",), "id")
-    return materialize(firsts, name="merge-target") if stored else firsts
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -580,12 +580,15 @@ def merge_skip_blocks(spark, sf_dir):
 @register
 def report_changes(spark, sf_dir):
     """The report's counts after a merge under either policy, out of signed counts; the table's bodies are read before the merge only."""
-    target, batch = bindings.merge_target(spark, sf_dir), bindings.merge_batch(spark, sf_dir)
+    batch = bindings.merge_batch(spark, sf_dir)
+    # Texts become facts before rows are compared by their URLs, so that no text is shuffled for that.
+    known = changes.facts(bindings.older_articles(spark, sf_dir), "id", "raw_id", "url")
+    target = materialize(ingest.first_per_key(known, ("url",), "id"), name="known-facts")
     keys, last_id = target.select("id", "raw_id", "url"), target.agg(F.max("id")).first()[0] or 0
 
     def followed(policy):
         report = changes.ChangingReport(spark, shared_dir(spark, "report-changes"), BLOCK_WIDTH)
-        report.begin(target)
+        report.begin_with(target)
         report.follow_merge(blocks.decide(batch, keys, policy, last_id), batch, policy)
         return report.cube().withColumn("policy", F.lit(policy))
 
