@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from articleflow.llm import suffixes
 from articleflow.llm.suffixes import Parsing, remove_repeats
 
 from . import cases
@@ -43,3 +44,21 @@ def test_long_texts_and_awkward_rows(spark):
     rows = remove_repeats(cases.awkward(spark), parsing=Parsing(100, 8, 16)).collect()
     assert len(rows) == 6 and sum(bool(r.removed) for r in rows) == 4
     assert remove_repeats(cases.empty(spark)).count() == 0
+
+
+def test_units_and_windows_are_not_kept_together(spark, monkeypatch):
+    kept, together = {}, []
+
+    def stored(df, name, store=suffixes.stored):
+        out = store(df, name)
+        kept[out.stored_at] = name
+        together.append(set(kept.values()))
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", stored)
+    monkeypatch.setattr(suffixes, "discard", lambda *tables, drop=suffixes.discard: (drop(*tables), [kept.pop(t.stored_at) for t in tables]))
+    texts = ["".join(random.Random(n % 3).choices("abcd ", k=300)) for n in range(9)] + ["x" * 200]
+    assert found(cases.documents(spark, texts), Parsing(40, 6, 8)) == dict(enumerate(brute(texts, 40)))
+    assert any("windows" in names for names in together)
+    assert not any("windows" in names and names & {"units", "classes"} for names in together)
+    assert set(kept.values()) == {"repeated-ranges"}
