@@ -34,6 +34,8 @@ START, END = np.uint64(0x5EED0000000000A1), np.uint64(0x5EED0000000000B2)
 HELD_TOKENS = 1 << 21
 SMOOTHING = 0.1
 FEATURES = 4
+#: A feature that a batch meets no more often than this has its gradients added together with those of the others.
+RARE = 12
 
 
 @dataclass(frozen=True)
@@ -129,36 +131,70 @@ class Model:
         salted = [one, mixed(two) + one * np.uint64(3), two ^ np.uint64(0xABCDEF12345), kind.astype(np.uint64) ^ np.uint64(0x777700001111)]
         return np.stack([(mixed(s) % np.uint64(self.shape.buckets)).astype(np.int64) for s in salted], axis=1)
 
-    def log_softmax(self, weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-        logits = weights[features[:, 0]] + self.bias
+    def room(self, tables: int) -> np.ndarray:
+        """Work tables for a batch, used again for each one: new arrays of this size cost more than what is done in them."""
+        return np.empty((tables, self.shape.batch, self.shape.classes), np.float32)
+
+    def softmax(self, weights: np.ndarray, features: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """For each token its logits less the largest of them (in the first work table), their exponentials (in the second), and the sums of these, given back."""
+        logits, powers = room[0, : len(features)], room[1, : len(features)]
+        np.take(weights, features[:, 0], axis=0, out=logits, mode="clip")
+        logits += self.bias
         for k in range(1, FEATURES):
-            logits += weights[features[:, k]]
+            np.take(weights, features[:, k], axis=0, out=powers, mode="clip")
+            logits += powers
         logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        np.exp(logits, out=powers)
+        return powers.sum(axis=1)
+
+    def log_softmax(self, weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+        room = np.empty((2, len(features), self.shape.classes), weights.dtype)
+        sums = self.softmax(weights, features, room)
+        return room[0] - np.log(sums)[:, None]
 
     def train(self, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         """Weights after gradient steps over all batches, and how often each feature was met."""
         weights, met, steepness = self.weights.copy(), np.zeros(self.shape.buckets), np.full(self.shape.buckets, 1e-3, np.float32)
+        room = self.room(3)
         for batch in batches:
             for part in slices(batch):
                 tokens, kinds, places = token_stream(texts_of(part), self.shape.endings)
                 features, target = self.features(tokens, kinds, places), self.classes(tokens, kinds)
                 for a in range(0, len(tokens), self.shape.batch):
                     rows = features[a : a + self.shape.batch]
-                    slope = np.exp(self.log_softmax(weights, rows))
+                    sums = self.softmax(weights, rows, room)
+                    slope = room[1, : len(rows)]
+                    slope /= sums[:, None]
                     slope[np.arange(len(rows)), target[a : a + self.shape.batch]] -= 1
                     for k in range(FEATURES):
-                        order = np.argsort(rows[:, k], kind="stable")
-                        sorted_rows = rows[order, k]
-                        first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                        own = sorted_rows[first]
-                        step = np.add.reduceat(slope[order], first)
-                        steepness[own] += (step * step).mean(axis=1)
-                        weights[own] -= self.shape.rate * 0.25 * step / np.sqrt(steepness[own])[:, None]
-                        met[own] += np.diff(np.concatenate([first, [len(order)]]))
+                        own, times, step = _sums_by(rows[:, k], slope, room[0])
+                        steepness[own] += np.einsum("ij,ij->i", step, step) / step.shape[1]
+                        step *= (self.shape.rate * 0.25 / np.sqrt(steepness[own]))[:, None]
+                        moved = np.take(weights, own, axis=0, out=room[2, : len(own)], mode="clip")
+                        moved -= step
+                        weights[own] = moved
+                        met[own] += times
         return weights, met
 
 
+def _sums_by(keys: np.ndarray, values: np.ndarray, work: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, how often each occurs and the sum of its rows of ``values``, in a work table.
+
+    Rows of rare keys are added one from each key at a time, those of a frequent key at once.
+    """
+    order = np.argsort(keys.astype(np.uint16) if keys.max(initial=0) < 1 << 16 else keys, kind="stable")
+    in_order = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+    times = np.diff(np.append(first, len(order)))
+    sums = np.take(values, order[first], axis=0, out=work[: len(first)], mode="clip")
+    for rank in range(1, min(RARE, int(times.max()))):
+        more = np.flatnonzero((times > rank) & (times <= RARE))
+        sums[more] += values.take(order[first[more] + rank], axis=0)
+    for i in np.flatnonzero(times > RARE).tolist():
+        sums[i] = values.take(order[first[i] : first[i] + times[i]], axis=0).sum(axis=0)
+    return in_order[first], times, sums
+
+
 def start_model(counts: DataFrame, shape: Shape) -> Model:
     """A model of the counts alone; ``counts`` is stored. The driver gets ``frequent`` tokens and one row for each ending."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -274,10 +310,11 @@ def _score_part(model: Model, part: pa.RecordBatch, token: np.ndarray, c: np.nda
         count = np.where(token[at] == tokens, c[at], 0).astype(float)
     base = np.log10(count + SMOOTHING) - np.log10(model.tokens + SMOOTHING * (model.distinct + 1))
     target, features = model.classes(tokens, kinds), model.features(tokens, kinds, places)
-    chosen = np.zeros(len(tokens))
+    chosen, room = np.zeros(len(tokens)), model.room(2)
     for a in range(0, len(tokens), shape.batch):
-        rows = model.log_softmax(model.weights, features[a : a + shape.batch])
-        chosen[a : a + shape.batch] = rows[np.arange(len(rows)), target[a : a + shape.batch]]
+        rows = features[a : a + shape.batch]
+        totals = model.softmax(model.weights, rows, room)
+        chosen[a : a + shape.batch] = room[0, np.arange(len(rows)), target[a : a + shape.batch]] - np.log(totals)
     within = np.log10((count + SMOOTHING) / (model.ending_tokens[kinds] + SMOOTHING * (model.ending_distinct[kinds] + 1)))
     total = chosen / np.log(10) + np.where(target > shape.frequent, within, 0.0)
     starts = places[:-1]

@@ -4,11 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from articleflow.llm.common import fold, table
-from articleflow.llm.language import END, Model, Shape, language_scores
+from articleflow.llm.language import END, Model, Shape, _sums_by, language_scores
 
 from . import cases
 
@@ -51,3 +52,23 @@ def test_awkward_rows_and_nothing_to_learn_from(spark):
     row = language_scores(cases.documents(spark, ["a b"]), F.lit(False), shape=small).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, pytest.approx(0))
     assert language_scores(cases.empty(spark), F.lit(True), shape=small).count() == 0
+
+
+@pytest.mark.parametrize("keys", [[7], list(range(50)), [3, 1, 3, 70_000, 1, 3], [5] * 40 + [9] * 13 + [2] * 12 + [0]])
+def test_gradients_of_rare_and_frequent_features_add_up(keys):
+    keys = np.random.default_rng(4).permutation(np.array(keys))
+    values = np.random.default_rng(5).normal(size=(len(keys), 6)).astype(np.float32)
+    own, times, sums = _sums_by(keys, values, np.empty_like(values))
+    assert own.tolist() == sorted(set(keys.tolist())) and times.tolist() == [int((keys == k).sum()) for k in own]
+    assert sums == pytest.approx(np.stack([values[keys == k].sum(axis=0) for k in own]), abs=1e-5)
+
+
+def test_training_needs_one_room_for_all_batches(monkeypatch):
+    """Batches share their work tables, and a small batch after a large one is not mixed with what is left in them."""
+    shape = Shape(buckets=64, frequent=3, endings=4, batch=8)
+    rng, rooms = np.random.default_rng(2), []
+    model = Model(shape, 100, 10, np.sort(rng.integers(1, 1 << 40, 3).astype(np.uint64)), np.ones(4), np.ones(4), np.zeros(shape.classes, np.float32), np.zeros((64, shape.classes), np.float32))
+    make = Model.room
+    monkeypatch.setattr(Model, "room", lambda self, tables: rooms.append(tables) or make(self, tables))
+    weights, met = model.train(iter([pa.RecordBatch.from_pydict({"text": ["a b c d e f g h i", "j"]})]))
+    assert rooms == [3] and met.sum() == 12 * 4 and np.abs(weights.sum(axis=1)).max() < 1e-5
