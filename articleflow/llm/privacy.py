@@ -86,7 +86,7 @@ def _placed(parts: str, found: str, kind: str) -> Column:
 
 
 def pattern_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, version, spans): the base spans of each text by start, then kind; ``version`` is a hash of the text."""
+    """(id, version, spans, held): the base spans of each text by start, then kind; ``version`` is a hash of the text, ``held`` the text where it has spans."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     found = {}
     for kind, pattern in PATTERNS.items():
@@ -96,7 +96,8 @@ def pattern_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = {f"{kind}_parts": F.when(F.size(f"{kind}_found") > 0, F.split("body", pattern, -1)).otherwise(F.array().cast("array<string>")) for kind, pattern in PATTERNS.items()}
     rows = rows.select("*", *(c.alias(name) for name, c in parts.items()))
     spans = F.concat(*(_placed(f"{kind}_parts", f"{kind}_found", kind) for kind in BASE_KINDS))
-    return rows.select("id", "version", F.array_sort(spans).alias("spans"))
+    rows = rows.select("id", "version", "body", F.array_sort(spans).alias("spans"))
+    return rows.select("id", "version", "spans", F.when(F.size("spans") > 0, F.col("body")).alias("held"))
 
 
 def _terms(text: str) -> Column:
@@ -123,8 +124,11 @@ def _word_places(words: DataFrame, held: DataFrame) -> DataFrame:
     return places.agg(F.max(F.when(F.col("is_start"), first)).alias("first"), F.max(F.when(~F.col("is_start"), last)).alias("last"))
 
 
-def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, disclosure: float) -> DataFrame:
-    """(id, version, spans) of the terms that reveal entities of their text, outside the base spans."""
+def revealing_spans(docs: DataFrame, base: DataFrame, text_col: str, disclosure: float) -> DataFrame:
+    """(id, version, spans) of the terms that reveal entities of their text, outside the base spans.
+
+    Texts with entities come with ``base``, so that the others are not shuffled to find them.
+    """
     total = docs.select(F.xxhash64(text_col)).distinct().count()
     held = base.filter(F.size("spans") > 0).select("id", "version", "spans")
     entities = held.select("version", F.explode("spans").alias("span")).select("version", F.xxhash64("span.kind", "span.value").alias("entity")).distinct()
@@ -132,9 +136,7 @@ def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str
     df = docs.select(F.xxhash64(text_col).alias("version"), _terms(text_col).alias("terms")).dropDuplicates(["version"])
     df = df.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     df = stored(df, "term-counts")
-    bodies = docs.select(F.col(id_col).alias("text_id"), F.xxhash64(text_col).alias("text_version"), F.col(text_col).cast("string").alias("body"))
-    same = F.col("text_id").eqNullSafe(F.col("id")) & (F.col("text_version") == F.col("version"))
-    texts = bodies.join(held, same).dropDuplicates(["text_id", "text_version"]).select("id", "version", "body")
+    texts = base.filter(F.size("spans") > 0).select("id", "version", F.col("held").alias("body")).dropDuplicates(["id", "version"])
     words = texts.select(
         "id", "version",
         F.posexplode(F.arrays_zip(F.split("body", r"[\p{L}\p{N}]+", -1).alias("gap"), F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("word"))).alias("pos", "pair"),
@@ -174,7 +176,7 @@ def revealing_spans(docs: DataFrame, base: DataFrame, id_col: str, text_col: str
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8) -> DataFrame:
     """(id, version, spans): one row per document; spans have start, kind_no, end, kind and value, by start, then kind."""
     base = stored(pattern_spans(docs, id_col, text_col), "pattern-spans")
-    more = revealing_spans(docs, base, id_col, text_col, disclosure)
+    more = revealing_spans(docs, base, text_col, disclosure)
     more = more.withColumnsRenamed({"id": "more_id", "version": "more_version"})
     same = F.col("id").eqNullSafe(F.col("more_id")) & (F.col("version") == F.col("more_version"))
     spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more")))

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+from articleflow.llm import privacy
 from articleflow.llm.privacy import BASE_KINDS, find_personal_data, sanitised
 
 from . import cases
@@ -141,3 +142,12 @@ def test_generalised_terms_say_what_they_were(spark):
     spans = "array(named_struct('start', 0L, 'kind_no', 5, 'end', 4L, 'kind', 'generalised', 'value', {}))"
     rows = spark.sql(" union all ".join(f"select '{w} x' as t, {spans.format(repr(w))} as s" for w in ("Jane", "1984", "jane")))
     assert {r[0] for r in rows.select(sanitised("t", "s")).collect()} == {"<name> x", "<number> x", "<word> x"}
+
+
+def test_texts_without_entities_are_not_shuffled_to_find_words(spark, plan_of, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(privacy, "stored", lambda df, name, store=privacy.stored: plans.update({name: plan_of(df)}) or store(df, name))
+    rows = privacy.find_personal_data(cases.documents(spark, ["Write to a@b.example, Quixotle.", "nothing here", None, "nothing here"])).collect()
+    assert len(rows) == 4 and sorted(rows[0].asDict()) == ["id", "spans", "version"]
+    assert sum(len(r.spans) > 0 for r in rows) == 1
+    assert "Join" not in plans["words-of-texts"]
