@@ -68,15 +68,32 @@ def class_of(shingles: np.ndarray) -> int:
 def group_counts(shingles: np.ndarray) -> bytes:
     """The point of a set: shingles in each of its groups, which are stretches of the hash range."""
     bits = min(max(len(shingles) // 2, LEAST_GROUPS) - 1, MOST_GROUPS - 1).bit_length()
-    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+    return packed(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))
 
 
-def folded(points: list[bytes]) -> np.ndarray:
-    """Points as rows with as many groups as the one with the fewest has."""
-    width = min(map(len, points)) // 2
-    out = np.empty((len(points), width), np.int32)
-    for row, point in zip(out, points, strict=True):
-        row[:] = np.frombuffer(point, "<u2").reshape(width, -1).sum(axis=1, dtype=np.int32)
+def packed(counts: np.ndarray) -> bytes:
+    """A byte that says how many bits a count takes, and the counts: most points have none over 15, and they are most of what is shuffled."""
+    top = counts.max(initial=0)
+    if top < 16:
+        return b"\x04" + (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    bits = 8 if top < 1 << 8 else 16 if top < 1 << 16 else 32
+    return bytes([bits]) + counts.astype(f"<u{bits // 8}").tobytes()
+
+
+def groups_of(point: bytes) -> int:
+    return (len(point) - 1) * 8 // point[0]
+
+
+def folded(points: list[bytes], width: int | None = None) -> np.ndarray:
+    """Points as rows with ``width`` groups, or else as many as the one with the fewest has."""
+    width = width or min(map(groups_of, points))
+    out, alike = np.empty((len(points), width), np.int32), {}
+    for i, point in enumerate(points):
+        alike.setdefault((point[0], len(point)), []).append(i)
+    for (bits, size), at in alike.items():
+        raw = np.frombuffer(b"".join([points[i] for i in at]), np.uint8).reshape(len(at), size)[:, 1:]
+        counts = np.stack([raw & 15, raw >> 4], axis=2) if bits == 4 else np.ascontiguousarray(raw).view(f"<u{bits // 8}")
+        out[at] = counts.reshape(len(at), width, -1).sum(axis=2, dtype=np.int32)
     return out
 
 
@@ -268,7 +285,9 @@ def tree_pairs(rows: DataFrame, classes: DataFrame, threshold: Fraction) -> Data
         x, y = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    return pairs.union(many.groupBy("place", "meets", "left", "right").applyInArrow(search, "a long, b long")).distinct()
+    pairs = stored(pairs.union(many.groupBy("place", "meets", "left", "right").applyInArrow(search, "a long, b long")).distinct(), "tree-pairs")
+    discard(met)
+    return pairs
 
 
 def _coarse(classes: DataFrame) -> DataFrame:
@@ -276,7 +295,7 @@ def _coarse(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = [np.frombuffer(p, "<u2").reshape(LEAST_GROUPS, -1).sum(axis=1).astype("<u2").tobytes() for p in batch.column("counts").to_pylist()]
+            points = [p if groups_of(p) == LEAST_GROUPS else packed(folded([p], LEAST_GROUPS)[0]) for p in batch.column("counts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(points, pa.binary())], ["cls", "n", "counts"])
 
     return classes.select("cls", "n", "counts").mapInArrow(run, "cls long, n long, counts binary")
@@ -297,7 +316,7 @@ def within_bound(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> D
     def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("counts_a", "counts_b"))
+                x, y = (folded(batch.column(c).to_pylist(), LEAST_GROUPS) for c in ("counts_a", "counts_b"))
                 total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
                 yield batch.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64) * s >= t * total))
 
@@ -313,8 +332,11 @@ def within_bound(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> D
         side = lambda k: points.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"counts_{k}"))
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
-    likely = both(pairs, _coarse(classes)).mapInArrow(coarse, "a long, b long")
-    return both(likely, classes).mapInArrow(full, "a long, b long, n_a long, n_b long")
+    # Each join is written before the next, so that the points that one shuffled are gone when the next one shuffles its own.
+    likely = stored(both(pairs, _coarse(classes)).mapInArrow(coarse, "a long, b long"), "likely-pairs")
+    found = stored(both(likely, classes).mapInArrow(full, "a long, b long, n_a long, n_b long"), "pairs")
+    discard(likely)
+    return found
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: Fraction) -> DataFrame:
@@ -366,13 +388,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = stored(distinct_places(every), "places")
     discard(every)
     stars = reduce(DataFrame.union, (star_pairs(met, turn, threshold) for turn in range(LEADERS))).distinct()
-    links = verified(stored(within_bound(stars, classes, threshold), "pairs"), classes, docs, id_col, text_col, size, threshold)
+    pairs = within_bound(stars, classes, threshold)
+    links = verified(pairs, classes, docs, id_col, text_col, size, threshold)
+    discard(pairs)
     labels = connected(links, "a", "b").withColumnsRenamed({"id": "cls", "component": "label"})
     rows = met.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     several = rows.groupBy("place").agg(F.count("*").alias("rows"), F.min("label").alias("first"), F.max("label").alias("last")).filter("rows > 2 and first <> last")
     rows = stored(rows.join(several.select("place"), "place", "left_semi"), "open-places")
-    trees = stored(within_bound(tree_pairs(rows, classes, threshold), classes, threshold), "pairs")
-    more = verified(trees, classes, docs, id_col, text_col, size, threshold)
+    discard(met)
+    trees = tree_pairs(rows, classes, threshold)
+    discard(rows)
+    pairs = within_bound(trees, classes, threshold)
+    more = verified(pairs, classes, docs, id_col, text_col, size, threshold)
+    discard(trees, pairs)
     labels = connected(links.union(more), "a", "b")
     joined = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc", F.coalesce("component", "cls").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("doc").alias("component"))

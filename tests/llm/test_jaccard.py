@@ -4,6 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from articleflow.llm import jaccard
 from articleflow.llm.jaccard import CountTree, folded, group_counts, near_duplicates, one_of_each, tree_pairs, within_bound
 
 from . import cases
@@ -83,3 +84,18 @@ def test_large_places_are_split_into_blocks(spark, monkeypatch, leaf):
     pairs = {(r.a, r.b) for r in within_bound(tree_pairs(rows.drop("counts"), rows, Fraction(3, 4)), rows, Fraction(3, 4)).collect()}
     points = folded([group_counts(s) for s in sets])
     assert pairs == {(i, j) for j in range(14) for i in range(j) if 7 * np.minimum(points[i], points[j]).sum() >= 3 * (len(sets[i]) + len(sets[j]))}
+
+
+@pytest.mark.parametrize("top", [3, 15, 16, 255, 256, 70_000])
+def test_points_take_few_bytes_and_keep_their_counts(top):
+    counts = np.arange(256) * 7919 % (top + 1)
+    counts[17] = top
+    point = jaccard.packed(counts)
+    assert len(point) == 1 + 256 * (4 if top < 16 else 8 if top < 256 else 16 if top < 1 << 16 else 32) // 8
+    wide = jaccard.packed(np.repeat(counts, 4))
+    assert folded([point, point]).tolist() == [counts.tolist()] * 2
+    assert folded([wide, point]).tolist() == [(counts * 4).tolist(), counts.tolist()]
+
+
+def test_points_of_usual_texts_have_half_a_byte_a_group():
+    assert len(group_counts(np.random.default_rng(3).integers(0, 1 << 63, 500, dtype=np.uint64) << np.uint64(1))) == 129
