@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articleflow.llm.common import slices, stored, texts_of, utf8
-from articleflow.llm.words import find_words
+from articleflow.llm.words import distinct, find_words
 
 #: Words whose ids an encoder keeps at most; it then starts afresh.
 KEPT_WORDS = 1_000_000
@@ -75,9 +76,9 @@ class WordEncoder:
             self._forget()
         raw, bounds = utf8(texts)
         hashes, start, end, firsts = find_words(raw, bounds)
-        distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        fresh, example, which = distinct(hashes)
         data = raw.tobytes()
-        slot = self._slots(distinct, example, data, start, end)[which]
+        slot = self._slots(fresh, example, data, start, end)[which]
         size = self.size[slot]
         ends = np.concatenate([[0], np.cumsum(size)])
         total = int(ends[-1])
@@ -100,6 +101,12 @@ class WordEncoder:
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker, which keeps its words from one task to the next."""
+    return WordEncoder(path)
+
+
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False
 ) -> DataFrame:
@@ -110,7 +117,7 @@ def token_pieces(
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
         for batch in batches:
             for part in slices(batch):
                 ids, places = encoder.encode(texts_of(part), end_id)

@@ -3,8 +3,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from articleflow.llm import packing, words
 from articleflow.llm.packing import pack_documents, plan_bins
 
 from . import cases
@@ -70,3 +72,22 @@ def test_plan_by_histogram_is_best_two_fit():
 def test_awkward_rows(spark):
     assert pack_documents(cases.awkward(spark), PATH).count() == 6
     assert pack_documents(cases.empty(spark), PATH).count() == 0
+
+
+def test_a_worker_keeps_its_words_between_tasks():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.word_encoder(path)
+    assert packing.word_encoder(path) is encoder
+    texts = pa.array(["One two, two three", "", "two four"], pa.large_string())
+    first = encoder.encode(texts, 0)
+    known = len(encoder.known)
+    again = encoder.encode(texts, 0)
+    assert len(encoder.known) == known
+    alone = packing.WordEncoder(path).encode(texts, 0)
+    assert all(x.tolist() == y.tolist() == z.tolist() for x, y, z in zip(first, again, alone, strict=True))
+
+
+def test_distinct_words_are_those_of_a_sort():
+    hashes = np.random.default_rng(5).integers(0, 50, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for values in (hashes, hashes[:0]):
+        assert all(x.tolist() == y.tolist() for x, y in zip(words.distinct(values), np.unique(values, return_index=True, return_inverse=True), strict=True))
