@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from articleflow.llm import suffixes
 from articleflow.llm.suffixes import Parsing, remove_repeats
@@ -62,3 +63,15 @@ def test_units_and_windows_are_not_kept_together(spark, monkeypatch):
     assert any("windows" in names for names in together)
     assert not any("windows" in names and names & {"units", "classes"} for names in together)
     assert set(kept.values()) == {"repeated-ranges"}
+
+
+def test_names_and_places_of_windows_without_objects_for_each():
+    data = [b"ab" * 200, b"x", b""]
+    whole = [xxhash.xxh3_128_intdigest(d) for d in data]
+    assert suffixes._signed([xxhash.xxh3_128_digest(d) for d in data], 2).tolist() == [[(w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63)] for w in whole]
+    names = np.array([[1, 1], [2, 1], [1, 1], [1, 2], [2, 1], [1, 1]])
+    once, places, again = suffixes._once(np.array([7, 9, 3, 4, 5, 6]), names)
+    assert dict(zip(map(tuple, once.tolist()), places.tolist(), strict=True)) == {(1, 1): 3, (1, 2): 4, (2, 1): 5}
+    assert again.tolist() == [3, 5, 6, 7, 9]
+    assert [x.tolist() for x in suffixes._stretches(again)] == [[3, 5, 9], [3, 7, 9]]
+    assert [x.tolist() for x in suffixes._stretches(again[:0])] == [[], []]
