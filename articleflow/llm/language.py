@@ -20,18 +20,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articleflow.llm.common import discard, slices, stored, texts_of, utf8
-from articleflow.llm.words import find_words, mixed
+from articleflow.llm.words import distinct, find_words, mixed
 
 #: What counts as the tokens before a text, and as its end.
 START, END = np.uint64(0x5EED0000000000A1), np.uint64(0x5EED0000000000B2)
 #: Distinct tokens a task counts before it passes them on.
 HELD_TOKENS = 1 << 21
+#: Distinct tokens of new texts that wait, at least, before they meet those held.
+LEAST_MERGED = 1 << 18
+#: Rows of a batch whose logits are worked out together, so that they stay near the processor.
+NEAR_ROWS = 512
 SMOOTHING = 0.1
 FEATURES = 4
 #: A feature that a batch meets no more often than this has its gradients added together with those of the others.
@@ -75,22 +80,31 @@ def token_counts(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
     """(token, kind, c) over all rows of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, waiting = _merged([]), []
         for batch in batches:
             for part in slices(batch):
                 tokens, kinds, _ = token_stream(texts_of(part), shape.endings)
-                both, first, which = np.unique(np.concatenate([held[0], tokens]), return_index=True, return_inverse=True)
-                weight = np.concatenate([held[2], np.ones(len(tokens), np.int64)])
-                held = both, np.concatenate([held[1], kinds])[first], np.bincount(which, weight, len(both)).astype(np.int64)
-                if len(both) > HELD_TOKENS:
+                waiting.append(_merged([(tokens, kinds, np.ones(len(tokens), np.int64))]))
+                if sum(len(x[0]) for x in waiting) < max(len(held[0]), LEAST_MERGED):
+                    continue  # what is held is gone through again only when as much is new
+                held, waiting = _merged([held, *waiting]), []
+                if len(held[0]) > HELD_TOKENS:
                     yield _counted(held)
-                    held = tuple(x[:0] for x in held)
-        yield _counted(held)
+                    held = _merged([])
+        yield _counted(_merged([held, *waiting]))
 
     parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, kind int, c long")
     return parts.groupBy("token").agg(F.min("kind").alias("kind"), F.sum("c").alias("c"))
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, how they end and their counts, with each token once."""
+    empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tokens, kinds, counts = map(np.concatenate, zip(empty, *parts, strict=True))
+    values, first, which = distinct(tokens)
+    return values, kinds[first], np.bincount(which, counts, len(values)).astype(np.int64)
+
+
 def _counted(held: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
     token, kind, count = held
     return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(kind, pa.int32()), pa.array(count)], ["token", "kind", "c"])
@@ -137,15 +151,19 @@ class Model:
 
     def softmax(self, weights: np.ndarray, features: np.ndarray, room: np.ndarray) -> np.ndarray:
         """For each token its logits less the largest of them (in the first work table), their exponentials (in the second), and the sums of these, given back."""
-        logits, powers = room[0, : len(features)], room[1, : len(features)]
-        np.take(weights, features[:, 0], axis=0, out=logits, mode="clip")
-        logits += self.bias
-        for k in range(1, FEATURES):
-            np.take(weights, features[:, k], axis=0, out=powers, mode="clip")
-            logits += powers
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=powers)
-        return powers.sum(axis=1)
+        sums = np.empty(len(features), room.dtype)
+        for a in range(0, len(features), NEAR_ROWS):
+            rows = features[a : a + NEAR_ROWS]
+            logits, powers = room[0, a : a + len(rows)], room[1, a : a + len(rows)]
+            np.take(weights, rows[:, 0], axis=0, out=logits, mode="clip")
+            logits += self.bias
+            for k in range(1, FEATURES):
+                np.take(weights, rows[:, k], axis=0, out=powers, mode="clip")
+                logits += powers
+            logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=powers)
+            powers.sum(axis=1, out=sums[a : a + len(rows)])
+        return sums
 
     def log_softmax(self, weights: np.ndarray, features: np.ndarray) -> np.ndarray:
         room = np.empty((2, len(features), self.shape.classes), weights.dtype)
@@ -272,14 +290,18 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str, text_co
     dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), block.alias("block")).repartition(blocks, "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             own = batch.column("block").to_numpy()
             for number in np.unique(own).tolist():
                 for part in slices(batch.filter(pa.array(own == number))):
-                    tokens = np.unique(token_stream(texts_of(part), shape.endings)[0])
-                    held[number] = np.union1d(held[number], tokens) if number in held else tokens
-        for number, tokens in held.items():
+                    tokens = pd.unique(token_stream(texts_of(part), shape.endings)[0])
+                    have = held.setdefault(number, [tokens[:0]])
+                    have.append(tokens)
+                    if sum(map(len, have[1:])) >= max(len(have[0]), LEAST_MERGED):
+                        held[number] = [pd.unique(np.concatenate(have))]
+        for number, parts in held.items():
+            tokens = pd.unique(np.concatenate(parts))
             for a in range(0, len(tokens), 100_000):
                 piece = tokens[a : a + 100_000].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(piece), number), pa.int32()), pa.array(piece)], ["block", "token"])
@@ -306,8 +328,9 @@ def _score_part(model: Model, part: pa.RecordBatch, token: np.ndarray, c: np.nda
     tokens, kinds, places = token_stream(texts_of(part), shape.endings)
     count = np.zeros(len(tokens))
     if len(token):
-        at = np.minimum(np.searchsorted(token, tokens), len(token) - 1)
-        count = np.where(token[at] == tokens, c[at], 0).astype(float)
+        values, _, which = distinct(tokens)
+        at = np.minimum(np.searchsorted(token, values), len(token) - 1)
+        count = np.where(token[at] == values, c[at], 0).astype(float)[which]
     base = np.log10(count + SMOOTHING) - np.log10(model.tokens + SMOOTHING * (model.distinct + 1))
     target, features = model.classes(tokens, kinds), model.features(tokens, kinds, places)
     chosen, room = np.zeros(len(tokens)), model.room(2)

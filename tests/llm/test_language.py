@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from articleflow.llm import language
 from articleflow.llm.common import fold, table
 from articleflow.llm.language import END, Model, Shape, _sums_by, language_scores
 
@@ -72,3 +73,31 @@ def test_training_needs_one_room_for_all_batches(monkeypatch):
     monkeypatch.setattr(Model, "room", lambda self, tables: rooms.append(tables) or make(self, tables))
     weights, met = model.train(iter([pa.RecordBatch.from_pydict({"text": ["a b c d e f g h i", "j"]})]))
     assert rooms == [3] and met.sum() == 12 * 4 and np.abs(weights.sum(axis=1)).max() < 1e-5
+
+
+def test_counts_meet_those_held_only_when_as_many_are_new(monkeypatch):
+    merged, real = [], language._merged
+    monkeypatch.setattr(language, "_merged", lambda parts: merged.append(sum(len(p[0]) for p in parts)) or real(parts))
+    monkeypatch.setattr(language, "LEAST_MERGED", 8)
+    monkeypatch.setattr(language, "slices", lambda batch: (batch.slice(i, 1) for i in range(batch.num_rows)))
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            texts = [f"a{i} b{i} all" for i in range(400)]
+            self.found = pa.Table.from_batches(list(run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))))
+            return self
+
+        def groupBy(self, *keys):
+            return self
+
+        agg = groupBy
+
+    monkeypatch.setattr(language.F, "col", lambda name: type("C", (), {"cast": lambda s, t: s, "alias": lambda s, t: s})())
+    monkeypatch.setattr(language.F, "min", language.F.col)
+    monkeypatch.setattr(language.F, "sum", language.F.col)
+    found = language.token_counts(Rows(), "text", language.Shape()).found
+    assert sum(found["c"].to_pylist()) == 1600 and len(set(found["token"].to_pylist())) == 802
+    assert sum(merged) < 8 * 1600  # 160,000 if all held ones are sorted again for each piece
