@@ -94,22 +94,50 @@ def template_windows(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     return windows.select(*keys, "pos", F.explode(F.array_distinct(F.array(*(F.col(f"window.{way}") for way in held)))).alias("hash"))
 
 
-def _judged(names: str, slots: bool) -> Column:
-    """``first`` and ``last`` window of the item in a stretch of ``pairs``, if enough of its windows are equal and its slots are consistent; else null."""
+#: How slots are read, one way after the other: kinds that are names, and whether slots may differ at all.
+_READINGS = [("as", True), ("a", True), ("a", False)]
+
+
+def _judged(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys and ``at``: ``first`` and ``last`` window of the item in a stretch of ``pairs`` in the first reading in which enough of its windows are
+    equal and its slots are consistent; else null.
+
+    As in ``template_windows``, each step is a projection of its own that is used more than once, so that Spark works it out once a row and not once
+    for each place that reads it.
+    """
+    keys = [*keys, "needed"]
+    ways = range(len(_READINGS))
     same = lambda p: _word(p["item_words"]) == _word(p["doc_words"])
     both = lambda p, *kinds: _is(p["item_words"], *kinds) & _is(p["doc_words"], *kinds)
-    met = lambda p: both(p, "n") | both(p, "u") | both(p, *names)
-    equal = F.transform("pairs", lambda p: F.coalesce(same(p) | met(p), F.lit(False)) if slots else F.coalesce(same(p), F.lit(False)))
-    places = F.sequence(F.lit(1), F.size("pairs") - (WINDOW - 1))
-    hits = F.filter(places, lambda i: F.forall(F.slice(equal, i, WINDOW), lambda e: e))
-    stretch = F.slice("pairs", F.array_min(hits), F.array_max(hits) - F.array_min(hits) + WINDOW)
-    held = F.filter(stretch, lambda p: met(p) | (_is(p["item_words"], "n", "u", *names) & same(p)))
-    kind = lambda token: F.when(_is(token, "n", "u"), F.substring(token, 1, 2)).otherwise("<a")
-    held = F.array_distinct(F.transform(held, lambda p: F.struct(F.concat(kind(p["item_words"]), _word(p["item_words"])).alias("i"), F.concat(kind(p["item_words"]), _word(p["doc_words"])).alias("d"))))
-    one_to_one = (F.size(F.array_distinct(held["i"])) == F.size(held)) & (F.size(F.array_distinct(held["d"])) == F.size(held))
-    enough = F.size(hits) >= F.col("needed")
-    at = F.struct((F.col("first") + F.array_min(hits) - 1).alias("first"), (F.col("first") + F.array_max(hits) - 1).alias("last"))
-    return F.when(enough & one_to_one if slots else enough, at)
+    met = lambda names: lambda p: both(p, "n") | both(p, "u") | both(p, *names)
+    equal = lambda names, slots: lambda p: F.coalesce(same(p) | met(names)(p) if slots else same(p), F.lit(False))
+    steps = rows.select(*keys, "first", "pairs", *(F.transform("pairs", equal(*_READINGS[k])).alias(f"equal{k}") for k in ways))
+    size = 1
+    while size < WINDOW:
+        steps = steps.select(*keys, "first", "pairs", *(F.zip_with(f"equal{k}", F.slice(f"equal{k}", size + 1, F.size(f"equal{k}")), lambda x, y: x & y).alias(f"equal{k}") for k in ways))
+        size *= 2
+    hits = lambda k: F.filter(F.transform(f"equal{k}", lambda e, i: F.when(e, i + 1)), lambda i: i.isNotNull())
+    steps = steps.select(*keys, "first", "pairs", *(hits(k).alias(f"hits{k}") for k in ways))
+    steps = steps.select(*keys, "first", "pairs", *(F.struct(F.array_min(f"hits{k}").alias("low"), F.array_max(f"hits{k}").alias("high"), F.size(f"hits{k}").alias("n")).alias(f"hits{k}") for k in ways))
+
+    def held(k: int) -> Column:
+        names = _READINGS[k][0]
+        stretch = F.slice("pairs", F.col(f"hits{k}.low"), F.col(f"hits{k}.high") - F.col(f"hits{k}.low") + WINDOW)
+        kept = F.filter(stretch, lambda p: met(names)(p) | (_is(p["item_words"], "n", "u", *names) & same(p)))
+        kind = lambda token: F.when(_is(token, "n", "u"), F.substring(token, 1, 2)).otherwise("<a")
+        slot = lambda p: F.struct(F.concat(kind(p["item_words"]), _word(p["item_words"])).alias("i"), F.concat(kind(p["item_words"]), _word(p["doc_words"])).alias("d"))
+        return F.array_distinct(F.transform(kept, slot))
+
+    slotted = [k for k in ways if _READINGS[k][1]]
+    steps = steps.select(*keys, "first", *(f"hits{k}" for k in ways), *(held(k).alias(f"held{k}") for k in slotted))
+
+    def at(k: int) -> Column:
+        good = F.col(f"hits{k}.n") >= F.col("needed")
+        if k in slotted:
+            good &= (F.size(F.array_distinct(f"held{k}.i")) == F.size(f"held{k}")) & (F.size(F.array_distinct(f"held{k}.d")) == F.size(f"held{k}"))
+        return F.when(good, F.struct((F.col("first") + F.col(f"hits{k}.low") - 1).alias("first"), (F.col("first") + F.col(f"hits{k}.high") - 1).alias("last")))
+
+    return steps.select(*keys[:-1], F.coalesce(*(at(k) for k in ways)).alias("at"))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -137,7 +165,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     held = held.dropDuplicates(["id", "version"]).select(F.col("id").alias("of_id"), F.col("version").alias("of_text"), _marked("body").alias("words"))
     compared = slotted.join(held, same_text).withColumn("doc_words", F.expr(f"slice(words, first + shift + 1, last - first + {WINDOW})"))
     compared = compared.withColumn("pairs", F.arrays_zip("item_words", "doc_words"))
-    judged = compared.withColumn("at", F.coalesce(_judged("as", True), _judged("a", True), _judged("a", False))).filter("at is not null")
+    others = [c for c in plain.columns if c not in ("first", "last")]
+    judged = stored(_judged(compared, *others), "judged-runs").filter("at is not null")
     consistent = judged.withColumns({"first": F.col("at.first"), "last": F.col("at.last")}).select(*plain.columns)
     return plain.unionByName(consistent).withColumn("last", F.col("last") + WINDOW)
 

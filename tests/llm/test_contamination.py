@@ -1,5 +1,6 @@
 import itertools
 
+from articleflow.llm import contamination
 from articleflow.llm.contamination import UNITS, flagged, tokens
 
 from . import cases
@@ -143,3 +144,14 @@ def test_many_short_items_agree_with_brute_force(spark):
     found = {r.doc_id: r["items"] for r in flagged(docs, wanted).select("row.doc_id", "items").collect()}
     plain_items, plain_docs = [_plain_tokens(t) for t in rows], [_plain_tokens(t) for t in texts]
     assert [found[d] for d in range(len(texts))] == [[i for i, item in enumerate(plain_items) if len(item) >= 8 and _holds(item, plain_docs[d])] for d in range(len(texts))]
+
+
+def test_slots_are_compared_once_a_row(spark):
+    words = [f"w{i}" for i in range(300)]
+    pair = lambda i, other="": {"item_words": "<n7" if i == 150 else words[i], "doc_words": "<n9" if i == 150 else other or words[i]}
+    rows = [(1, 5, 10, [pair(i) for i in range(300)]), (2, 5, 10, [pair(i, "x" if i % 8 == 7 else "") for i in range(300)])]
+    rows = spark.createDataFrame(rows, "id int, needed int, first int, pairs array<struct<item_words: string, doc_words: string>>")
+    judged = contamination._judged(rows, "id")
+    assert {r.id: r.at and tuple(r.at) for r in judged.collect()} == {1: (10, 302), 2: None}
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(pairs") == len(contamination._READINGS)
